@@ -1,0 +1,20 @@
+"""Join helpers that keep broadcasts behind an explicit size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only when its row count is proven small.
+
+    Beyond the bound the frame is returned unchanged, so the planner falls back
+    to a shuffled (sort-merge) join with AQE skew handling.
+    """
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
