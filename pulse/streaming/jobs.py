@@ -1,0 +1,198 @@
+"""Structured Streaming jobs.
+
+The live job of the reference (10-second micro-batches that score posts and
+store hashtag counts, label counts and viral posts) becomes:
+
+    source -> parse / quarantine -> watermark + dedupe -> enrich (row-local)
+           -> foreachBatch: one persisted batch, several idempotent writes
+
+and the hourly counts become an event-time tumbling window with a watermark,
+so state stays bounded and late rows are dropped in append mode.  Nothing is
+collected to the driver; every sink is keyed by ``batch_id`` (overwrite of
+that batch's partition) so a retried batch rewrites, never duplicates.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulse.functions.keys import HOUR_BUCKET_FORMAT
+from pulse.operators.aggregates import exploded_tags
+from pulse.operators.joins import bounded_broadcast
+from pulse.operators.sentiment import score_sentiment
+from pulse.plans.serving import VIRAL_LIKES_ABOVE
+from pulse.schemas import RAW_POST
+from pulse.session import scratch_path
+from pulse.sources import fixture
+from pulse.sources.posts import parse_posts, to_payload
+
+# Fixed values of the live job.
+TRIGGER_INTERVAL = "10 seconds"
+WATERMARK_DELAY = "10 minutes"
+HOURLY_WINDOW = "1 hour"
+RAW_TOPIC = "raw-tweets"
+ENRICHED_TOPIC = "processed-tweets"
+ALERT_TOPIC = "trending-alerts"
+
+
+# ---- sources ------------------------------------------------------------------------------
+
+def kafka_messages(spark: SparkSession, bootstrap: str, topic: str = RAW_TOPIC,
+                   starting_offsets: str = "latest") -> DataFrame:
+    """Raw messages from a topic (needs the Spark Kafka connector on the classpath)."""
+    return (spark.readStream.format("kafka")
+            .option("kafka.bootstrap.servers", bootstrap)
+            .option("subscribe", topic)
+            .option("startingOffsets", starting_offsets)
+            .option("failOnDataLoss", "false")
+            .load())
+
+
+def file_messages(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """JSON lines from a folder, one message per line, as a ``value`` column."""
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.load(path)
+
+
+def event_posts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts view as a stream over the ``events`` table files."""
+    sf_dir = sf_dir.rstrip("/")
+    schema = fixture.read_table(spark, sf_dir, "events").schema
+    events = (spark.readStream.schema(schema).option("basePath", sf_dir)
+              .parquet(f"{sf_dir}/events*.parquet"))
+    nation = bounded_broadcast(fixture.read_table(spark, sf_dir, "nation"), 10_000)
+    return fixture.derive_posts(events, nation)
+
+
+# ---- transformations ----------------------------------------------------------------------------
+
+def with_event_time(posts: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
+    return (posts.withColumn("event_time", F.timestamp_millis("timestamp"))
+                 .withWatermark("event_time", delay))
+
+
+def live_posts(posts: DataFrame, delay: str = WATERMARK_DELAY, lexicon=None) -> DataFrame:
+    """Watermarked, de-duplicated (at-least-once upstream) and scored posts."""
+    timed = with_event_time(posts, delay).dropDuplicatesWithinWatermark(["tweet_id"])
+    return score_sentiment(timed, "text", lexicon=lexicon, method="map")
+
+
+def parse_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kafka/file messages -> (posts, rejects)."""
+    return parse_posts(messages, "value", RAW_POST)
+
+
+def hourly_hashtag_counts(posts: DataFrame) -> DataFrame:
+    """Tag uses per event-time hour; emitted once the watermark passes the hour."""
+    tags = exploded_tags(posts, "event_time")
+    return (tags.groupBy(F.window("event_time", HOURLY_WINDOW).alias("w"), "hashtag")
+                .agg(F.count(F.lit(1)).alias("cnt"))
+                .select(F.date_format("w.start", HOUR_BUCKET_FORMAT).alias("bucket"), "hashtag", "cnt"))
+
+
+def viral_alerts(posts: DataFrame) -> DataFrame:
+    """One alert per viral post (strictly more likes than the threshold)."""
+    return (posts.filter(F.col("likes") > VIRAL_LIKES_ABOVE)
+                 .select("tweet_id", "user_id", "likes", "timestamp"))
+
+
+# ---- the per-batch multi-sink --------------------------------------------------------------------
+
+def batch_metric_rows(batch: DataFrame, batch_id: int) -> DataFrame:
+    """The three per-batch results of the live job as long metric rows."""
+    bucket = F.lit(str(batch_id))
+    tags = exploded_tags(batch).groupBy("hashtag").agg(F.count(F.lit(1)).alias("value"))
+    labels = batch.groupBy("sentiment").agg(F.count(F.lit(1)).alias("value"))
+    viral = viral_alerts(batch).select(F.col("tweet_id").alias("key"),
+                                       F.col("likes").cast("long").alias("value"))
+    return (tags.select(F.lit("hashtag").alias("metric"), bucket.alias("bucket"),
+                        F.col("hashtag").alias("key"), "value")
+            .unionByName(labels.select(F.lit("sentiment").alias("metric"), bucket.alias("bucket"),
+                                       F.col("sentiment").alias("key"), "value"))
+            .unionByName(viral.select(F.lit("viral").alias("metric"), bucket.alias("bucket"),
+                                      "key", "value"))
+            .withColumn("value", F.col("value").cast("long")))
+
+
+def make_batch_writer(metrics_path: str, payload_path: str | None = None,
+                      kafka_bootstrap: str | None = None):
+    """``foreachBatch`` function writing metric rows (and the enriched payload).
+
+    The batch is persisted once and read by every write; each write replaces
+    the ``batch_id`` partition, so a replayed batch is idempotent.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            rows = batch_metric_rows(batch, batch_id).withColumn("batch_id", F.lit(batch_id))
+            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy("batch_id").parquet(metrics_path))
+            payload = to_payload(batch)
+            if kafka_bootstrap:
+                (payload.write.format("kafka").option("kafka.bootstrap.servers", kafka_bootstrap)
+                        .option("topic", ENRICHED_TOPIC).save())
+            elif payload_path:
+                (payload.withColumn("batch_id", F.lit(batch_id))
+                        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                        .partitionBy("batch_id").parquet(payload_path))
+        finally:
+            batch.unpersist()
+    return write
+
+
+def start_live_job(posts: DataFrame, metrics_path: str, checkpoint: str,
+                   payload_path: str | None = None, kafka_bootstrap: str | None = None,
+                   available_now: bool = False):
+    """Start the live job; 10-second trigger, or ``availableNow`` for a bounded run."""
+    writer = (live_posts(posts).writeStream
+              .foreachBatch(make_batch_writer(metrics_path, payload_path, kafka_bootstrap))
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else \
+        writer.trigger(processingTime=TRIGGER_INTERVAL)
+    return writer.start()
+
+
+def start_append(df: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Append a stream to parquet files (exactly-once file sink)."""
+    w = (df.writeStream.outputMode("append").format("parquet")
+         .option("path", path).option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=TRIGGER_INTERVAL)
+    return w.start()
+
+
+# ---- registered (bounded) runs over the driver tables ----------------------------------------------
+
+def _run_append(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    base = scratch_path(spark, name)
+    q = start_append(df, os.path.join(base, "out"), os.path.join(base, "checkpoint"))
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out"))
+
+
+def stream_hourly_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly tag counts from the event stream, finished windows only."""
+    posts = with_event_time(event_posts_stream(spark, sf_dir))
+    return _run_append(spark, hourly_hashtag_counts(posts), "stream_hourly_hashtags")
+
+
+def stream_sentiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label counts summed over the live job's per-batch metric rows."""
+    base = scratch_path(spark, "stream_live")
+    metrics = os.path.join(base, "metrics")
+    q = start_live_job(event_posts_stream(spark, sf_dir), metrics, os.path.join(base, "checkpoint"),
+                       payload_path=os.path.join(base, "payload"), available_now=True)
+    q.awaitTermination()
+    rows = spark.read.parquet(metrics)
+    return (rows.filter(F.col("metric") == "sentiment").groupBy(F.col("key").alias("sentiment"))
+                .agg(F.sum("value").cast("long").alias("cnt")))
+
+
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Viral alerts from the de-duplicated event stream."""
+    posts = with_event_time(event_posts_stream(spark, sf_dir)).dropDuplicatesWithinWatermark(["tweet_id"])
+    return _run_append(spark, viral_alerts(posts), "stream_alerts")
