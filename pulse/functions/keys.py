@@ -39,25 +39,37 @@ def row_key(user_id="user_id", ts_millis="timestamp") -> Column:
                     F.lpad(reversed_ts(ts_millis).cast("string"), REV_TS_WIDTH, "0"))
 
 
-_KEY_PATTERN = r"^([^_]+)_(.+)_([^_]+)$"
+_VALID_KEY = r"^[^_]+_.+_[0-9]+$"
+
+
+def row_key_is_valid(key="row_key") -> Column:
+    """A key parses when it has a non-empty user part between the first and last
+    separator and a numeric reversed timestamp that fits in a long.
+
+    Kept to two references of ``key`` because the optimizer copies filter
+    conditions below projections.
+    """
+    k = _c(key)
+    return k.rlike(_VALID_KEY) & F.regexp_extract(k, r"_([0-9]+)$", 1).try_cast("long").isNotNull()
 
 
 def parse_row_key(key="row_key") -> Column:
     """Split a key on its first and last separator.
 
-    Returns ``struct(salt, user_id, rev_ts)``; fields are null for keys that do
-    not parse (no separators, empty user, non-numeric reversed timestamp).
+    Returns ``struct(salt, user_id, rev_ts)``; null for keys that do not parse
+    (see :func:`row_key_is_valid`).
     """
     k = _c(key)
-    user = F.regexp_extract(k, _KEY_PATTERN, 2)
-    rev = F.regexp_extract(k, _KEY_PATTERN, 3)
-    rev_num = F.when(rev.rlike("^[0-9]+$"), rev.try_cast("long"))
-    ok = (user != "") & rev_num.isNotNull()
-    return F.struct(
-        F.when(ok, F.regexp_extract(k, _KEY_PATTERN, 1).try_cast("long")).alias("salt"),
-        F.when(ok, user).alias("user_id"),
-        F.when(ok, rev_num).alias("rev_ts"),
-    )
+    parts = F.split(k, KEY_SEPARATOR)
+    head = F.element_at(parts, 1)
+    tail = F.element_at(parts, -1)
+    user = F.substring(k, F.length(head) + F.lit(2),
+                       F.length(k) - F.length(head) - F.length(tail) - F.lit(2))
+    return F.when(row_key_is_valid(k), F.struct(
+        head.try_cast("long").alias("salt"),
+        user.alias("user_id"),
+        tail.try_cast("long").alias("rev_ts"),
+    ))
 
 
 def hour_bucket(ts_millis="timestamp") -> Column:

@@ -1,0 +1,20 @@
+"""Partition-count helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_rows(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
+    """Spread ``df`` over the cluster's cores when it arrives in fewer splits.
+
+    For CPU-heavy row-local work (tokenising texts, hashing keys) on an input
+    made of a few large files.  Hash partitioning on ``keys`` keeps a retried
+    task's rows identical (a round-robin split would need a sort first).  On a
+    large input the scan already has more splits than cores and ``df`` is
+    returned unchanged, so no shuffle is added at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -12,14 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.functions.keys import hour_bucket, parse_row_key
+from pulse.functions.keys import hour_bucket, parse_row_key, row_key_is_valid
 from pulse.functions.tags import join_tags, split_tags
 from pulse.operators import aggregates as agg
 from pulse.operators.lookups import attach
+from pulse.operators.partitioning import spread_rows
 from pulse.operators.rankings import shares_of_total
 from pulse.operators.sentiment import score_sentiment
 from pulse.plans import batch, serving, store
 from pulse.schemas import RAW_POST
+from pulse.session import checkpoint_dir
 from pulse.sources import fixture
 from pulse.sources.posts import normalize_posts, parse_posts, to_payload
 
@@ -147,7 +149,7 @@ def q_enriched_posts(spark, sf):
 
 
 def q_document_sentiment(spark, sf):
-    docs = fixture.read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_rows(fixture.read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return score_sentiment(docs, "text", id_col="doc_id").select("doc_id", "sentiment", "sentiment_score")
 
 
@@ -166,9 +168,9 @@ def q_parse_row_key(spark, sf):
     p = _posts(spark, sf)
     key = (F.when(F.col("text").isNull(), F.concat("row_key", F.lit("x")))
            .when(F.col("text") == "", F.lit("x")).otherwise(F.col("row_key")))
-    parsed = p.select(key.alias("key")).select("key", parse_row_key("key").alias("k"))
-    return (parsed.filter(F.col("k.user_id").isNotNull())
-            .select("key", "k.salt", "k.user_id", "k.rev_ts"))
+    keys = p.select(key.alias("key")).filter(row_key_is_valid("key"))
+    return keys.select("key", parse_row_key("key").alias("k")).select(
+        "key", "k.salt", "k.user_id", "k.rev_ts")
 
 
 def q_tags_roundtrip(spark, sf):
@@ -222,12 +224,22 @@ def q_metric_rows(spark, sf):
     return store.metric_rows(_posts(spark, sf))
 
 
+def _stored_metrics(spark, sf):
+    """Metric rows, materialised once (reliable checkpoint in the shared folder).
+
+    Both latest and retention read the rows twice (aggregate + semi join); the
+    checkpoint cuts the lineage so the posts are not scored twice.
+    """
+    checkpoint_dir(spark)
+    return store.metric_rows(_posts(spark, sf)).checkpoint(eager=True)
+
+
 def q_latest_metrics(spark, sf):
-    return store.latest_metrics(store.metric_rows(_posts(spark, sf)))
+    return store.latest_metrics(_stored_metrics(spark, sf))
 
 
 def q_retention_metrics(spark, sf):
-    return store.apply_metric_retention(store.metric_rows(_posts(spark, sf)), _as_of(spark, sf))
+    return store.apply_metric_retention(_stored_metrics(spark, sf), _as_of(spark, sf))
 
 
 def q_retention_posts(spark, sf):

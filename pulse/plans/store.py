@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulse.functions.keys import (bucket_to_hour_start, day_partition, hour_bucket,
-                                  reversed_ts, row_key, salt)
+from pulse.functions.keys import day_partition, hour_bucket, reversed_ts, row_key, salt
 from pulse.operators.aggregates import TOP_HASHTAGS, exploded_tags
 from pulse.operators.joins import bounded_broadcast
 from pulse.schemas import POST_FAMILIES, STORED_POST
@@ -146,22 +145,48 @@ def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS) -> DataFrame:
 
 
 def write_metric_rows(rows: DataFrame, path: str) -> None:
-    """Idempotent per (metric, bucket): a rerun replaces exactly those partitions."""
-    (rows.repartition("metric", "bucket").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy("metric", "bucket").parquet(path))
+    """Partitioned by hour ``bucket``; a rerun of an hour replaces exactly that hour.
+
+    One partition per hour (not per metric and hour, which would make many
+    tiny files); inside it rows are clustered by metric for statistics pruning.
+    """
+    (rows.repartition("bucket").sortWithinPartitions("metric", "key")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(path))
+
+
+def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The stored metric rows; ``bucket`` is the partition column."""
+    return spark.read.parquet(path).select("metric", "bucket", "key", "value")
 
 
 def latest_metrics(rows: DataFrame) -> DataFrame:
-    """For every metric, the rows of its newest bucket (the ``*_latest`` snapshots, O30)."""
+    """For every metric, the rows of its newest bucket (the ``*_latest`` snapshots, O30).
+
+    The per-metric maximum is a small aggregate (partial, then final); on the
+    stored table the semi join on ``bucket`` prunes the scan to the newest
+    hour partitions at run time (dynamic partition pruning).  No window over a
+    whole metric, which would put one metric's rows in one task.
+    """
     newest = rows.groupBy("metric").agg(F.max("bucket").alias("bucket"))
     return rows.join(newest, ["metric", "bucket"], "left_semi")
 
 
+def metric_retention_cutoff(as_of_ms: int, ttl_s: int = METRICS_TTL_S) -> str:
+    """Oldest hour bucket still alive at ``as_of`` (a literal, for partition pruning)."""
+    import datetime as _dt
+    oldest_ms = as_of_ms - ttl_s * 1000
+    hour_ms = -(-oldest_ms // HOUR_MS) * HOUR_MS          # first hour start >= oldest
+    when = _dt.datetime(1970, 1, 1) + _dt.timedelta(milliseconds=hour_ms)
+    return when.strftime("%Y%m%d%H")
+
+
 def apply_metric_retention(rows: DataFrame, as_of_ms: int, ttl_s: int = METRICS_TTL_S) -> DataFrame:
-    """Keep rows whose hour started at most ``ttl_s`` before ``as_of``."""
-    start_ms = F.unix_millis(bucket_to_hour_start("bucket"))
-    return rows.filter(F.lit(int(as_of_ms)) - start_ms <= F.lit(ttl_s * 1000))
+    """Keep rows whose hour started at most ``ttl_s`` before ``as_of``.
+
+    Expressed as ``bucket >= literal`` so a stored table prunes partitions.
+    """
+    return rows.filter(F.col("bucket") >= F.lit(metric_retention_cutoff(as_of_ms, ttl_s)))
 
 
 # ---- users --------------------------------------------------------------------------

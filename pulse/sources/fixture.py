@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.operators.joins import bounded_broadcast
+from pulse.operators.partitioning import spread_rows
 
 # The post sentences of the fixture, chosen by event_id % 9.
 # Index 7 is the empty text and 8 (the ELSE branch) is a null text.
@@ -81,7 +82,7 @@ def tweets(spark: SparkSession, sf_dir: str, since_ms: int | None = None,
     if until_ms is not None:
         events = events.filter(F.col("ts") < _ntz_literal(until_ms))
     nation = bounded_broadcast(read_table(spark, sf_dir, "nation"), max_rows=10_000)
-    return derive_posts(events, nation)
+    return derive_posts(spread_rows(events, "event_id"), nation)
 
 
 def max_timestamp(spark: SparkSession, sf_dir: str) -> int:
