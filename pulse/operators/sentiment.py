@@ -22,6 +22,8 @@ from __future__ import annotations
 import csv
 import os
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -163,8 +165,6 @@ def sentiment_udf(scorer):
     The hook for a different scoring model; the built-in lexicon job above is
     the default because it stays inside the JVM.
     """
-    import pandas as pd
-
     @F.pandas_udf(DoubleType())
     def _score(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: float(scorer(t)) if isinstance(t, str) and t else 0.0)
