@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.keys import day_partition, hour_bucket, reversed_ts, row_key, salt
+from pulse.functions.tags import clean_tags
 from pulse.operators.aggregates import TOP_HASHTAGS, exploded_tags
 from pulse.operators.joins import bounded_broadcast
 from pulse.schemas import POST_FAMILIES, STORED_POST
+from pulse.session import checkpoint_dir
 
 # Time to live of stored cells (seconds), per the table definitions.
 ANALYSIS_TTL_S = 7_776_000     # 90 days, post sentiment cells only
@@ -43,12 +45,14 @@ def stored_posts(enriched: DataFrame) -> DataFrame:
 
 
 def write_post_table(posts: DataFrame, path: str, bloom_filter: bool = True) -> None:
-    """Append-safe rewrite of the days present in ``posts`` (dynamic overwrite).
+    """Rewrite the days present in ``posts`` (dynamic partition overwrite).
 
-    ``repartition(day, salt)`` spreads one day over up to ten writers, so a hot
-    day is not a single task; files are sorted by key for statistics pruning.
+    Range partitioning on (day, row_key) gives each writer a contiguous key
+    range: a hot day or a hot user (one salt, many reversed timestamps) is cut
+    into several tasks by sampled bounds, and every file covers a disjoint
+    key range, so key and user lookups skip files by min/max statistics.
     """
-    writer = (posts.repartition("day", "salt").sortWithinPartitions("row_key")
+    writer = (posts.repartitionByRange("day", "row_key").sortWithinPartitions("day", "row_key")
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic"))
     if bloom_filter:
         writer = writer.option("parquet.bloom.filter.enabled#user_id", "true")
@@ -112,7 +116,22 @@ def apply_post_retention(posts: DataFrame, as_of_ms: int, ttl_s: int = ANALYSIS_
 
 # ---- metric rows ------------------------------------------------------------------
 
-def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS) -> DataFrame:
+def metric_base(posts: DataFrame) -> DataFrame:
+    """One aggregate from which every hourly metric is derived.
+
+    Per (bucket, location, sentiment, hashtag): ``uses`` (tag uses) and
+    ``posts`` (posts, each counted once through its first tag, or its only
+    row when it has no tags).  One pass over the posts, one shuffle, with a
+    map-side partial aggregate, so a hot tag or country is combined per task.
+    """
+    exploded = posts.select(hour_bucket("timestamp").alias("bucket"), "location", "sentiment",
+                            F.posexplode_outer(clean_tags("hashtags")).alias("pos", "hashtag"))
+    return exploded.groupBy("bucket", "location", "sentiment", "hashtag").agg(
+        F.count("hashtag").alias("uses"),
+        F.count_if(F.col("pos").isNull() | (F.col("pos") == 0)).alias("posts"))
+
+
+def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS, materialize: bool = True) -> DataFrame:
     """All hourly metrics of ``posts`` as long rows (metric, bucket, key, value).
 
     * ``hashtag``   : uses of every tag in the hour (history source)
@@ -120,15 +139,22 @@ def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS) -> DataFrame:
     * ``sentiment`` : posts per label in the hour
     * ``geo``       : posts per country in the hour
     * ``geo_{country}`` : posts per label for one country in the hour
+
+    The posts are read once into :func:`metric_base`; with ``materialize`` the
+    base is checkpointed (reliable, in the shared checkpoint folder), so the
+    five metrics re-aggregate that small result instead of re-reading posts.
     """
-    b = hour_bucket("timestamp").alias("bucket")
-    tags = (exploded_tags(posts, "timestamp").groupBy(b, "hashtag")
-            .agg(F.count(F.lit(1)).alias("value")))
+    base = metric_base(posts)
+    if materialize:
+        checkpoint_dir(posts.sparkSession)
+        base = base.checkpoint(eager=True)
+    tags = (base.filter(F.col("hashtag").isNotNull())
+            .groupBy("bucket", "hashtag").agg(F.sum("uses").alias("value")))
     w = Window.partitionBy("bucket").orderBy(F.desc("value"), F.asc("hashtag"))
     trending = tags.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_k)
-    sent = posts.groupBy(b, "sentiment").agg(F.count(F.lit(1)).alias("value"))
-    geo_detail = (posts.filter(F.col("location") != "")
-                  .groupBy(b, "location", "sentiment").agg(F.count(F.lit(1)).alias("value")))
+    per_loc = base.groupBy("bucket", "location", "sentiment").agg(F.sum("posts").alias("value"))
+    sent = per_loc.groupBy("bucket", "sentiment").agg(F.sum("value").alias("value"))
+    geo_detail = per_loc.filter(F.col("location") != "")
     geo = geo_detail.groupBy("bucket", "location").agg(F.sum("value").alias("value"))
     parts = [
         tags.select(F.lit("hashtag").alias("metric"), "bucket", F.col("hashtag").alias("key"), "value"),
@@ -141,16 +167,17 @@ def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("value", F.col("value").cast("long"))
+    return out.filter(F.col("value") > 0).withColumn("value", F.col("value").cast("long"))
 
 
 def write_metric_rows(rows: DataFrame, path: str) -> None:
     """Partitioned by hour ``bucket``; a rerun of an hour replaces exactly that hour.
 
     One partition per hour (not per metric and hour, which would make many
-    tiny files); inside it rows are clustered by metric for statistics pruning.
+    tiny files).  Range partitioning on (bucket, metric, key) splits a large
+    hour across writers and clusters rows by metric for statistics pruning.
     """
-    (rows.repartition("bucket").sortWithinPartitions("metric", "key")
+    (rows.repartitionByRange("bucket", "metric", "key").sortWithinPartitions("bucket", "metric", "key")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(path))
 
