@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Checks already made in this application, keyed by the plan's semantic hash and
+# the exact input files (a rewritten table has new file names, so it is rechecked).
+_CHECKED: dict[tuple, bool] = {}
+
+
+def _memo_key(df: DataFrame, max_rows: int):
+    try:
+        files = tuple(sorted(df.inputFiles()))
+    except Exception:  # noqa: BLE001 - non-file sources are simply not memoised
+        return None
+    if not files:
+        return None
+    app = df.sparkSession.sparkContext.applicationId
+    return (app, df.semanticHash(), files, max_rows)
+
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = _memo_key(df, max_rows)
+    if key is not None and key in _CHECKED:
+        return _CHECKED[key]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        _CHECKED[key] = ok
+    return ok
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

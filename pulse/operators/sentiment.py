@@ -127,10 +127,10 @@ def score_sentiment(df: DataFrame, text: str = "text", lexicon=None, modifiers=N
     inline = None if method == "join" else _lexicon_dict(lexicon)
     if inline is not None:
         raw = raw_score_inline(text, inline, modifiers)
-        return (df.withColumn("_raw_score", raw)
-                  .withColumn(label_col, label("_raw_score"))
-                  .withColumn(score_col, F.round("_raw_score", SCORE_DECIMALS))
-                  .drop("_raw_score"))
+        keep = [c for c in df.columns if c not in (label_col, score_col)]
+        return (df.select(*keep, raw.alias("_raw_score"))
+                  .select(*keep, label("_raw_score").alias(label_col),
+                          F.round("_raw_score", SCORE_DECIMALS).alias(score_col)))
     if id_col is None:
         raise ValueError("the join form needs a unique id column (id_col)")
     lex_df = lexicon if isinstance(lexicon, DataFrame) else lexicon_frame(

@@ -22,6 +22,13 @@ _REQUIRED_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Static settings, only applied when this module builds the session.  Building
+# a plan from Python makes one JVM call per column function; with DataFrame
+# debugging on, each also records its Python call site (three more calls).
+_STATIC_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "pulse", extra: dict | None = None) -> SparkSession:
@@ -32,7 +39,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in {**_REQUIRED_CONF, **(extra or {})}.items():
+    for key, value in {**_STATIC_CONF, **_REQUIRED_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     configure(spark)

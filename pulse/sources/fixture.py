@@ -16,25 +16,53 @@ from pyspark.sql import functions as F
 from pulse.operators.joins import bounded_broadcast
 from pulse.operators.partitioning import spread_rows
 
-# The post sentences of the fixture, chosen by event_id % 9.
-# Index 7 is the empty text and 8 (the ELSE branch) is a null text.
-SENTENCES = [
-    ("great day with #", ""),
-    ("just read about #", ""),
-    ("#", " is broken again"),
-    ("not great, #", ""),
-    ("I love my #", " project"),
-    ("#", " at noon"),
-    ("terrible #", " , I hate it"),
-]
 NATION_COUNT = 26   # event_id % 26 picks the nation; key 25 has no nation -> blank country
 
+# The posts view, column by column, in Spark SQL (FIXTURES.md §3, Spark form).
+# The sentences by event_id % 9 (7 is empty text, 8 is null).
+POST_COLUMNS_SQL = [
+    "CAST(event_id AS STRING) AS tweet_id",
+    "concat('user_', user_id) AS user_id",
+    """CASE event_id % 9
+         WHEN 0 THEN concat('great day with #', event_type)
+         WHEN 1 THEN concat('just read about #', event_type)
+         WHEN 2 THEN concat('#', event_type, ' is broken again')
+         WHEN 3 THEN concat('not great, #', event_type)
+         WHEN 4 THEN concat('I love my #', event_type, ' project')
+         WHEN 5 THEN concat('#', event_type, ' at noon')
+         WHEN 6 THEN concat('terrible #', event_type, ' , I hate it')
+         WHEN 7 THEN ''
+         ELSE NULL END AS text""",
+    """CASE WHEN event_id % 7 = 0 THEN CAST(array() AS array<string>)
+            WHEN event_id % 3 = 0 THEN array(concat('#', event_type))
+            ELSE array(concat('#', event_type),
+                       concat('#k', CAST(get_json_object(props, '$.k') AS INT) % 10)) END AS hashtags""",
+    "CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(floor(value * 20) AS INT) END AS likes",
+    "CAST(get_json_object(props, '$.k') AS INT) AS retweets",
+    "unix_millis(CAST(ts AS TIMESTAMP)) AS `timestamp`",
+    f"event_id % {NATION_COUNT} AS _nk",
+    "date_format(ts, 'yyyyMMddHH') AS bucket",
+]
+
 COLUMNS = ["tweet_id", "user_id", "text", "hashtags", "likes", "retweets",
            "timestamp", "location", "bucket"]
 
 
+# Declared schemas of the driver tables this library reads (no footer inference).
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+              "props string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _ntz_literal(ms: int):
@@ -45,32 +73,11 @@ def _ntz_literal(ms: int):
 
 def derive_posts(events: DataFrame, nation: DataFrame) -> DataFrame:
     """Map events to posts; works on batch and streaming ``events`` alike."""
-    eid = F.col("event_id")
-    etype = F.col("event_type")
-    k = F.get_json_object(F.col("props"), "$.k").cast("int")
-    text = F.when((eid % 9) == 7, F.lit(""))
-    for i, (head, tail) in enumerate(SENTENCES):
-        text = text.when((eid % 9) == i, F.concat(F.lit(head), etype, F.lit(tail)))
-    tag = F.concat(F.lit("#"), etype)
-    hashtags = (F.when((eid % 7) == 0, F.array().cast("array<string>"))
-                .when((eid % 3) == 0, F.array(tag))
-                .otherwise(F.array(tag, F.concat(F.lit("#k"), (k % 10).cast("string")))))
-    posts = events.select(
-        eid.cast("string").alias("tweet_id"),
-        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_id"),
-        text.alias("text"),
-        hashtags.alias("hashtags"),
-        F.when((eid % 11) == 0, F.lit(None).cast("int"))
-         .otherwise(F.floor(F.col("value") * 20).cast("int")).alias("likes"),
-        k.alias("retweets"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
-        (eid % NATION_COUNT).alias("_nk"),
-        F.date_format(F.col("ts"), "yyyyMMddHH").alias("bucket"),
-    )
-    dim = nation.select(F.col("n_nationkey").cast("long").alias("_nk"), F.col("n_name"))
+    posts = events.selectExpr(*POST_COLUMNS_SQL)
+    dim = nation.selectExpr("CAST(n_nationkey AS BIGINT) AS _nk", "n_name")
     return (posts.join(dim, "_nk", "left")
-            .withColumn("location", F.coalesce(F.col("n_name"), F.lit("")))
-            .select(*COLUMNS))
+            .selectExpr("tweet_id", "user_id", "text", "hashtags", "likes", "retweets",
+                        "`timestamp`", "coalesce(n_name, '') AS location", "bucket"))
 
 
 def tweets(spark: SparkSession, sf_dir: str, since_ms: int | None = None,
