@@ -282,6 +282,20 @@ def q_trending_latest(spark, sf):
     return serving.trending_latest(_posts(spark, sf), 10)
 
 
+def q_trending_from_metrics(spark, sf):
+    return serving.trending_from_metrics(store.latest_metrics(_stored_metrics(spark, sf)), 10)
+
+
+def q_geo_sentiment_sql(spark, sf):
+    batch.register_views(spark, sf)
+    return batch.geo_sentiment_sql(spark)
+
+
+def q_top_users_sql(spark, sf):
+    batch.register_views(spark, sf)
+    return batch.top_users_sql(spark, 20)
+
+
 def q_trending_ranked(spark, sf):
     return serving.trending_ranked(_top10(spark, sf))
 

@@ -304,6 +304,15 @@ GROUP BY 1 ORDER BY hour DESC LIMIT 24"""),
 SELECT hashtag, count(*) AS cnt FROM tags
 WHERE "timestamp" >= {AS_OF} // {HOUR} * {HOUR} AND "timestamp" < {AS_OF} // {HOUR} * {HOUR} + {HOUR}
 GROUP BY 1 ORDER BY cnt DESC, hashtag LIMIT 10"""),
+    "trending_from_metrics": with_ctes("""
+SELECT key AS hashtag, CAST(value AS BIGINT) AS cnt FROM metric_rows
+WHERE metric = 'hashtag' AND bucket = (SELECT max(bucket) FROM metric_rows WHERE metric = 'hashtag')
+ORDER BY cnt DESC, hashtag LIMIT 10""", METRICS),
+    "geo_sentiment_sql": with_ctes("""
+SELECT location, sentiment, count(*) AS cnt FROM posts WHERE location <> '' GROUP BY 1, 2"""),
+    "top_users_sql": with_ctes("""
+SELECT user_id, count(*) AS tweet_count, CAST(coalesce(sum(coalesce(likes, 0)), 0) AS BIGINT) AS total_likes
+FROM posts GROUP BY user_id ORDER BY tweet_count DESC, user_id LIMIT 20"""),
     "trending_ranked": with_ctes("""
 SELECT hashtag, cnt, row_number() OVER (ORDER BY cnt DESC, hashtag) AS rank,
        coalesce(100.0 * cnt / nullif(max(cnt) OVER (), 0), 0.0) AS share_of_max

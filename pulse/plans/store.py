@@ -92,6 +92,11 @@ def user_posts(posts: DataFrame, user_id: str) -> DataFrame:
                  .orderBy("rev_ts", "row_key"))
 
 
+def point_get(df: DataFrame, key: str, key_col: str = "row_key") -> DataFrame:
+    """The row with ``key`` (zero rows when missing); an equality pushed to the scan."""
+    return df.filter(F.col(key_col) == F.lit(key))
+
+
 def bounded_scan(df: DataFrame, n: int, key_col: str = "row_key") -> DataFrame:
     """The first ``n`` rows in key order (TakeOrderedAndProject, exact)."""
     return df.orderBy(key_col).limit(n)

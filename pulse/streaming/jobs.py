@@ -129,6 +129,8 @@ def make_batch_writer(metrics_path: str, payload_path: str | None = None,
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            if batch.isEmpty():          # an empty micro-batch writes nothing
+                return
             rows = batch_metric_rows(batch, batch_id).withColumn("batch_id", F.lit(batch_id))
             (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                  .partitionBy("batch_id").parquet(metrics_path))
@@ -157,6 +159,36 @@ def start_live_job(posts: DataFrame, metrics_path: str, checkpoint: str,
     return writer.start()
 
 
+def start_post_table_writer(enriched: DataFrame, path: str, checkpoint: str,
+                            available_now: bool = False):
+    """Second consumer of the enriched stream: append post-table rows by ``day``.
+
+    Its own checkpoint, so it progresses independently of the live job; the
+    file sink's commit log makes the appends exactly-once.
+    """
+    from pulse.plans.store import stored_posts
+    rows = stored_posts(enriched)
+    w = (rows.writeStream.outputMode("append").format("parquet").partitionBy("day")
+         .option("path", path).option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=TRIGGER_INTERVAL)
+    return w.start()
+
+
+def start_alerts(posts: DataFrame, checkpoint: str, kafka_bootstrap: str | None = None,
+                 path: str | None = None, available_now: bool = False):
+    """Viral alerts to their topic (Kafka) or to parquet files."""
+    alerts = viral_alerts(posts)
+    if kafka_bootstrap:
+        w = (to_payload(alerts, ["tweet_id", "user_id", "likes", "timestamp"]).writeStream
+             .format("kafka").option("kafka.bootstrap.servers", kafka_bootstrap)
+             .option("topic", ALERT_TOPIC))
+    else:
+        w = alerts.writeStream.format("parquet").option("path", path)
+    w = w.outputMode("append").option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=TRIGGER_INTERVAL)
+    return w.start()
+
+
 def start_append(df: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Append a stream to parquet files (exactly-once file sink)."""
     w = (df.writeStream.outputMode("append").format("parquet")

@@ -82,3 +82,21 @@ def test_prefix_and_bounded_scan(spark):
     assert store.prefix_scan(posts, "3_").filter(F.col("salt") != 3).count() == 0
     keys = [r.row_key for r in store.bounded_scan(posts, 20).collect()]
     assert keys == sorted(r.row_key for r in posts.select("row_key").collect())[:20]
+
+
+def test_point_get(spark):
+    posts = batch.stored_posts(spark, SF_SMALL)
+    key = posts.select("row_key").orderBy("row_key").first().row_key
+    assert store.point_get(posts, key).count() >= 1
+    assert store.point_get(posts, "no_such_key").count() == 0
+
+
+def test_sql_forms_equal_dataframe_forms(spark):
+    from pulse.operators import aggregates as agg
+    batch.register_views(spark, SF_SMALL)
+    sql_geo = batch.geo_sentiment_sql(spark)
+    df_geo = agg.geo_sentiment(batch.stored_posts(spark, SF_SMALL))
+    assert sql_geo.exceptAll(df_geo).count() == 0 and df_geo.exceptAll(sql_geo).count() == 0
+    sql_top = [tuple(r) for r in batch.top_users_sql(spark, 5).collect()]
+    df_top = [tuple(r) for r in agg.top_users(batch.stored_posts(spark, SF_SMALL), 5).collect()]
+    assert sql_top == df_top

@@ -14,6 +14,7 @@ from pulse.sources import fixture
 from pulse.streaming import jobs
 
 HOUR = 3_600_000
+DAY_MS = 86_400_000
 
 
 def test_stream_equals_batch_on_finished_windows(spark):
@@ -90,3 +91,29 @@ def test_live_job_writes_idempotent_batches(spark, tmp_dir):
     assert spark.read.parquet(metrics).count() == n_rows
     msgs = spark.read.parquet(payload).collect()
     assert len(msgs) == 2 and all('"sentiment"' in m.value for m in msgs)
+
+
+def test_empty_batch_writes_nothing(spark, tmp_dir):
+    empty = spark.createDataFrame([], RAW_POST)
+    metrics = os.path.join(tmp_dir, "metrics")
+    jobs.make_batch_writer(metrics)(batch.enrich(empty), 3)
+    assert not os.path.exists(metrics)
+
+
+def test_second_consumer_and_alerts(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "in")
+    t0 = 1_704_067_200_000
+    _write_lines(src, "f0.json", [_post("1", t0, likes=3000), _post("2", t0 + DAY_MS, likes=7)])
+    posts, _ = jobs.parse_stream(jobs.file_messages(spark, src))
+    live = jobs.live_posts(posts)
+    table = os.path.join(tmp_dir, "posts")
+    q1 = jobs.start_post_table_writer(live, table, os.path.join(tmp_dir, "ck1"), available_now=True)
+    q1.awaitTermination()
+    from pulse.plans.store import read_post_table
+    stored = read_post_table(spark, table)
+    assert sorted(r.day for r in stored.select("day").collect()) == ["2024-01-01", "2024-01-02"]
+    assert {r.row_key.split("_")[1] for r in stored.collect()} == {"user"}
+    alerts = os.path.join(tmp_dir, "alerts")
+    q2 = jobs.start_alerts(live, os.path.join(tmp_dir, "ck2"), path=alerts, available_now=True)
+    q2.awaitTermination()
+    assert [(r.tweet_id, r.likes) for r in spark.read.parquet(alerts).collect()] == [("1", 3000)]
