@@ -278,6 +278,14 @@ def q_hashtag_history(spark, sf):
     return serving.hashtag_history(_posts(spark, sf), "#click", 24)
 
 
+def q_hashtag_history_from_metrics(spark, sf):
+    return serving.hashtag_history_from_metrics(_stored_metrics(spark, sf), "#click", 24)
+
+
+def q_sentiment_timeline_from_metrics(spark, sf):
+    return serving.sentiment_timeline_from_metrics(_stored_metrics(spark, sf), _as_of(spark, sf), 24)
+
+
 def q_trending_latest(spark, sf):
     return serving.trending_latest(_posts(spark, sf), 10)
 

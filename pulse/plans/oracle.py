@@ -308,6 +308,10 @@ GROUP BY 1 ORDER BY cnt DESC, hashtag LIMIT 10"""),
 SELECT key AS hashtag, CAST(value AS BIGINT) AS cnt FROM metric_rows
 WHERE metric = 'hashtag' AND bucket = (SELECT max(bucket) FROM metric_rows WHERE metric = 'hashtag')
 ORDER BY cnt DESC, hashtag LIMIT 10""", METRICS),
+    "hashtag_history_from_metrics": with_ctes("""
+SELECT hb AS hour, count(*) AS "count" FROM tags WHERE hashtag = '#click'
+GROUP BY 1 ORDER BY hour DESC LIMIT 24"""),
+    "sentiment_timeline_from_metrics": with_ctes("SELECT * FROM tl", "," + _timeline(24)),
     "geo_sentiment_sql": with_ctes("""
 SELECT location, sentiment, count(*) AS cnt FROM posts WHERE location <> '' GROUP BY 1, 2"""),
     "top_users_sql": with_ctes("""

@@ -30,6 +30,20 @@ TOP_USERS_LIMIT, TOP_USERS_MIN, TOP_USERS_MAX = 10, 1, 50
 HOUR_MS = 3_600_000
 
 
+def _time_range(posts: DataFrame, lo_ms: int, hi_ms: int | None = None) -> DataFrame:
+    """``lo <= timestamp < hi`` as literal filters; also prunes ``day`` partitions."""
+    cond = F.col("timestamp") >= F.lit(int(lo_ms))
+    if hi_ms is not None:
+        cond = cond & (F.col("timestamp") < F.lit(int(hi_ms)))
+    out = posts.filter(cond)
+    if "day" in posts.columns:
+        day = lambda ms: F.date_format(F.timestamp_millis(F.lit(int(ms))), "yyyy-MM-dd")
+        out = out.filter(F.col("day") >= day(lo_ms))
+        if hi_ms is not None:
+            out = out.filter(F.col("day") <= day(hi_ms))
+    return out
+
+
 def _check(value: int, lo: int, hi: int, name: str) -> int:
     if not lo <= value <= hi:
         raise ValueError(f"{name} must be in [{lo}, {hi}], got {value}")
@@ -104,7 +118,7 @@ def trending_latest(posts: DataFrame, limit: int = TRENDING_LIMIT) -> DataFrame:
     if newest is None:
         return agg.hashtag_counts(posts.limit(0))
     start = (newest // HOUR_MS) * HOUR_MS
-    hour = posts.filter((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") < F.lit(start + HOUR_MS)))
+    hour = _time_range(posts, start, start + HOUR_MS)
     return agg.top_k(agg.hashtag_counts(hour), limit, "cnt", "hashtag")
 
 
@@ -126,6 +140,36 @@ def hashtag_history(posts: DataFrame, hashtag: str, hours: int = HISTORY_HOURS)
                   .orderBy(F.desc("hour")).limit(hours))
 
 
+def hashtag_history_from_metrics(metric_rows: DataFrame, hashtag: str,
+                                 hours: int = HISTORY_HOURS) -> DataFrame:
+    """Same answer as :func:`hashtag_history`, read from the stored metric rows.
+
+    ``metric = 'hashtag' AND key = tag`` are pushed to the scan; rows are
+    clustered by (metric, key) inside each hour file, so most row groups are
+    skipped by statistics instead of scanning every post's tag list.
+    """
+    rows = metric_rows.filter((F.col("metric") == "hashtag") & (F.col("key") == hashtag))
+    return (rows.select(F.col("bucket").alias("hour"), F.col("value").alias("count"))
+                .orderBy(F.desc("hour")).limit(hours))
+
+
+def sentiment_timeline_from_metrics(metric_rows: DataFrame, as_of_ms: int,
+                                    hours: int = TIMELINE_HOURS) -> DataFrame:
+    """Same answer as :func:`sentiment_timeline`, read from ``sentiment`` metric rows.
+
+    The hour range is a literal filter on the partition column ``bucket``.
+    """
+    _check(hours, TIMELINE_MIN, TIMELINE_MAX, "hours")
+    lo, hi = _timeline_range(as_of_ms, hours)
+    fmt = lambda ms: F.date_format(F.timestamp_millis(F.lit(int(ms))), HOUR_BUCKET_FORMAT)
+    rows = metric_rows.filter((F.col("metric") == "sentiment") & (F.col("bucket") >= fmt(lo))
+                              & (F.col("bucket") < fmt(hi)))
+    return (rows.groupBy(F.col("bucket").alias("hour"))
+                .agg(*[F.coalesce(F.sum(F.when(F.col("key") == lab, F.col("value"))), F.lit(0))
+                       .cast("long").alias(lab) for lab in agg.LABELS])
+                .orderBy("hour"))
+
+
 def sentiment_stats(posts: DataFrame) -> DataFrame:
     """One row with the three label counts (O26); missing labels are 0."""
     return agg.label_counts_row(posts).select(*agg.LABELS)
@@ -143,7 +187,7 @@ def sentiment_timeline(posts: DataFrame, as_of_ms: int, hours: int = TIMELINE_HO
     """
     _check(hours, TIMELINE_MIN, TIMELINE_MAX, "hours")
     lo, hi = _timeline_range(as_of_ms, hours)
-    win = posts.filter((F.col("timestamp") >= F.lit(lo)) & (F.col("timestamp") < F.lit(hi)))
+    win = _time_range(posts, lo, hi)
     return (win.groupBy(hour_bucket("timestamp").alias("hour"))
                .agg(*[F.count_if(F.col("sentiment") == lab).alias(lab) for lab in agg.LABELS])
                .orderBy("hour"))
