@@ -21,6 +21,7 @@ from pulse.operators.rankings import shares_of_total
 from pulse.operators.sentiment import score_sentiment
 from pulse.plans import batch, serving, store
 from pulse.schemas import RAW_POST
+from pulse.session import checkpoint_dir
 from pulse.sources import fixture
 from pulse.sources.posts import normalize_posts, parse_posts, to_payload
 
@@ -224,8 +225,13 @@ def q_metric_rows(spark, sf):
 
 
 def _stored_metrics(spark, sf):
-    """Metric rows; their base aggregate is checkpointed once inside ``metric_rows``."""
-    return store.metric_rows(_posts(spark, sf))
+    """Metric rows materialised once (reliable checkpoint in the shared folder).
+
+    The readers below use the rows twice (newest bucket, then the rows of it);
+    the checkpoint stands in for the stored metric table and cuts the lineage.
+    """
+    checkpoint_dir(spark)
+    return store.metric_rows(_posts(spark, sf)).checkpoint(eager=True)
 
 
 def q_latest_metrics(spark, sf):

@@ -18,7 +18,6 @@ from pulse.functions.tags import clean_tags
 from pulse.operators.aggregates import TOP_HASHTAGS, exploded_tags
 from pulse.operators.joins import bounded_broadcast
 from pulse.schemas import POST_FAMILIES, STORED_POST
-from pulse.session import checkpoint_dir
 
 # Time to live of stored cells (seconds), per the table definitions.
 ANALYSIS_TTL_S = 7_776_000     # 90 days, post sentiment cells only
@@ -121,22 +120,7 @@ def apply_post_retention(posts: DataFrame, as_of_ms: int, ttl_s: int = ANALYSIS_
 
 # ---- metric rows ------------------------------------------------------------------
 
-def metric_base(posts: DataFrame) -> DataFrame:
-    """One aggregate from which every hourly metric is derived.
-
-    Per (bucket, location, sentiment, hashtag): ``uses`` (tag uses) and
-    ``posts`` (posts, each counted once through its first tag, or its only
-    row when it has no tags).  One pass over the posts, one shuffle, with a
-    map-side partial aggregate, so a hot tag or country is combined per task.
-    """
-    exploded = posts.select(hour_bucket("timestamp").alias("bucket"), "location", "sentiment",
-                            F.posexplode_outer(clean_tags("hashtags")).alias("pos", "hashtag"))
-    return exploded.groupBy("bucket", "location", "sentiment", "hashtag").agg(
-        F.count("hashtag").alias("uses"),
-        F.count_if(F.col("pos").isNull() | (F.col("pos") == 0)).alias("posts"))
-
-
-def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS, materialize: bool = True) -> DataFrame:
+def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS) -> DataFrame:
     """All hourly metrics of ``posts`` as long rows (metric, bucket, key, value).
 
     * ``hashtag``   : uses of every tag in the hour (history source)
@@ -145,34 +129,37 @@ def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS, materialize: bool =
     * ``geo``       : posts per country in the hour
     * ``geo_{country}`` : posts per label for one country in the hour
 
-    The posts are read once into :func:`metric_base`; with ``materialize`` the
-    base is checkpointed (reliable, in the shared checkpoint folder), so the
-    five metrics re-aggregate that small result instead of re-reading posts.
+    One pass over the posts: each post becomes one row per tag (or one row
+    without a tag), and a single GROUPING SETS aggregate counts tag uses per
+    (hour, tag) and posts per (hour, label), (hour, country) and (hour,
+    country, label).  The plan is one Expand feeding a partial aggregate, one
+    shuffle of partial counts, then one window over the (small) result to mark
+    each hour's top tags.  No union of separate scans, no join.
     """
-    base = metric_base(posts)
-    if materialize:
-        checkpoint_dir(posts.sparkSession)
-        base = base.checkpoint(eager=True)
-    tags = (base.filter(F.col("hashtag").isNotNull())
-            .groupBy("bucket", "hashtag").agg(F.sum("uses").alias("value")))
-    w = Window.partitionBy("bucket").orderBy(F.desc("value"), F.asc("hashtag"))
-    trending = tags.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_k)
-    per_loc = base.groupBy("bucket", "location", "sentiment").agg(F.sum("posts").alias("value"))
-    sent = per_loc.groupBy("bucket", "sentiment").agg(F.sum("value").alias("value"))
-    geo_detail = per_loc.filter(F.col("location") != "")
-    geo = geo_detail.groupBy("bucket", "location").agg(F.sum("value").alias("value"))
-    parts = [
-        tags.select(F.lit("hashtag").alias("metric"), "bucket", F.col("hashtag").alias("key"), "value"),
-        trending.select(F.lit("trending").alias("metric"), "bucket", F.col("hashtag").alias("key"), "value"),
-        sent.select(F.lit("sentiment").alias("metric"), "bucket", F.col("sentiment").alias("key"), "value"),
-        geo.select(F.lit("geo").alias("metric"), "bucket", F.col("location").alias("key"), "value"),
-        geo_detail.select(F.concat(F.lit("geo_"), F.col("location")).alias("metric"), "bucket",
-                          F.col("sentiment").alias("key"), "value"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(F.col("value") > 0).withColumn("value", F.col("value").cast("long"))
+    rows = posts.select(hour_bucket("timestamp").alias("bucket"), "location", "sentiment",
+                        F.posexplode_outer(clean_tags("hashtags")).alias("pos", "hashtag"))
+    sets = [["bucket", "hashtag"], ["bucket", "sentiment"], ["bucket", "location"],
+            ["bucket", "location", "sentiment"]]
+    counted = rows.groupingSets(sets, "bucket", "location", "sentiment", "hashtag").agg(
+        F.count("hashtag").alias("uses"),
+        F.count_if(F.col("pos").isNull() | (F.col("pos") == 0)).alias("posts"),
+        F.grouping("location").alias("g_loc"), F.grouping("sentiment").alias("g_sent"),
+        F.grouping("hashtag").alias("g_tag"))
+    is_tag, is_sent, is_geo = (F.col("g_tag") == 0), (F.col("g_loc") == 1), (F.col("g_sent") == 1)
+    metric = (F.when(is_tag, F.lit("hashtag")).when(is_sent, F.lit("sentiment"))
+              .when(is_geo, F.lit("geo")).otherwise(F.concat(F.lit("geo_"), F.col("location"))))
+    key = (F.when(is_tag, F.col("hashtag")).when(is_sent, F.col("sentiment"))
+           .when(is_geo, F.col("location")).otherwise(F.col("sentiment")))
+    value = F.when(is_tag, F.col("uses")).otherwise(F.col("posts")).cast("long")
+    keep = (value > 0) & (is_tag | is_sent | (F.coalesce(F.col("location"), F.lit("")) != ""))
+    long = counted.filter(keep).select(metric.alias("metric"), "bucket", key.alias("key"),
+                                       value.alias("value"))
+    w = Window.partitionBy("bucket", "metric").orderBy(F.desc("value"), F.asc("key"))
+    ranked = long.withColumn("_r", F.row_number().over(w))
+    kinds = (F.when((F.col("metric") == "hashtag") & (F.col("_r") <= top_k),
+                    F.array(F.lit("hashtag"), F.lit("trending")))
+             .otherwise(F.array(F.col("metric"))))
+    return ranked.select(F.explode(kinds).alias("metric"), "bucket", "key", "value")
 
 
 def write_metric_rows(rows: DataFrame, path: str) -> None:
