@@ -74,7 +74,10 @@ def _ntz_literal(ms: int):
 def derive_posts(events: DataFrame, nation: DataFrame) -> DataFrame:
     """Map events to posts; works on batch and streaming ``events`` alike."""
     posts = events.selectExpr(*POST_COLUMNS_SQL)
-    dim = nation.selectExpr("CAST(n_nationkey AS BIGINT) AS _nk", "n_name")
+    # Unique on the key by construction, so the optimizer drops this left join
+    # whenever a query does not read ``location``.
+    dim = (nation.selectExpr("CAST(n_nationkey AS BIGINT) AS _nk", "n_name")
+           .groupBy("_nk").agg(F.max("n_name").alias("n_name")))
     return (posts.join(dim, "_nk", "left")
             .selectExpr("tweet_id", "user_id", "text", "hashtags", "likes", "retweets",
                         "`timestamp`", "coalesce(n_name, '') AS location", "bucket"))
