@@ -300,6 +300,14 @@ def q_trending_from_metrics(spark, sf):
     return serving.trending_from_metrics(store.latest_metrics(_stored_metrics(spark, sf)), 10)
 
 
+def q_sentiment_stats_from_metrics(spark, sf):
+    return serving.sentiment_stats_from_metrics(store.latest_metrics(_stored_metrics(spark, sf)))
+
+
+def q_geo_from_metrics(spark, sf):
+    return serving.geo_from_metrics(store.latest_metrics(_stored_metrics(spark, sf)))
+
+
 def q_geo_sentiment_sql(spark, sf):
     batch.register_views(spark, sf)
     return batch.geo_sentiment_sql(spark)

@@ -312,6 +312,16 @@ ORDER BY cnt DESC, hashtag LIMIT 10""", METRICS),
 SELECT hb AS hour, count(*) AS "count" FROM tags WHERE hashtag = '#click'
 GROUP BY 1 ORDER BY hour DESC LIMIT 24"""),
     "sentiment_timeline_from_metrics": with_ctes("SELECT * FROM tl", "," + _timeline(24)),
+    "sentiment_stats_from_metrics": with_ctes("""
+SELECT CAST(coalesce(sum(CASE WHEN key = 'positive' THEN value END), 0) AS BIGINT) AS positive,
+       CAST(coalesce(sum(CASE WHEN key = 'neutral' THEN value END), 0) AS BIGINT) AS neutral,
+       CAST(coalesce(sum(CASE WHEN key = 'negative' THEN value END), 0) AS BIGINT) AS negative
+FROM metric_rows
+WHERE metric = 'sentiment' AND bucket = (SELECT max(bucket) FROM metric_rows WHERE metric = 'sentiment')""",
+                                             METRICS),
+    "geo_from_metrics": with_ctes("""
+SELECT key AS location, CAST(value AS BIGINT) AS cnt FROM metric_rows
+WHERE metric = 'geo' AND bucket = (SELECT max(bucket) FROM metric_rows WHERE metric = 'geo')""", METRICS),
     "geo_sentiment_sql": with_ctes("""
 SELECT location, sentiment, count(*) AS cnt FROM posts WHERE location <> '' GROUP BY 1, 2"""),
     "top_users_sql": with_ctes("""

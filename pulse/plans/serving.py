@@ -170,6 +170,19 @@ def sentiment_timeline_from_metrics(metric_rows: DataFrame, as_of_ms: int,
                 .orderBy("hour"))
 
 
+def sentiment_stats_from_metrics(latest_rows: DataFrame) -> DataFrame:
+    """The three label counts of the newest ``sentiment`` snapshot; missing labels are 0."""
+    rows = latest_rows.filter(F.col("metric") == "sentiment")
+    return rows.agg(*[F.coalesce(F.sum(F.when(F.col("key") == lab, F.col("value"))), F.lit(0))
+                      .cast("long").alias(lab) for lab in agg.LABELS])
+
+
+def geo_from_metrics(latest_rows: DataFrame) -> DataFrame:
+    """Posts per country of the newest ``geo`` snapshot."""
+    return (latest_rows.filter(F.col("metric") == "geo")
+                       .select(F.col("key").alias("location"), F.col("value").alias("cnt")))
+
+
 def sentiment_stats(posts: DataFrame) -> DataFrame:
     """One row with the three label counts (O26); missing labels are 0."""
     return agg.label_counts_row(posts).select(*agg.LABELS)
