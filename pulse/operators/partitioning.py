@@ -14,7 +14,11 @@ def spread_rows(df: DataFrame, *keys: str, min_partitions: int | None = None) ->
     large input the scan already has more splits than cores and ``df`` is
     returned unchanged, so no shuffle is added at scale.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a remote session): leave the plan alone
+        return df
+    if current >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -9,6 +9,7 @@ write is idempotent for a rerun of the same ``as_of``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,10 @@ def hourly_job(spark: SparkSession, posts: DataFrame, as_of_ms: int, metrics_pat
     filter prunes ``day`` partitions).  The users snapshot is written to
     ``users_path`` (a new path per run; never the path being read).
     """
+    if old_users is not None:
+        target = urlparse(users_path).path.rstrip("/") + "/"
+        if any(urlparse(f).path.startswith(target) for f in old_users.inputFiles()):
+            raise ValueError("write the users snapshot to a new path, not the one being read")
     window = store.posts_in_window(posts, as_of_ms, lookback_ms)
     store.write_metric_rows(store.metric_rows(window), metrics_path)
     new_users = store.user_rows(window)

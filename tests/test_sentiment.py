@@ -62,3 +62,16 @@ def test_map_form_is_row_local(spark):
         .queryExecution().executedPlan().toString()
     # The only exchanges come from spreading the one-split scan, none from scoring.
     assert "HashAggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_large_lexicon_switches_to_join_form(spark):
+    from pulse.operators import sentiment as S
+    words = {f"w{i}": 0.25 for i in range(S.MAX_INLINE_TERMS + 1)}
+    words.update(S.default_lexicon())
+    lex = S.lexicon_frame(spark, words)
+    t = fixture.tweets(spark, "/root/testdata/sf0.001").select("tweet_id", "text")
+    big = score_sentiment(t, lexicon=lex, id_col="tweet_id")
+    plan = big._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan                      # not inlined as a literal map
+    small = score_sentiment(t).select("tweet_id", "sentiment_score")
+    assert big.select("tweet_id", "sentiment_score").exceptAll(small).count() == 0

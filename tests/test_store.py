@@ -100,3 +100,13 @@ def test_sql_forms_equal_dataframe_forms(spark):
     sql_top = [tuple(r) for r in batch.top_users_sql(spark, 5).collect()]
     df_top = [tuple(r) for r in agg.top_users(batch.stored_posts(spark, SF_SMALL), 5).collect()]
     assert sql_top == df_top
+
+
+def test_users_snapshot_never_overwrites_its_input(spark, tmp_dir):
+    import pytest
+    posts = batch.stored_posts(spark, SF_SMALL)
+    as_of = fixture.max_timestamp(spark, SF_SMALL)
+    metrics, users = os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "u")
+    batch.hourly_job(spark, posts, as_of, metrics, users)
+    with pytest.raises(ValueError):
+        batch.hourly_job(spark, posts, as_of, metrics, users, old_users=spark.read.parquet(users))
