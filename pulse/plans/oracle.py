@@ -412,6 +412,14 @@ SELECT strftime(make_timestamp("timestamp" // {HOUR} * {HOUR} * 1000), '%Y%m%d%H
        hashtag, count(*) AS cnt
 FROM tags
 WHERE "timestamp" // {HOUR} * {HOUR} + {HOUR} <= (SELECT max("timestamp") FROM tweets) - 600000
+GROUP BY 1, 2"""),
+    "stream_json_pipeline": with_ctes(f"""
+SELECT strftime(make_timestamp(t."timestamp" // {HOUR} * {HOUR} * 1000), '%Y%m%d%H') AS bucket,
+       t.hashtag, count(*) AS cnt
+FROM tags t JOIN posts p USING (tweet_id)
+WHERE p.text IS NOT NULL
+  AND t."timestamp" // {HOUR} * {HOUR} + {HOUR} <=
+      (SELECT max("timestamp") FROM tweets WHERE text IS NOT NULL) - 600000
 GROUP BY 1, 2"""),
     "stream_sentiment_counts": with_ctes("SELECT sentiment, count(*) AS cnt FROM posts GROUP BY sentiment"),
     "stream_alerts": with_ctes("""

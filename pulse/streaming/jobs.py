@@ -228,3 +228,22 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Viral alerts from the de-duplicated event stream."""
     posts = with_event_time(event_posts_stream(spark, sf_dir)).dropDuplicatesWithinWatermark(["tweet_id"])
     return _run_append(spark, viral_alerts(posts), "stream_alerts")
+
+
+def stream_json_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest path end to end: JSON messages -> parse + quarantine -> hourly counts.
+
+    The posts view is written once as JSON lines (a message per post; posts
+    without text are written as malformed messages), then read back by a file
+    stream: rejects are split off, valid posts are watermarked, de-duplicated
+    and counted per event-time hour.
+    """
+    base = scratch_path(spark, "stream_json")
+    inbox = os.path.join(base, "in")
+    posts = fixture.tweets(spark, sf_dir)
+    message = (F.when(F.col("text").isNull(), F.concat(F.lit("{broken "), F.col("tweet_id")))
+               .otherwise(F.to_json(F.struct(*[F.col(f.name) for f in RAW_POST.fields]))))
+    posts.select(message.alias("value")).write.mode("overwrite").text(inbox)
+    parsed, _rejects = parse_stream(file_messages(spark, inbox))
+    live = with_event_time(parsed).dropDuplicatesWithinWatermark(["tweet_id"])
+    return _run_append(spark, hourly_hashtag_counts(live), "stream_json_counts")
