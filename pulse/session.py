@@ -20,6 +20,11 @@ _REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # No broadcast from planning-time estimates (compressed file sizes, filter
+    # guesses).  A side is broadcast only when counted (``bounded_broadcast``)
+    # or when AQE has measured its actual shuffle output at run time.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
 }
 
 # Static settings, only applied when this module builds the session.  Building
