@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pulse.operators.sentiment import score_sentiment
 from pulse.plans import store

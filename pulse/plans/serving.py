@@ -8,7 +8,7 @@ prefix), these are exact: top-k by a total order over the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulse.functions.keys import HOUR_BUCKET_FORMAT, hour_bucket
@@ -104,17 +104,18 @@ def hashtag_search(posts: DataFrame, hashtag: str, limit: int = SEARCH_LIMIT,
                          clean_tags("hashtags").alias("hashtags"), "likes", "location"))
 
 
-def latest_bucket(posts: DataFrame) -> str | None:
+def newest_timestamp(posts: DataFrame) -> int | None:
+    """Epoch millis of the newest post (one scalar)."""
     row = posts.agg(F.max("timestamp").alias("m")).first()
     if row is None or row["m"] is None:
         return None
-    return row["m"]
+    return int(row["m"])
 
 
 def trending_latest(posts: DataFrame, limit: int = TRENDING_LIMIT) -> DataFrame:
     """Tag counts of the newest hour, most used first (O24 over O30)."""
     _check(limit, 1, TRENDING_MAX, "limit")
-    newest = latest_bucket(posts)
+    newest = newest_timestamp(posts)
     if newest is None:
         return agg.hashtag_counts(posts.limit(0))
     start = (newest // HOUR_MS) * HOUR_MS
