@@ -179,14 +179,18 @@ def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("metric", "bucket", "key", "value")
 
 
-def latest_metrics(rows: DataFrame) -> DataFrame:
+def latest_metrics(rows: DataFrame, as_of_ms: int | None = None,
+                   ttl_s: int = METRICS_TTL_S) -> DataFrame:
     """For every metric, the rows of its newest bucket (the ``*_latest`` snapshots, O30).
 
-    The per-metric maximum is a small aggregate (partial, then final); on the
-    stored table the semi join on ``bucket`` prunes the scan to the newest
-    hour partitions at run time (dynamic partition pruning).  No window over a
-    whole metric, which would put one metric's rows in one task.
+    The per-metric maximum is a small aggregate (partial, then final) joined
+    back with a semi join; no window over a whole metric, which would put one
+    metric's rows in one task.  With ``as_of_ms`` the search is limited to the
+    live (not yet expired) hours: a literal ``bucket >=`` filter that prunes
+    the stored table's partitions on both sides of the join.
     """
+    if as_of_ms is not None:
+        rows = apply_metric_retention(rows, as_of_ms, ttl_s)
     newest = rows.groupBy("metric").agg(F.max("bucket").alias("bucket"))
     return rows.join(newest, ["metric", "bucket"], "left_semi")
 

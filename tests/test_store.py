@@ -110,3 +110,17 @@ def test_users_snapshot_never_overwrites_its_input(spark, tmp_dir):
     batch.hourly_job(spark, posts, as_of, metrics, users)
     with pytest.raises(ValueError):
         batch.hourly_job(spark, posts, as_of, metrics, users, old_users=spark.read.parquet(users))
+
+
+def test_latest_metrics_within_ttl_prunes_partitions(spark, tmp_dir):
+    posts = batch.stored_posts(spark, SF_SMALL)
+    path = os.path.join(tmp_dir, "metrics")
+    store.write_metric_rows(store.metric_rows(posts), path)
+    rows = store.read_metric_rows(spark, path)
+    as_of = fixture.max_timestamp(spark, SF_SMALL)
+    live = store.latest_metrics(rows, as_of)
+    plan = live._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "(bucket#" in plan
+    newest = rows.agg(F.max("bucket")).first()[0]
+    got = {r.bucket for r in live.select("bucket").distinct().collect()}
+    assert newest in got and all(b >= store.metric_retention_cutoff(as_of) for b in got)
