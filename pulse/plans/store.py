@@ -17,7 +17,7 @@ from pulse.functions.keys import day_partition, hour_bucket, reversed_ts, row_ke
 from pulse.functions.tags import clean_tags
 from pulse.operators.aggregates import TOP_HASHTAGS, exploded_tags
 from pulse.operators.joins import bounded_broadcast
-from pulse.schemas import POST_FAMILIES, STORED_POST
+from pulse.schemas import METRIC_ROW, POST_FAMILIES, STORED_POST
 
 # Time to live of stored cells (seconds), per the table definitions.
 ANALYSIS_TTL_S = 7_776_000     # 90 days, post sentiment cells only
@@ -175,8 +175,8 @@ def write_metric_rows(rows: DataFrame, path: str) -> None:
 
 
 def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The stored metric rows; ``bucket`` is the partition column."""
-    return spark.read.parquet(path).select("metric", "bucket", "key", "value")
+    """The stored metric rows; ``bucket`` is the partition column (read as text, not inferred)."""
+    return spark.read.schema(METRIC_ROW).parquet(path).select("metric", "bucket", "key", "value")
 
 
 def latest_metrics(rows: DataFrame, as_of_ms: int | None = None,
