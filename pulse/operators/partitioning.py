@@ -1,24 +1,42 @@
-"""Partition-count helpers."""
+"""Input splitting for under-split sources."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from pulse.session import scratch_path
+
+# Re-split copies made in this application: (app, plan hash, input files, width, keys) -> path.
+_COPIES: dict[tuple, str] = {}
+
 
 def spread_rows(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
-    """Spread ``df`` over the cluster's cores when it arrives in fewer splits.
+    """Give ``df`` at least one split per core when its files arrive in fewer.
 
-    For CPU-heavy row-local work (tokenising texts, hashing keys) on an input
-    made of a few large files.  Hash partitioning on ``keys`` keeps a retried
-    task's rows identical (a round-robin split would need a sort first).  On a
-    large input the scan already has more splits than cores and ``df`` is
-    returned unchanged, so no shuffle is added at scale.
+    A file written as a single row group is read by one task however large it
+    is, and every filter Spark pushes into that scan (a key parse, a sentiment
+    label) then runs on one core.  For such an input, a re-split parquet copy
+    (hash-partitioned on ``keys``) is written once per application into the
+    shared ``spark.checkpoint.dir`` and read instead; later filters push into
+    a parallel scan of the copy.  Inputs that already have a split per core,
+    as any large table on a cluster does, are returned unchanged: no copy, no
+    shuffle.
     """
     try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
+        spark = df.sparkSession
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+        files = tuple(sorted(df.inputFiles()))
+        memo = (spark.sparkContext.applicationId, df.semanticHash(), files, target, keys)
     except Exception:  # noqa: BLE001 - no RDD API (e.g. a remote session): leave the plan alone
         return df
-    if current >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    if not files:
+        return df.repartition(target, *keys) if keys else df.repartition(target)
+    path = _COPIES.get(memo)
+    if path is None:
+        path = scratch_path(spark, "resplit")
+        split = df.repartition(target, *keys) if keys else df.repartition(target)
+        split.write.mode("overwrite").parquet(path)
+        _COPIES[memo] = path
+    return spark.read.schema(df.schema).parquet(path)

@@ -149,7 +149,7 @@ def q_enriched_posts(spark, sf):
 
 
 def q_document_sentiment(spark, sf):
-    docs = spread_rows(fixture.read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread_rows(fixture.read_table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
     return score_sentiment(docs, "text", id_col="doc_id").select("doc_id", "sentiment", "sentiment_score")
 
 

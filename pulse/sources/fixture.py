@@ -86,13 +86,13 @@ def derive_posts(events: DataFrame, nation: DataFrame) -> DataFrame:
 def tweets(spark: SparkSession, sf_dir: str, since_ms: int | None = None,
            until_ms: int | None = None) -> DataFrame:
     """The posts view over the whole ``events`` table (or a time range of it)."""
-    events = read_table(spark, sf_dir, "events")
+    events = spread_rows(read_table(spark, sf_dir, "events"), "event_id")
     if since_ms is not None:
         events = events.filter(F.col("ts") >= _ntz_literal(since_ms))
     if until_ms is not None:
         events = events.filter(F.col("ts") < _ntz_literal(until_ms))
     nation = bounded_broadcast(read_table(spark, sf_dir, "nation"), max_rows=10_000)
-    return derive_posts(spread_rows(events, "event_id"), nation)
+    return derive_posts(events, nation)
 
 
 def max_timestamp(spark: SparkSession, sf_dir: str) -> int:
