@@ -46,9 +46,9 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `tools/plan_audit.py` on `{sf_dir}` (executed adaptive plans, local[8]).")
-    print("`shuffles` counts exchanges in the final plan; the one `REPARTITION_BY_NUM` exchange in")
-    print("most plans is `spread_rows` on the single-split test files (absent when a scan has more")
-    print("splits than cores).  Streaming queries are summarised by their batch read-back.\n")
+    print("`shuffles` counts exchanges in the final plan.  Scans of `events` and `documents` read the")
+    print("re-split copy that `spread_rows` writes once for single-split test files (a cluster-sized")
+    print("input is read directly).  Streaming queries are summarised by their batch read-back.\n")
     print("| query | shuffles | bcast joins | SMJ | top-k | win-limit | partial agg | python | "
           "pushed filters | columns read |")
     print("|---|---|---|---|---|---|---|---|---|---|")
