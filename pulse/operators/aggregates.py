@@ -182,5 +182,5 @@ def trending_by_hour(posts: DataFrame, k: int = TOP_HASHTAGS) -> DataFrame:
               .groupBy(hour_bucket("timestamp").alias("bucket"), "hashtag")
               .agg(F.count(F.lit(1)).alias("cnt")))
     w = Window.partitionBy("bucket").orderBy(F.desc("cnt"), F.asc("hashtag"))
-    return (counts.withColumn("rank", F.row_number().over(w))
+    return (counts.withColumn("rank", F.row_number().over(w).cast("long"))
                   .filter(F.col("rank") <= k))

@@ -19,7 +19,8 @@ def ranked_list(top: DataFrame, count_col: str = "cnt", key_col: str = "hashtag"
     whole = Window.partitionBy()
     mx = F.max(count_col).over(whole)
     share = F.coalesce(F.lit(100.0) * F.col(count_col) / F.nullif(mx, F.lit(0)), F.lit(0.0))
-    return top.select("*", F.row_number().over(order).alias("rank"), share.alias("share_of_max"))
+    return top.select("*", F.row_number().over(order).cast("long").alias("rank"),
+                      share.alias("share_of_max"))
 
 
 def filter_ranked(ranked: DataFrame, query: str, key_col: str = "hashtag") -> DataFrame:

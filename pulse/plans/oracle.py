@@ -243,9 +243,9 @@ SELECT tweet_id, user_id, text, hashtags, likes, retweets, "timestamp", location
 FROM tweets WHERE text IS NOT NULL"""),
     "publish_payload": with_ctes("""
 SELECT tweet_id AS key,
-       to_json({'tweet_id': tweet_id, 'user_id': user_id, 'text': text, 'hashtags': hashtags,
-                'likes': likes, 'retweets': retweets, 'timestamp': "timestamp", 'location': location,
-                'sentiment': sentiment, 'sentiment_score': sentiment_score}) AS value
+       CAST(to_json({'tweet_id': tweet_id, 'user_id': user_id, 'text': text, 'hashtags': hashtags,
+                     'likes': likes, 'retweets': retweets, 'timestamp': "timestamp", 'location': location,
+                     'sentiment': sentiment, 'sentiment_score': sentiment_score}) AS VARCHAR) AS value
 FROM enriched"""),
     "last_window_posts": with_ctes(f"""
 SELECT tweet_id, user_id, hashtags, likes, retweets, location, sentiment, "timestamp"

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from conftest import SF_SMALL
-from tools.compare import TABLES, digest
+from tools.compare import TABLES, digest, duck_type, spark_types
 
 import __spark_entry__ as se
 
@@ -33,6 +33,8 @@ def test_entry_smoke(spark):
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
+    rel = con.sql(ORACLE[name])
+    assert spark_types(df.schema) == {c: duck_type(t) for c, t in zip(rel.columns, rel.types)}
     res = con.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
