@@ -402,7 +402,7 @@ QUERIES.update({
     "stream_hourly_hashtags": _streaming("stream_hourly_hashtags"),
     "stream_sentiment_counts": _streaming("stream_sentiment_counts"),
     "stream_alerts": _streaming("stream_alerts"),
-    "stream_json_pipeline": _streaming("stream_json_pipeline"),
+    "stream_json_ingest": _streaming("stream_json_ingest"),
 })
 
 FLAGSHIP = "top_hashtags"

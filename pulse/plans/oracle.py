@@ -413,7 +413,7 @@ SELECT strftime(make_timestamp("timestamp" // {HOUR} * {HOUR} * 1000), '%Y%m%d%H
 FROM tags
 WHERE "timestamp" // {HOUR} * {HOUR} + {HOUR} <= (SELECT max("timestamp") FROM tweets) - 600000
 GROUP BY 1, 2"""),
-    "stream_json_pipeline": with_ctes(f"""
+    "stream_json_ingest": with_ctes(f"""
 SELECT strftime(make_timestamp(t."timestamp" // {HOUR} * {HOUR} * 1000), '%Y%m%d%H') AS bucket,
        t.hashtag, count(*) AS cnt
 FROM tags t JOIN posts p USING (tweet_id)

@@ -230,7 +230,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_append(spark, viral_alerts(posts), "stream_alerts")
 
 
-def stream_json_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest path end to end: JSON messages -> parse + quarantine -> hourly counts.
 
     The posts view is written once as JSON lines (a message per post; posts
