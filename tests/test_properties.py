@@ -44,3 +44,31 @@ def test_key_roundtrip_property(spark, users, ts):
     df = spark.createDataFrame([(u, ts) for u in users], "user_id string, timestamp long")
     for r in df.select("user_id", parse_row_key(row_key()).alias("p")).collect():
         assert r.p is not None and r.p.user_id == r.user_id and r.p.rev_ts == 9_999_999_999_999 - ts
+
+
+_WORDS = ["great", "love", "broken", "terrible", "hate", "not", "no", "never", "day", "it's",
+          "GREAT", "Hate!", "#love", "", " ", ",", "n't", "nevermind"]
+
+
+@settings(max_examples=20, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.lists(st.sampled_from(_WORDS), max_size=12)
+                                .map(" ".join)), min_size=1, max_size=8))
+def test_sentiment_forms_agree_property(spark, texts):
+    from pulse.operators.sentiment import score_sentiment
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    a = {r.id: (r.sentiment, r.sentiment_score) for r in score_sentiment(df, method="map").collect()}
+    b = {r.id: (r.sentiment, r.sentiment_score)
+         for r in score_sentiment(df, method="join", id_col="id").collect()}
+    assert a == b
+    assert all(-1.0 <= s <= 1.0 for _, s in a.values())
+
+
+def test_spread_rows_is_a_noop_for_split_inputs(spark, tmp_dir):
+    import os
+    from pulse.operators import partitioning
+    path = os.path.join(tmp_dir, "many")
+    spark.range(0, 10_000, numPartitions=16).write.parquet(path)
+    df = spark.read.parquet(path)
+    before = len(partitioning._COPIES)
+    assert partitioning.spread_rows(df, "id") is df
+    assert len(partitioning._COPIES) == before
