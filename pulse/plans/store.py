@@ -215,20 +215,34 @@ def apply_metric_retention(rows: DataFrame, as_of_ms: int, ttl_s: int = METRICS_
 # ---- users --------------------------------------------------------------------------
 
 def user_rows(posts: DataFrame, top_tags: int = USER_TOP_TAGS) -> DataFrame:
-    """Per-user stats of a batch: total_tweets, total_likes, last_active, top_hashtags."""
-    stats = posts.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("total_tweets"),
-        F.coalesce(F.sum(F.coalesce(F.col("likes"), F.lit(0))), F.lit(0)).cast("long").alias("total_likes"),
-        hour_bucket(F.max("timestamp")).alias("last_active"))
-    per_tag = exploded_tags(posts, "user_id").groupBy("user_id", "hashtag").agg(
-        F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("cnt"), F.asc("hashtag"))
-    best = (per_tag.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_tags)
-            .groupBy("user_id")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "hashtag"))),
-                             lambda s: s["hashtag"]).alias("top_hashtags")))
-    return (stats.join(best, "user_id", "left")
-                 .withColumn("top_hashtags", F.coalesce("top_hashtags", F.array().cast("array<string>"))))
+    """Per-user stats of a batch: total_tweets, total_likes, last_active, top_hashtags.
+
+    One scan: each post becomes one row per tag (or one row without a tag),
+    and a GROUPING SETS aggregate yields both the per-user stats (each post
+    counted once, through its first row) and the per-(user, tag) uses.  A
+    window partitioned by user ranks the tags (at most distinct tags + 1 rows
+    per user, never raw posts) and the final per-user assembly reuses that
+    partitioning, so there is no join.
+    """
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    rows = posts.select("user_id", "likes", "timestamp",
+                        F.posexplode_outer(clean_tags("hashtags")).alias("pos", "hashtag"))
+    counted = rows.groupingSets([["user_id"], ["user_id", "hashtag"]], "user_id", "hashtag").agg(
+        F.count_if(first).alias("posts"),
+        F.sum(F.when(first, F.coalesce(F.col("likes"), F.lit(0)))).alias("likes"),
+        F.max("timestamp").alias("last_ts"),
+        F.count("hashtag").alias("uses"),
+        F.grouping("hashtag").alias("g_tag"))
+    w = Window.partitionBy("user_id").orderBy(F.asc("g_tag"), F.desc("uses"), F.asc("hashtag"))
+    ranked = counted.filter((F.col("g_tag") == 1) | (F.col("uses") > 0)) \
+                    .withColumn("_r", F.row_number().over(w))
+    is_stats = F.col("g_tag") == 1
+    top = F.when((~is_stats) & (F.col("_r") <= top_tags), F.struct("_r", "hashtag"))
+    return ranked.groupBy("user_id").agg(
+        F.max(F.when(is_stats, F.col("posts"))).cast("long").alias("total_tweets"),
+        F.coalesce(F.max(F.when(is_stats, F.col("likes"))), F.lit(0)).cast("long").alias("total_likes"),
+        hour_bucket(F.max(F.when(is_stats, F.col("last_ts")))).alias("last_active"),
+        F.transform(F.array_sort(F.collect_list(top)), lambda x: x["hashtag"]).alias("top_hashtags"))
 
 
 USER_VALUE_COLUMNS = ["username", "display_name", "location", "total_tweets", "total_likes",
