@@ -135,6 +135,8 @@ def make_batch_writer(metrics_path: str, payload_path: str | None = None,
             (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                  .partitionBy("batch_id").parquet(metrics_path))
             payload = to_payload(batch)
+            # A topic has no overwrite: a replayed batch republishes (at-least-once), and
+            # consumers drop repeats with dropDuplicatesWithinWatermark on tweet_id.
             if kafka_bootstrap:
                 (payload.write.format("kafka").option("kafka.bootstrap.servers", kafka_bootstrap)
                         .option("topic", ENRICHED_TOPIC).save())
