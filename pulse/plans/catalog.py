@@ -258,6 +258,13 @@ def q_users_upsert(spark, sf):
         "user_id", "total_tweets", "total_likes", "last_active", "top_hashtags")
 
 
+def q_users_from_deltas(spark, sf):
+    # one delta per (day, user) from a single pass, folded with per-cell last-write-wins
+    deltas = store.user_rows(_posts(spark, sf), by=("day",))
+    return store.users_from_deltas(deltas, order_col="day").select(
+        "user_id", "total_tweets", "total_likes", "last_active", "top_hashtags")
+
+
 # ---- serving ----------------------------------------------------------------------------
 
 def q_recent_posts(spark, sf):

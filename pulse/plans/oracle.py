@@ -280,6 +280,24 @@ SELECT user_id,
 FROM users_old o FULL OUTER JOIN users_new n USING (user_id)""",
                               _user_rows("users_old", f'"timestamp" < {AS_OF} - 7 * {DAY}'),
                               _user_rows("users_new", f'"timestamp" >= {AS_OF} - 7 * {DAY}')),
+    "users_from_deltas": with_ctes("""
+SELECT s.user_id, s.total_tweets, s.total_likes, s.last_active,
+       coalesce(t.top_hashtags, CAST([] AS VARCHAR[])) AS top_hashtags
+FROM d_stats s
+JOIN (SELECT user_id, max(day) AS day FROM d_stats GROUP BY user_id) l USING (user_id, day)
+LEFT JOIN d_top t USING (day, user_id)""", """,
+d_stats AS (
+  SELECT day, user_id, count(*) AS total_tweets,
+         CAST(coalesce(sum(coalesce(likes, 0)), 0) AS BIGINT) AS total_likes,
+         strftime(make_timestamp(max("timestamp") * 1000), '%Y%m%d%H') AS last_active
+  FROM posts GROUP BY day, user_id),
+d_tagcnt AS (
+  SELECT strftime(make_timestamp("timestamp" * 1000), '%Y-%m-%d') AS day, user_id, hashtag, count(*) AS cnt
+  FROM tags GROUP BY 1, 2, 3),
+d_top AS (
+  SELECT day, user_id, list(hashtag ORDER BY r) AS top_hashtags FROM (
+    SELECT *, row_number() OVER (PARTITION BY day, user_id ORDER BY cnt DESC, hashtag) AS r FROM d_tagcnt)
+  WHERE r <= 3 GROUP BY day, user_id)"""),
     # ---- serving
     "recent_posts": with_ctes("SELECT * FROM feed", "," + FEED),
     "viral_posts": with_ctes("""

@@ -214,7 +214,7 @@ def apply_metric_retention(rows: DataFrame, as_of_ms: int, ttl_s: int = METRICS_
 
 # ---- users --------------------------------------------------------------------------
 
-def user_rows(posts: DataFrame, top_tags: int = USER_TOP_TAGS) -> DataFrame:
+def user_rows(posts: DataFrame, top_tags: int = USER_TOP_TAGS, by: tuple[str, ...] = ()) -> DataFrame:
     """Per-user stats of a batch: total_tweets, total_likes, last_active, top_hashtags.
 
     One scan: each post becomes one row per tag (or one row without a tag),
@@ -222,23 +222,25 @@ def user_rows(posts: DataFrame, top_tags: int = USER_TOP_TAGS) -> DataFrame:
     counted once, through its first row) and the per-(user, tag) uses.  A
     window partitioned by user ranks the tags (at most distinct tags + 1 rows
     per user, never raw posts) and the final per-user assembly reuses that
-    partitioning, so there is no join.
+    partitioning, so there is no join.  ``by`` adds grouping keys (e.g. a day
+    column) to get one row per (key, user) in the same single pass.
     """
+    keys = [*by, "user_id"]
     first = F.col("pos").isNull() | (F.col("pos") == 0)
-    rows = posts.select("user_id", "likes", "timestamp",
+    rows = posts.select(*by, "user_id", "likes", "timestamp",
                         F.posexplode_outer(clean_tags("hashtags")).alias("pos", "hashtag"))
-    counted = rows.groupingSets([["user_id"], ["user_id", "hashtag"]], "user_id", "hashtag").agg(
+    counted = rows.groupingSets([keys, [*keys, "hashtag"]], *keys, "hashtag").agg(
         F.count_if(first).alias("posts"),
         F.sum(F.when(first, F.coalesce(F.col("likes"), F.lit(0)))).alias("likes"),
         F.max("timestamp").alias("last_ts"),
         F.count("hashtag").alias("uses"),
         F.grouping("hashtag").alias("g_tag"))
-    w = Window.partitionBy("user_id").orderBy(F.asc("g_tag"), F.desc("uses"), F.asc("hashtag"))
+    w = Window.partitionBy(*keys).orderBy(F.asc("g_tag"), F.desc("uses"), F.asc("hashtag"))
     ranked = counted.filter((F.col("g_tag") == 1) | (F.col("uses") > 0)) \
                     .withColumn("_r", F.row_number().over(w))
     is_stats = F.col("g_tag") == 1
     top = F.when((~is_stats) & (F.col("_r") <= top_tags), F.struct("_r", "hashtag"))
-    return ranked.groupBy("user_id").agg(
+    return ranked.groupBy(*keys).agg(
         F.max(F.when(is_stats, F.col("posts"))).cast("long").alias("total_tweets"),
         F.coalesce(F.max(F.when(is_stats, F.col("likes"))), F.lit(0)).cast("long").alias("total_likes"),
         hour_bucket(F.max(F.when(is_stats, F.col("last_ts")))).alias("last_active"),
@@ -259,3 +261,25 @@ def upsert_users(old: DataFrame, new: DataFrame) -> DataFrame:
     j = o.join(n, "user_id", "full_outer")
     return j.select("user_id", *[F.coalesce(F.col(f"_n_{c}"), F.col(f"_o_{c}")).alias(c)
                                  for c in cols])
+
+
+# ---- users as an append-only delta log ------------------------------------------------
+
+def write_user_deltas(deltas: DataFrame, path: str) -> None:
+    """Append one run's user rows under its ``bucket`` (a rerun replaces that bucket only)."""
+    (deltas.repartition("bucket").write.mode("overwrite")
+           .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+
+
+def users_from_deltas(deltas: DataFrame, order_col: str = "bucket") -> DataFrame:
+    """Fold the deltas in ``order_col`` order with per-cell last-write-wins.
+
+    For each user and column, the value of the newest delta in which that cell
+    is present: ``max_by(cell, order)`` where the order is null for absent
+    cells (such rows are skipped).  Same answer as applying
+    :func:`upsert_users` delta by delta, in one aggregate with a partial step,
+    instead of rewriting the whole users table every run.
+    """
+    cols = [c for c in USER_VALUE_COLUMNS if c in deltas.columns]
+    return deltas.groupBy("user_id").agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(c) for c in cols])

@@ -124,3 +124,21 @@ def test_latest_metrics_within_ttl_prunes_partitions(spark, tmp_dir):
     newest = rows.agg(F.max("bucket")).first()[0]
     got = {r.bucket for r in live.select("bucket").distinct().collect()}
     assert newest in got and all(b >= store.metric_retention_cutoff(as_of) for b in got)
+
+
+def test_user_deltas_fold_equals_upserts(spark, tmp_dir):
+    posts = batch.stored_posts(spark, SF_SMALL)
+    as_of = fixture.max_timestamp(spark, SF_SMALL)
+    split = as_of - 7 * 86_400_000
+    old = store.user_rows(posts.filter(F.col("timestamp") < split))
+    new = store.user_rows(posts.filter(F.col("timestamp") >= split))
+    upserted = store.upsert_users(old, new)
+    path = os.path.join(tmp_dir, "deltas")
+    store.write_user_deltas(old.withColumn("bucket", F.lit("a")), path)
+    store.write_user_deltas(new.withColumn("bucket", F.lit("b")), path)
+    store.write_user_deltas(new.withColumn("bucket", F.lit("b")), path)    # rerun of run b
+    folded = store.users_from_deltas(spark.read.parquet(path))
+    cols = ["user_id", "total_tweets", "total_likes", "last_active", "top_hashtags"]
+    a = folded.select(*cols)
+    b = upserted.select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
