@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +36,15 @@ def partitions_for(rows: int, rows_per_partition: int) -> int:
 def utf8(col: Column) -> Column:
     """UTF-8 bytes of a text column; null is the empty text."""
     return F.encode(F.coalesce(col, F.lit("")), "UTF-8")
+
+
+def with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster the package is shipped with the job (``--py-files``) and this path is merely absent.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark

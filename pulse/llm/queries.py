@@ -6,10 +6,20 @@ iterative joins are tested against brute force in ``tests/llm`` instead.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from pulse.llm.common import with_package
 from pulse.llm.sharding import op6_sharding
+from pulse.llm.toxicity import op7_toxicity
+
+
+def _query(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(with_package(spark), sf_dir)
+    run.__name__ = fn.__name__
+    return run
+
 
-QUERIES = {
-    "op6_sharding": op6_sharding,
-}
+QUERIES = {fn.__name__: _query(fn) for fn in (op6_sharding, op7_toxicity)}
 
 ORACLE: dict[str, str] = {}
