@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulse.llm.common import with_package
+from pulse.llm.ngram_join import op10_ngram_join
 from pulse.llm.sharding import op6_sharding
 from pulse.llm.toxicity import op7_toxicity
 
@@ -20,6 +21,6 @@ def _query(fn):
     return run
 
 
-QUERIES = {fn.__name__: _query(fn) for fn in (op6_sharding, op7_toxicity)}
+QUERIES = {fn.__name__: _query(fn) for fn in (op6_sharding, op7_toxicity, op10_ngram_join)}
 
 ORACLE: dict[str, str] = {}
