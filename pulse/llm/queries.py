@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulse.llm.common import with_package
 from pulse.llm.ngram_join import op10_ngram_join
+from pulse.llm.packing import op1_packing
 from pulse.llm.sharding import op6_sharding
 from pulse.llm.toxicity import op7_toxicity
 
@@ -21,6 +22,6 @@ def _query(fn):
     return run
 
 
-QUERIES = {fn.__name__: _query(fn) for fn in (op6_sharding, op7_toxicity, op10_ngram_join)}
+QUERIES = {fn.__name__: _query(fn) for fn in (op1_packing, op6_sharding, op7_toxicity, op10_ngram_join)}
 
 ORACLE: dict[str, str] = {}
