@@ -1,14 +1,16 @@
 """The registered queries of this package: ``name -> (spark, sf_dir) -> DataFrame``.
 
-None has DuckDB SQL: CRC-32, SHA-256 over code points, tokenizers and the
-iterative joins are tested against brute force in ``tests/llm`` instead.
+Queries without DuckDB SQL (CRC-32, SHA-256, tokenizers, trained models, iterative
+joins) are tested against brute force in ``tests/llm`` instead.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulse.llm import line_dedup
 from pulse.llm.common import with_package
+from pulse.llm.line_dedup import op4_line_dedup
 from pulse.llm.ngram_join import op10_ngram_join
 from pulse.llm.packing import op1_packing
 from pulse.llm.sharding import op6_sharding
@@ -22,6 +24,6 @@ def _query(fn):
     return run
 
 
-QUERIES = {fn.__name__: _query(fn) for fn in (op1_packing, op6_sharding, op7_toxicity, op10_ngram_join)}
+QUERIES = {fn.__name__: _query(fn) for fn in (op1_packing, op4_line_dedup, op6_sharding, op7_toxicity, op10_ngram_join)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}
