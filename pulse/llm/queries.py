@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulse.llm import line_dedup
+from pulse.llm.chat import op9_chat
 from pulse.llm.common import with_package
+from pulse.llm.html_text import op3_html_text
 from pulse.llm.line_dedup import op4_line_dedup
+from pulse.llm.near_vectors import op8_near_vectors
 from pulse.llm.ngram_join import op10_ngram_join
 from pulse.llm.packing import op1_packing
 from pulse.llm.sharding import op6_sharding
@@ -24,6 +27,7 @@ def _query(fn):
     return run
 
 
-QUERIES = {fn.__name__: _query(fn) for fn in (op1_packing, op4_line_dedup, op6_sharding, op7_toxicity, op10_ngram_join)}
+QUERIES = {fn.__name__: _query(fn) for fn in (
+    op1_packing, op3_html_text, op4_line_dedup, op6_sharding, op7_toxicity, op8_near_vectors, op9_chat, op10_ngram_join)}
 
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}

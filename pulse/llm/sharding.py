@@ -80,16 +80,17 @@ def permuted(row_number: str, n: int, seed: int = SEED) -> Column:
     return F.expr(f"transform(array({once}), p -> CASE WHEN p < {n}L THEN p ELSE {walk} END)[0]")
 
 
-def numbered(rows: DataFrame, order: list[str], n: int, name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], n: int, name: str,
+             rows_per_partition: int | None = None) -> DataFrame:
     """``rows`` with ``row_number`` 0..n-1 in ``order`` (ties: input order; such rows should be alike)."""
     keys = [F.col(c) for c in order] + [F.col("_tie")]
     ranged = (rows.withColumn("_tie", F.monotonically_increasing_id())
-              .repartitionByRange(partitions_for(n, ROWS_PER_PARTITION), *keys)
+              .repartitionByRange(partitions_for(n, rows_per_partition or ROWS_PER_PARTITION), *keys)
               .sortWithinPartitions(*keys).drop("_tie")
               .withColumn("_at", F.monotonically_increasing_id()))
     placed = write_shared(ranged, name).withColumn("_part", F.shiftright("_at", 33))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row per range partition, n / ROWS_PER_PARTITION in all
+    # one row per range partition, n / rows_per_partition in all
     starts = counts.selectExpr("_part", "sum(_n) OVER (ORDER BY _part) - _n AS _start")
     return (placed.join(F.broadcast(starts), "_part")
             .withColumn("row_number", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
