@@ -17,6 +17,7 @@ from pulse.llm.line_dedup import op4_line_dedup
 from pulse.llm.near_vectors import op8_near_vectors
 from pulse.llm.ngram_join import op10_ngram_join
 from pulse.llm.packing import op1_packing
+from pulse.llm.sentencepieces import op5_sentencepiece
 from pulse.llm.sharding import op6_sharding
 from pulse.llm.toxicity import op7_toxicity
 
@@ -29,6 +30,6 @@ def _query(fn):
 
 
 QUERIES = {fn.__name__: _query(fn) for fn in (
-    op1_packing, op2_ann, op3_html_text, op4_line_dedup, op6_sharding, op7_toxicity, op8_near_vectors, op9_chat, op10_ngram_join)}
+    op1_packing, op2_ann, op3_html_text, op4_line_dedup, op5_sentencepiece, op6_sharding, op7_toxicity, op8_near_vectors, op9_chat, op10_ngram_join)}
 
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}
