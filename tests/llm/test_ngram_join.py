@@ -61,6 +61,8 @@ def test_filters_never_lose_a_link():
         y = np.array(sorted(rng.sample(range(60), rng.randint(1, 40))), np.uint64)
         both, either = len(np.intersect1d(x, y)), len(np.union1d(x, y))
         assert op.hamming_at_least(x, y) <= either - both
+        x8, y8 = (np.frombuffer(op.parities(v, 16), np.uint8) for v in (x, y))
+        assert op._odd(x8, y8) <= either - both
         for percent in (30, 50, 85):
             assert op.links(x, y, percent) == (100 * both >= percent * either)
 
