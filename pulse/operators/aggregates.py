@@ -42,15 +42,20 @@ def top_hashtags(posts: DataFrame, k: int = TOP_HASHTAGS) -> DataFrame:
     return top_k(hashtag_counts(posts), k, "cnt", "hashtag")
 
 
+def read_label():
+    """The label as it is served: a missing (expired) cell reads as neutral."""
+    return F.coalesce(F.col("sentiment"), F.lit("neutral"))
+
+
 def sentiment_counts(posts: DataFrame) -> DataFrame:
     """(sentiment, cnt) (A3)."""
-    return posts.groupBy("sentiment").agg(F.count(F.lit(1)).alias("cnt"))
+    return posts.groupBy(read_label().alias("sentiment")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def geo_sentiment(posts: DataFrame) -> DataFrame:
     """(location, sentiment, cnt) over posts with a country (A4)."""
     return (posts.filter(F.col("location") != "")
-                 .groupBy("location", "sentiment").agg(F.count(F.lit(1)).alias("cnt")))
+                 .groupBy("location", read_label().alias("sentiment")).agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def geo_totals(posts: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def volume_total(posts: DataFrame) -> DataFrame:
 
 def label_counts_row(posts: DataFrame) -> DataFrame:
     """One row: positive, neutral, negative, total."""
-    return posts.agg(*[F.count_if(F.col("sentiment") == lab).alias(lab) for lab in LABELS],
+    return posts.agg(*[F.count_if(read_label() == lab).alias(lab) for lab in LABELS],
                      F.count(F.lit(1)).alias("total"))
 
 

@@ -1,7 +1,7 @@
 """Dimension lookups (J1): attach attributes of a small table by key.
 
-The dimension is broadcast only after its row count is checked; larger
-dimensions fall back to a shuffled join.  Keys missing from the dimension
+How the dimension reaches the facts is left to the planner, which broadcasts
+it by its measured size.  Keys missing from the dimension
 are dropped (inner join), as the map view drops unknown countries.
 """
 
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pulse.operators.joins import bounded_broadcast
-
 # Map coordinates (latitude, longitude) of the country codes the
 # dashboard knows.
 COUNTRY_COORDS = {
@@ -20,7 +18,6 @@ COUNTRY_COORDS = {
     "DE": (51.16, 10.45), "IN": (20.59, 78.96), "CA": (56.13, -106.34),
     "AU": (-25.27, 133.77),
 }
-MAX_DIMENSION_ROWS = 1_000_000
 
 COORDS_SCHEMA = StructType([StructField("location", StringType(), False),
                             StructField("lat", DoubleType(), False),
@@ -32,7 +29,6 @@ def coords_frame(spark: SparkSession, coords: dict | None = None) -> DataFrame:
     return spark.createDataFrame([(k, v[0], v[1]) for k, v in items], COORDS_SCHEMA)
 
 
-def attach(facts: DataFrame, dimension: DataFrame, key: str = "location",
-           max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+def attach(facts: DataFrame, dimension: DataFrame, key: str = "location") -> DataFrame:
     """Inner join ``facts`` with ``dimension`` on ``key``."""
-    return facts.join(bounded_broadcast(dimension, max_rows), key, "inner")
+    return facts.join(dimension, key, "inner")

@@ -1,18 +1,16 @@
 """The batch side: enrichment and the hourly job.
 
-``hourly_job`` is the scheduled batch: it takes the post table, keeps the
-declared window before ``as_of`` (partition-pruned), and writes the hour's
-metric rows and the users upsert.  Nothing is collected to the driver; every
-write is idempotent for a rerun of the same ``as_of``.
+``hourly_job`` is the scheduled batch: it takes the post table, keeps the whole
+hours that the window before ``as_of`` touches (partition-pruned), and writes
+those hours' metric rows and user counts.  Nothing is collected to the driver; a
+later run rewrites the hours it covers and leaves the others alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 
+from pulse.functions.keys import hour_bucket
 from pulse.operators.sentiment import score_sentiment
 from pulse.plans import store
 from pulse.schemas import ENRICHED_POST
@@ -21,9 +19,9 @@ from pulse.sources import fixture
 HOUR_MS = 3_600_000
 
 
-def enrich(posts: DataFrame, lexicon=None, method: str = "auto") -> DataFrame:
+def enrich(posts: DataFrame, lexicon=None, method: str = "map") -> DataFrame:
     """Raw posts + ``sentiment`` label and ``sentiment_score``."""
-    return score_sentiment(posts, "text", lexicon=lexicon, method=method, id_col="tweet_id")
+    return score_sentiment(posts, "text", lexicon=lexicon, method=method)
 
 
 def enriched_posts(spark: SparkSession, sf_dir: str, since_ms: int | None = None) -> DataFrame:
@@ -37,32 +35,24 @@ def stored_posts(spark: SparkSession, sf_dir: str, since_ms: int | None = None)
     return store.stored_posts(enrich(fixture.tweets(spark, sf_dir, since_ms)))
 
 
-@dataclass
-class HourlyOutputs:
-    metrics_path: str
-    users_path: str
-    posts_in_window: int | None = None
-
-
 def hourly_job(spark: SparkSession, posts: DataFrame, as_of_ms: int, metrics_path: str,
-               users_path: str, old_users: DataFrame | None = None,
-               lookback_ms: int = HOUR_MS) -> HourlyOutputs:
+               users_path: str, lookback_ms: int = HOUR_MS) -> None:
     """Compute and write one run of the hourly batch.
 
     ``posts`` is the post table (ideally read from parquet so the window
-    filter prunes ``day`` partitions).  The users snapshot is written to
-    ``users_path`` (a new path per run; never the path being read).
+    filter prunes ``day`` partitions).  Every hour that is written is computed from all
+    its posts up to ``as_of``, so runs at any minute, and reruns, agree.
+    The users table is the sum of the hours' counts (:func:`read_users`).
     """
-    if old_users is not None:
-        target = urlparse(users_path).path.rstrip("/") + "/"
-        if any(urlparse(f).path.startswith(target) for f in old_users.inputFiles()):
-            raise ValueError("write the users snapshot to a new path, not the one being read")
-    window = store.posts_in_window(posts, as_of_ms, lookback_ms)
+    window = store.posts_in_hours(posts, as_of_ms, lookback_ms)
     store.write_metric_rows(store.metric_rows(window), metrics_path)
-    new_users = store.user_rows(window)
-    users = store.upsert_users(old_users, new_users) if old_users is not None else new_users
-    users.write.mode("overwrite").parquet(users_path)
-    return HourlyOutputs(metrics_path, users_path)
+    hours = window.withColumn("bucket", hour_bucket("timestamp"))
+    store.write_user_counts(store.user_counts(hours, by=("bucket",)), users_path)
+
+
+def read_users(spark: SparkSession, users_path: str, top_tags: int | None = None) -> DataFrame:
+    """The users table that the hourly runs have written: totals over all hours."""
+    return store.users_from_counts(store.read_user_counts(spark, users_path), top_tags)
 
 
 # ---- SQL forms over named views (S14) -------------------------------------------------
@@ -74,26 +64,16 @@ def register_views(spark: SparkSession, sf_dir: str, since_ms: int | None = None
     posts.select(*[f.name for f in ENRICHED_POST.fields]).createOrReplaceTempView("tweets")
 
 
-GEO_SENTIMENT_SQL = """
-SELECT location, sentiment, COUNT(*) AS cnt
-FROM tweets
-WHERE location != ''
-GROUP BY location, sentiment
+NEGATIVE_COUNTRIES_SQL = """
+WITH by_country AS (
+  SELECT location, count(*) AS posts, count_if(sentiment = 'negative') AS negative
+  FROM tweets WHERE location <> '' GROUP BY location)
+SELECT c.location, c.posts, c.negative
+FROM by_country c
+WHERE c.negative > c.posts * (SELECT sum(negative) / sum(posts) FROM by_country)
 """
 
-TOP_USERS_SQL = """
-SELECT user_id, COUNT(*) AS tweet_count, CAST(COALESCE(SUM(COALESCE(likes, 0)), 0) AS BIGINT) AS total_likes
-FROM tweets
-GROUP BY user_id
-ORDER BY tweet_count DESC, user_id
-LIMIT {limit}
-"""
-
-
-def geo_sentiment_sql(spark: SparkSession) -> DataFrame:
-    """Country x label counts as SQL over the ``tweets`` view (same plan as the DataFrame form)."""
-    return spark.sql(GEO_SENTIMENT_SQL)
-
 
-def top_users_sql(spark: SparkSession, limit: int = 20) -> DataFrame:
-    return spark.sql(TOP_USERS_SQL.format(limit=int(limit)))
+def negative_countries(spark: SparkSession) -> DataFrame:
+    """Countries with more negative posts than their number of posts suggests, as SQL over the ``tweets`` view."""
+    return spark.sql(NEGATIVE_COUNTRIES_SQL)

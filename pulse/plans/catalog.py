@@ -1,7 +1,8 @@
 """The registered queries: ``name -> (spark, sf_dir) -> DataFrame``.
 
 Every query reads the driver tables (``events``, ``nation``, ``region``,
-``documents``) whole, through the posts view; only a top-k list or a declared
+``documents``) whole, through the posts view, or the stored tables derived from
+them (:mod:`pulse.plans.stored`), as the read API does; only a top-k list, one key or a declared
 time window limits rows, as the feature itself does.
 """
 
@@ -15,13 +16,12 @@ from pyspark.sql import functions as F
 from pulse.functions.keys import hour_bucket, parse_row_key, row_key_is_valid
 from pulse.functions.tags import join_tags, split_tags
 from pulse.operators import aggregates as agg
-from pulse.operators.lookups import attach
-from pulse.operators.partitioning import spread_rows
+from pulse.operators.lookups import COUNTRY_COORDS, attach, coords_frame
 from pulse.operators.rankings import shares_of_total
 from pulse.operators.sentiment import score_sentiment
-from pulse.plans import batch, serving, store
-from pulse.schemas import RAW_POST
-from pulse.session import checkpoint_dir
+from pulse.plans import batch, serving, store, stored
+from pulse.schemas import HASHTAG_ROW, RAW_POST
+from pulse.session import scratch_path
 from pulse.sources import fixture
 from pulse.sources.posts import normalize_posts, parse_posts, to_payload
 
@@ -43,8 +43,8 @@ def _as_of(spark, sf) -> int:
     return fixture.max_timestamp(spark, sf)
 
 
-def _users(spark, sf):
-    return store.user_rows(_posts(spark, sf))
+def _table(spark, sf):
+    return stored.posts(spark, sf)
 
 
 def _top10(spark, sf):
@@ -52,7 +52,7 @@ def _top10(spark, sf):
 
 
 def _feed(spark, sf):
-    return serving.recent_posts(_posts(spark, sf), 50)
+    return serving.recent_posts(_table(spark, sf), 50)
 
 
 def _all_feed(spark, sf):
@@ -133,6 +133,20 @@ def q_geo_points(spark, sf):
     return attach(agg.geo_totals(_posts(spark, sf)), dim, "location")
 
 
+def q_country_coordinates(spark, sf):
+    # the fixture's nations stand for the map's countries, in the order of their codes
+    codes = sorted(COUNTRY_COORDS)
+    nation = fixture.read_table(spark, sf, "nation")
+    code = F.element_at(F.array(*[F.lit(c) for c in codes]), (F.col("n_nationkey") % len(codes) + 1).cast("int"))
+    named = agg.geo_totals(_posts(spark, sf)).join(nation.select(F.col("n_name").alias("location"), code.alias("code")), "location")
+    totals = named.groupBy(F.col("code").alias("location")).agg(F.sum("cnt").alias("cnt"))
+    return attach(totals, coords_frame(spark), "location")
+
+
+def q_hashtag_table(spark, sf):
+    return store.hashtag_rows(_posts(spark, sf)).select(*HASHTAG_ROW.names)
+
+
 # ---- sentiment ------------------------------------------------------------------------
 
 def q_sentiment_score(spark, sf):
@@ -149,8 +163,8 @@ def q_enriched_posts(spark, sf):
 
 
 def q_document_sentiment(spark, sf):
-    docs = spread_rows(fixture.read_table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
-    return score_sentiment(docs, "text", id_col="doc_id").select("doc_id", "sentiment", "sentiment_score")
+    docs = fixture.read_table(spark, sf, "documents").select("doc_id", "text")
+    return score_sentiment(docs, "text").select("doc_id", "sentiment", "sentiment_score")
 
 
 # ---- keys, projections, store ---------------------------------------------------------------
@@ -165,10 +179,10 @@ def q_salt_distribution(spark, sf):
 
 
 def q_parse_row_key(spark, sf):
+    # every post's key, and beside it a damaged one for posts without text
     p = _posts(spark, sf)
-    key = (F.when(F.col("text").isNull(), F.concat("row_key", F.lit("x")))
-           .when(F.col("text") == "", F.lit("x")).otherwise(F.col("row_key")))
-    keys = p.select(key.alias("key")).filter(row_key_is_valid("key"))
+    damaged = F.when(F.col("text").isNull(), F.concat("row_key", F.lit("x"))).when(F.col("text") == "", F.lit("x"))
+    keys = p.select(F.explode(F.array("row_key", damaged)).alias("key")).filter(row_key_is_valid("key"))
     return keys.select("key", parse_row_key("key").alias("k")).select(
         "key", "k.salt", "k.user_id", "k.rev_ts")
 
@@ -183,12 +197,26 @@ def q_normalize_posts(spark, sf):
         "tweet_id", "text", "likes", "retweets", "location", "hashtags")
 
 
-def q_parse_posts(spark, sf):
+def _messages(spark, sf):
+    """A JSON message per post, and beside those of posts without text a broken one and one without a time."""
     t = _tweets(spark, sf)
-    msg = (F.when(F.col("text").isNull(), F.concat(F.lit("{not json "), F.col("tweet_id")))
-           .otherwise(F.to_json(F.struct(*[F.col(f.name) for f in RAW_POST.fields]))))
-    posts, _rejects = parse_posts(t.select(msg.alias("value")))
-    return posts
+    fields = [F.col(f.name) for f in RAW_POST.fields]
+    untimed = [c for c, f in zip(fields, RAW_POST.fields, strict=True) if f.name != "timestamp"]
+    good, beside = F.to_json(F.struct(*fields)), F.col("text").isNull()
+    return t.select(F.explode(F.filter(F.array(
+        good, F.when(beside, F.concat(F.lit("{not json "), F.col("tweet_id"))), F.when(beside, F.to_json(F.struct(*untimed)))),
+        lambda m: m.isNotNull())).alias("value"))
+
+
+def q_parse_posts(spark, sf):
+    return parse_posts(_messages(spark, sf))[0]
+
+
+def q_parse_rejects(spark, sf):
+    # the time-less messages are reported by length: the two engines space their JSON alike, but not by contract
+    rejects = parse_posts(_messages(spark, sf))[1]
+    broken = F.col("value").startswith("{not json ")
+    return rejects.groupBy(broken.alias("broken"), F.when(broken, F.col("value")).alias("value")).agg(F.count("*").alias("cnt"))
 
 
 def q_publish_payload(spark, sf):
@@ -203,19 +231,19 @@ def q_last_window_posts(spark, sf):
 
 
 def q_prefix_scan(spark, sf):
-    return store.prefix_scan(_posts(spark, sf), "3_").select("row_key", "tweet_id", "user_id")
+    return store.prefix_scan(_table(spark, sf), "3_").select("row_key", "tweet_id", "user_id")
 
 
 def q_user_posts(spark, sf):
-    return store.user_posts(_posts(spark, sf), "user_7").select("row_key", "tweet_id", "timestamp")
+    return store.user_posts(_table(spark, sf), "user_7").select("row_key", "tweet_id", "timestamp")
 
 
 def q_bounded_scan(spark, sf):
-    return store.bounded_scan(_posts(spark, sf), 100).select("row_key", "tweet_id")
+    return store.bounded_scan(_table(spark, sf), 100).select("row_key", "tweet_id")
 
 
 def q_delete_keys(spark, sf):
-    p = _posts(spark, sf)
+    p = _table(spark, sf)
     doomed = p.filter(F.col("location") == "").select("row_key")
     return store.delete_keys(p, doomed).select("row_key", "tweet_id")
 
@@ -225,17 +253,33 @@ def q_metric_rows(spark, sf):
 
 
 def _stored_metrics(spark, sf):
-    """Metric rows materialised once (reliable checkpoint in the shared folder).
+    return stored.metrics(spark, sf)
+
+
+def _live_metrics(spark, sf):
+    """The newest snapshot among the hours that have not expired (a filter on the partition column)."""
+    return store.latest_metrics(_stored_metrics(spark, sf), _as_of(spark, sf))
 
-    The readers below use the rows twice (newest bucket, then the rows of it);
-    the checkpoint stands in for the stored metric table and cuts the lineage.
-    """
-    checkpoint_dir(spark)
-    return store.metric_rows(_posts(spark, sf)).checkpoint(eager=True)
+
+def _two_runs(spark, sf):
+    """Two runs of the hourly job, 20 minutes apart, over the stored posts; the paths written."""
+    base, as_of = scratch_path(spark, "hourly"), _as_of(spark, sf)
+    paths = (f"{base}/metrics", f"{base}/users")
+    for now in (as_of - 20 * 60_000, as_of):
+        batch.hourly_job(spark, _table(spark, sf), now, *paths)
+    return paths
+
+
+def q_hourly_job_metrics(spark, sf):
+    return store.read_metric_rows(spark, _two_runs(spark, sf)[0])
+
+
+def q_hourly_job_users(spark, sf):
+    return batch.read_users(spark, _two_runs(spark, sf)[1])
 
 
 def q_latest_metrics(spark, sf):
-    return store.latest_metrics(_stored_metrics(spark, sf))
+    return _live_metrics(spark, sf)
 
 
 def q_retention_metrics(spark, sf):
@@ -259,10 +303,16 @@ def q_users_upsert(spark, sf):
 
 
 def q_users_from_deltas(spark, sf):
-    # one delta per (day, user) from a single pass, folded with per-cell last-write-wins
-    deltas = store.user_rows(_posts(spark, sf), by=("day",))
-    return store.users_from_deltas(deltas, order_col="day").select(
-        "user_id", "total_tweets", "total_likes", "last_active", "top_hashtags")
+    return stored.users(spark, sf)
+
+
+def q_post_table_two_steps(spark, sf):
+    # the second step adds the later half of every day to the table that the first step wrote
+    path = scratch_path(spark, "posts-two-steps")
+    early = (F.col("timestamp") % DAY_MS) < DAY_MS // 2
+    store.write_post_table(_posts(spark, sf).filter(early), path)
+    store.upsert_post_table(spark, _posts(spark, sf).filter(~early), path)
+    return store.read_post_table(spark, path)
 
 
 # ---- serving ----------------------------------------------------------------------------
@@ -272,7 +322,11 @@ def q_recent_posts(spark, sf):
 
 
 def q_viral_posts(spark, sf):
-    return serving.viral_posts(_posts(spark, sf))
+    return serving.viral_posts(_table(spark, sf))
+
+
+def q_viral_posts_by_key(spark, sf):
+    return serving.viral_posts(_table(spark, sf), order="key")
 
 
 def q_viral_filter(spark, sf):
@@ -280,11 +334,11 @@ def q_viral_filter(spark, sf):
 
 
 def q_hashtag_search(spark, sf):
-    return serving.hashtag_search(_posts(spark, sf), "#SIGN")
+    return serving.hashtag_search(_table(spark, sf), "#SIGN")
 
 
 def q_hashtag_search_exact(spark, sf):
-    return serving.hashtag_search(_posts(spark, sf), "#k1", exact=True)
+    return serving.hashtag_search(_table(spark, sf), "#k1", exact=True)
 
 
 def q_hashtag_history(spark, sf):
@@ -300,29 +354,24 @@ def q_sentiment_timeline_from_metrics(spark, sf):
 
 
 def q_trending_latest(spark, sf):
-    return serving.trending_latest(_posts(spark, sf), 10)
+    return serving.trending_latest(_table(spark, sf), 10, _as_of(spark, sf))
 
 
 def q_trending_from_metrics(spark, sf):
-    return serving.trending_from_metrics(store.latest_metrics(_stored_metrics(spark, sf)), 10)
+    return serving.trending_from_metrics(_live_metrics(spark, sf), 10)
 
 
 def q_sentiment_stats_from_metrics(spark, sf):
-    return serving.sentiment_stats_from_metrics(store.latest_metrics(_stored_metrics(spark, sf)))
+    return serving.sentiment_stats_from_metrics(_live_metrics(spark, sf))
 
 
 def q_geo_from_metrics(spark, sf):
-    return serving.geo_from_metrics(store.latest_metrics(_stored_metrics(spark, sf)))
-
-
-def q_geo_sentiment_sql(spark, sf):
-    batch.register_views(spark, sf)
-    return batch.geo_sentiment_sql(spark)
+    return serving.geo_from_metrics(_live_metrics(spark, sf))
 
 
-def q_top_users_sql(spark, sf):
+def q_negative_countries_sql(spark, sf):
     batch.register_views(spark, sf)
-    return batch.top_users_sql(spark, 20)
+    return batch.negative_countries(spark)
 
 
 def q_trending_ranked(spark, sf):
@@ -334,19 +383,19 @@ def q_trending_filter(spark, sf):
 
 
 def q_sentiment_timeline(spark, sf):
-    return serving.sentiment_timeline(_posts(spark, sf), _as_of(spark, sf), 24)
+    return serving.sentiment_timeline(_table(spark, sf), _as_of(spark, sf), 24)
 
 
 def q_sentiment_timeline_filled(spark, sf):
-    return serving.sentiment_timeline_filled(_posts(spark, sf), _as_of(spark, sf), 24)
+    return serving.sentiment_timeline_filled(_table(spark, sf), _as_of(spark, sf), 24)
 
 
 def q_top_users_served(spark, sf):
-    return serving.top_users(_users(spark, sf), 10)
+    return serving.top_users(stored.users(spark, sf), 10)
 
 
 def q_user_detail(spark, sf):
-    return serving.user_detail(_users(spark, sf), "user_7")
+    return serving.user_detail(stored.users(spark, sf), "user_7")
 
 
 def q_feed_kpis(spark, sf):

@@ -8,7 +8,8 @@ over the whole driver tables, pre-registered as views.
 
 from __future__ import annotations
 
-from pulse.operators.sentiment import DEFAULT_MODIFIERS, default_lexicon
+from pulse.operators.lookups import COUNTRY_COORDS
+from pulse.operators.sentiment import LEXICON_PATH
 
 # The posts view (FIXTURES.md §3, DuckDB form).
 TWEETS = """
@@ -37,16 +38,12 @@ FROM events e LEFT JOIN nation n ON n.n_nationkey = e.event_id % 26
 )"""
 
 
-def _values(d: dict[str, float]) -> str:
-    return ", ".join(f"('{k}', {float(v)!r})" for k, v in sorted(d.items()))
-
-
 def _score_ctes(source: str, id_col: str, text_col: str, prefix: str) -> str:
     """Lexicon score of ``source.text_col`` per ``id_col`` as CTE ``{prefix}_hits``."""
     return f"""
 {prefix}_tok AS (
   SELECT {id_col} AS id,
-         string_split(trim(regexp_replace(lower({text_col}), '[^a-z'']+', ' ', 'g')), ' ') AS toks
+         string_split(trim(regexp_replace(lower({text_col}), '[^\\p{{L}}'']+', ' ', 'g')), ' ') AS toks
   FROM {source}),
 {prefix}_pos AS (
   SELECT id, toks, unnest(generate_series(1, len(toks))) AS i FROM {prefix}_tok),
@@ -59,8 +56,10 @@ def _score_ctes(source: str, id_col: str, text_col: str, prefix: str) -> str:
 
 
 LEXICON = f"""
-lexicon(term, polarity) AS (VALUES {_values(default_lexicon())}),
-modifiers(term, factor) AS (VALUES {_values(DEFAULT_MODIFIERS)})"""
+words AS (SELECT * FROM read_csv('{LEXICON_PATH}', header = true, quote = '',
+                                 columns = {{'term': 'VARCHAR', 'polarity': 'DOUBLE', 'intensity': 'DOUBLE'}})),
+lexicon AS (SELECT term, polarity FROM words WHERE polarity IS NOT NULL),
+modifiers AS (SELECT term, intensity AS factor FROM words WHERE intensity IS NOT NULL)"""
 
 ENRICHED = _score_ctes("tweets", "tweet_id", "text", "tw") + """,
 enriched AS (
@@ -107,7 +106,7 @@ metric_rows AS (
 
 
 def _user_rows(name: str, where: str) -> str:
-    """Per-user stats and top-3 tags of the posts matching ``where``."""
+    """Per-user stats and tags by use of the posts matching ``where``."""
     return f""",
 {name}_stats AS (
   SELECT user_id, count(*) AS total_tweets, CAST(coalesce(sum(coalesce(likes, 0)), 0) AS BIGINT) AS total_likes,
@@ -118,7 +117,7 @@ def _user_rows(name: str, where: str) -> str:
 {name}_top AS (
   SELECT user_id, list(hashtag ORDER BY r) AS top_hashtags FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, hashtag) AS r
-    FROM {name}_tagcnt) WHERE r <= 3 GROUP BY user_id),
+    FROM {name}_tagcnt) GROUP BY user_id),
 {name} AS (
   SELECT s.*, coalesce(t.top_hashtags, CAST([] AS VARCHAR[])) AS top_hashtags
   FROM {name}_stats s LEFT JOIN {name}_top t USING (user_id))"""
@@ -139,8 +138,14 @@ HOUR = 3600000
 DAY = 86400000
 AS_OF = "(SELECT ms FROM as_of_ms)"
 USERS_ALL = _user_rows("users_all", "TRUE")
+# first hour that two runs of the hourly job, the first 20 minutes before as-of, recompute
+FIRST_HOUR = f"strftime(make_timestamp(({AS_OF} - 1200000 - {HOUR}) // {HOUR} * {HOUR} * 1000), '%Y%m%d%H')"
+_COORDS = ", ".join(f"({i}, '{code}', CAST({lat} AS DOUBLE), CAST({lng} AS DOUBLE))"
+                    for i, (code, (lat, lng)) in enumerate(sorted(COUNTRY_COORDS.items())))
 FEED = """
-feed AS (SELECT row_key AS tweet_id, text, hashtags, likes, retweets, location, sentiment
+feed AS (SELECT row_key AS tweet_id, coalesce(text, '') AS text,
+                list_filter(hashtags, lambda x: x IS NOT NULL AND x <> '') AS hashtags, coalesce(likes, 0) AS likes,
+                coalesce(retweets, 0) AS retweets, location, sentiment
          FROM posts ORDER BY rev_ts, row_key, tweet_id LIMIT 50)"""
 TOP10 = """
 top10 AS (SELECT hashtag, count(*) AS cnt FROM tags GROUP BY 1 ORDER BY cnt DESC, hashtag LIMIT 10)"""
@@ -225,8 +230,8 @@ SELECT salt, count(*) AS posts, count(DISTINCT user_id) AS users FROM posts GROU
 SELECT key, CAST(regexp_extract(key, '^([^_]+)_(.+)_([^_]+)$', 1) AS BIGINT) AS salt,
        regexp_extract(key, '^([^_]+)_(.+)_([^_]+)$', 2) AS user_id,
        TRY_CAST(regexp_extract(key, '^([^_]+)_(.+)_([^_]+)$', 3) AS BIGINT) AS rev_ts
-FROM (SELECT CASE WHEN text IS NULL THEN row_key || 'x' WHEN text = '' THEN 'x' ELSE row_key END AS key
-      FROM posts)
+FROM (SELECT row_key AS key FROM posts UNION ALL SELECT row_key || 'x' FROM posts WHERE text IS NULL
+      UNION ALL SELECT 'x' FROM posts WHERE text = '')
 WHERE regexp_extract(key, '^([^_]+)_(.+)_([^_]+)$', 2) <> ''
   AND regexp_matches(regexp_extract(key, '^([^_]+)_(.+)_([^_]+)$', 3), '^[0-9]+$')"""),
     "tags_roundtrip": with_ctes("""
@@ -239,8 +244,11 @@ SELECT tweet_id, coalesce(text, '') AS text, coalesce(likes, 0) AS likes, coales
        coalesce(list_filter(hashtags, lambda x: x IS NOT NULL AND x <> ''), CAST([] AS VARCHAR[])) AS hashtags
 FROM tweets"""),
     "parse_posts": with_ctes("""
-SELECT tweet_id, user_id, text, hashtags, likes, retweets, "timestamp", location
-FROM tweets WHERE text IS NOT NULL"""),
+SELECT tweet_id, user_id, text, hashtags, likes, retweets, "timestamp", location FROM tweets"""),
+    "parse_rejects": with_ctes("""
+SELECT TRUE AS broken, '{not json ' || tweet_id AS value, count(*) AS cnt FROM tweets WHERE text IS NULL GROUP BY tweet_id
+UNION ALL
+SELECT FALSE, NULL, count(*) FROM tweets WHERE text IS NULL HAVING count(*) > 0"""),
     "publish_payload": with_ctes("""
 SELECT tweet_id AS key,
        CAST(to_json({'tweet_id': tweet_id, 'user_id': user_id, 'text': text, 'hashtags': hashtags,
@@ -281,38 +289,50 @@ FROM users_old o FULL OUTER JOIN users_new n USING (user_id)""",
                               _user_rows("users_old", f'"timestamp" < {AS_OF} - 7 * {DAY}'),
                               _user_rows("users_new", f'"timestamp" >= {AS_OF} - 7 * {DAY}')),
     "users_from_deltas": with_ctes("""
-SELECT s.user_id, s.total_tweets, s.total_likes, s.last_active,
-       coalesce(t.top_hashtags, CAST([] AS VARCHAR[])) AS top_hashtags
-FROM d_stats s
-JOIN (SELECT user_id, max(day) AS day FROM d_stats GROUP BY user_id) l USING (user_id, day)
-LEFT JOIN d_top t USING (day, user_id)""", """,
-d_stats AS (
-  SELECT day, user_id, count(*) AS total_tweets,
-         CAST(coalesce(sum(coalesce(likes, 0)), 0) AS BIGINT) AS total_likes,
-         strftime(make_timestamp(max("timestamp") * 1000), '%Y%m%d%H') AS last_active
-  FROM posts GROUP BY day, user_id),
-d_tagcnt AS (
-  SELECT strftime(make_timestamp("timestamp" * 1000), '%Y-%m-%d') AS day, user_id, hashtag, count(*) AS cnt
-  FROM tags GROUP BY 1, 2, 3),
-d_top AS (
-  SELECT day, user_id, list(hashtag ORDER BY r) AS top_hashtags FROM (
-    SELECT *, row_number() OVER (PARTITION BY day, user_id ORDER BY cnt DESC, hashtag) AS r FROM d_tagcnt)
-  WHERE r <= 3 GROUP BY day, user_id)"""),
+SELECT user_id, total_tweets, total_likes, last_active, top_hashtags FROM users_all""", USERS_ALL),
+    "hourly_job_metrics": with_ctes(f"""
+SELECT metric, bucket, key, CAST(value AS BIGINT) AS value FROM metric_rows
+WHERE bucket >= {FIRST_HOUR}""", METRICS),
+    "hourly_job_users": with_ctes("""
+SELECT user_id, total_tweets, total_likes, last_active, top_hashtags FROM users_run""",
+                                  _user_rows("users_run", f"hb >= {FIRST_HOUR}".replace("hb", "strftime(make_timestamp(\"timestamp\" * 1000), '%Y%m%d%H')"))),
+    "post_table_two_steps": with_ctes("""
+SELECT row_key, salt, user_id, rev_ts, tweet_id, text, hashtags, likes, retweets, location,
+       sentiment, sentiment_score, "timestamp", day FROM posts"""),
+    "hashtag_table": with_ctes("""
+SELECT hashtag || '_' || lpad(CAST(9999999999999 - min("timestamp") AS VARCHAR), 13, '0') AS row_key, hashtag,
+       count(*) AS total, CAST(coalesce(sum(likes), 0) AS BIGINT) AS likes_sum, min("timestamp") AS first_seen
+FROM tags GROUP BY hashtag"""),
+    "country_coordinates": with_ctes(f"""
+SELECT c.code AS location, CAST(sum(g.cnt) AS BIGINT) AS cnt, any_value(c.lat) AS lat, any_value(c.lng) AS lng
+FROM (SELECT location, count(*) AS cnt FROM posts WHERE location <> '' GROUP BY 1) g
+JOIN nation n ON n.n_name = g.location
+JOIN (VALUES {_COORDS}) c(i, code, lat, lng) ON c.i = n.n_nationkey % {len(COUNTRY_COORDS)}
+GROUP BY c.code"""),
+    "negative_countries_sql": with_ctes("""
+SELECT location, posts, negative FROM (
+  SELECT location, count(*) AS posts, count(*) FILTER (WHERE sentiment = 'negative') AS negative,
+         sum(count(*) FILTER (WHERE sentiment = 'negative')) OVER () AS all_negative, sum(count(*)) OVER () AS all_posts
+  FROM posts WHERE location <> '' GROUP BY location)
+WHERE CAST(negative AS DOUBLE) > posts * (CAST(all_negative AS DOUBLE) / all_posts)"""),
     # ---- serving
     "recent_posts": with_ctes("SELECT * FROM feed", "," + FEED),
     "viral_posts": with_ctes("""
-SELECT tweet_id, text, likes, user_id FROM posts WHERE likes > 1000
+SELECT tweet_id, coalesce(text, '') AS text, likes, user_id FROM posts WHERE likes > 1000
 ORDER BY likes DESC, tweet_id LIMIT 10"""),
+    "viral_posts_by_key": with_ctes("""
+SELECT tweet_id, coalesce(text, '') AS text, likes, user_id FROM posts WHERE likes > 1000
+ORDER BY row_key, tweet_id LIMIT 10"""),
     "viral_filter": with_ctes("SELECT tweet_id, text, likes, user_id FROM posts WHERE likes > 1000"),
     "hashtag_search": with_ctes("""
-SELECT row_key AS tweet_id, text, list_filter(hashtags, lambda x: x IS NOT NULL AND x <> '') AS hashtags,
-       likes, location
+SELECT row_key AS tweet_id, coalesce(text, '') AS text,
+       list_filter(hashtags, lambda x: x IS NOT NULL AND x <> '') AS hashtags, coalesce(likes, 0) AS likes, location
 FROM posts
 WHERE contains(lower(array_to_string(list_filter(hashtags, lambda x: x IS NOT NULL AND x <> ''), ',')), '#sign')
 ORDER BY row_key LIMIT 50"""),
     "hashtag_search_exact": with_ctes("""
-SELECT row_key AS tweet_id, text, list_filter(hashtags, lambda x: x IS NOT NULL AND x <> '') AS hashtags,
-       likes, location
+SELECT row_key AS tweet_id, coalesce(text, '') AS text,
+       list_filter(hashtags, lambda x: x IS NOT NULL AND x <> '') AS hashtags, coalesce(likes, 0) AS likes, location
 FROM posts WHERE list_contains(list_transform(hashtags, lambda x: lower(x)), '#k1')
 ORDER BY row_key LIMIT 50"""),
     "hashtag_history": with_ctes("""
@@ -340,11 +360,6 @@ WHERE metric = 'sentiment' AND bucket = (SELECT max(bucket) FROM metric_rows WHE
     "geo_from_metrics": with_ctes("""
 SELECT key AS location, CAST(value AS BIGINT) AS cnt FROM metric_rows
 WHERE metric = 'geo' AND bucket = (SELECT max(bucket) FROM metric_rows WHERE metric = 'geo')""", METRICS),
-    "geo_sentiment_sql": with_ctes("""
-SELECT location, sentiment, count(*) AS cnt FROM posts WHERE location <> '' GROUP BY 1, 2"""),
-    "top_users_sql": with_ctes("""
-SELECT user_id, count(*) AS tweet_count, CAST(coalesce(sum(coalesce(likes, 0)), 0) AS BIGINT) AS total_likes
-FROM posts GROUP BY user_id ORDER BY tweet_count DESC, user_id LIMIT 20"""),
     "trending_ranked": with_ctes("""
 SELECT hashtag, cnt, row_number() OVER (ORDER BY cnt DESC, hashtag) AS rank,
        coalesce(100.0 * cnt / nullif(max(cnt) OVER (), 0), 0.0) AS share_of_max

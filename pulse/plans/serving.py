@@ -16,6 +16,7 @@ from pulse.functions.tags import clean_tags, join_tags
 from pulse.functions.text import contains_ci, user_handle, user_label
 from pulse.operators import aggregates as agg
 from pulse.operators.rankings import filter_ranked, ranked_list
+from pulse.sources.posts import normalize_posts
 
 # Request parameter defaults and bounds of the read API.
 RECENT_LIMIT, RECENT_MAX = 50, 200
@@ -71,7 +72,8 @@ def recent_posts(posts: DataFrame, limit: int = RECENT_LIMIT, two_phase: bool =
             src = posts.filter(F.col("timestamp") >= F.lit(t))
             if "day" in posts.columns:
                 src = src.filter(F.col("day") >= F.date_format(F.timestamp_millis(F.lit(t)), "yyyy-MM-dd"))
-    return (src.orderBy(F.asc("rev_ts"), F.asc("row_key"), F.asc("tweet_id")).limit(limit)
+    newest = src.orderBy(F.asc("rev_ts"), F.asc("row_key"), F.asc("tweet_id")).limit(limit)
+    return (normalize_posts(newest)
                .select(F.col("row_key").alias("tweet_id"), "text", "hashtags", "likes",
                        "retweets", "location", "sentiment"))
 
@@ -83,9 +85,10 @@ def viral_filter(posts: DataFrame, threshold: int = VIRAL_LIKES_ABOVE) -> DataFr
 
 def viral_posts(posts: DataFrame, limit: int = VIRAL_LIMIT, order: str = "likes") -> DataFrame:
     """Top viral posts (O22): by likes desc then id, or in stored key order (``order='key'``)."""
-    v = viral_filter(posts).select("tweet_id", "text", "likes", "user_id")
-    sort = [F.asc("tweet_id")] if order == "key" else [F.desc("likes"), F.asc("tweet_id")]
-    return v.orderBy(*sort).limit(limit)
+    key = "row_key" if "row_key" in posts.columns else "tweet_id"
+    sort = [F.asc(key), F.asc("tweet_id")] if order == "key" else [F.desc("likes"), F.asc("tweet_id")]
+    top = viral_filter(posts).orderBy(*sort).limit(limit)
+    return normalize_posts(top).select("tweet_id", "text", "likes", "user_id")
 
 
 def hashtag_search(posts: DataFrame, hashtag: str, limit: int = SEARCH_LIMIT,
@@ -99,9 +102,9 @@ def hashtag_search(posts: DataFrame, hashtag: str, limit: int = SEARCH_LIMIT,
         cond = F.exists(clean_tags("hashtags"), lambda t: F.lower(t) == hashtag.lower())
     else:
         cond = contains_ci(join_tags(clean_tags("hashtags")), hashtag)
-    return (posts.filter(cond).orderBy("row_key").limit(limit)
-                 .select(F.col("row_key").alias("tweet_id"), "text",
-                         clean_tags("hashtags").alias("hashtags"), "likes", "location"))
+    found = posts.filter(cond).orderBy("row_key").limit(limit)
+    return (normalize_posts(found)
+                 .select(F.col("row_key").alias("tweet_id"), "text", "hashtags", "likes", "location"))
 
 
 def newest_timestamp(posts: DataFrame) -> int | None:
@@ -112,10 +115,10 @@ def newest_timestamp(posts: DataFrame) -> int | None:
     return int(row["m"])
 
 
-def trending_latest(posts: DataFrame, limit: int = TRENDING_LIMIT) -> DataFrame:
-    """Tag counts of the newest hour, most used first (O24 over O30)."""
+def trending_latest(posts: DataFrame, limit: int = TRENDING_LIMIT, as_of_ms: int | None = None) -> DataFrame:
+    """Tag counts of the hour of ``as_of_ms`` (default: of the newest post), most used first (O24 over O30)."""
     _check(limit, 1, TRENDING_MAX, "limit")
-    newest = newest_timestamp(posts)
+    newest = newest_timestamp(posts) if as_of_ms is None else as_of_ms
     if newest is None:
         return agg.hashtag_counts(posts.limit(0))
     start = (newest // HOUR_MS) * HOUR_MS
@@ -203,7 +206,7 @@ def sentiment_timeline(posts: DataFrame, as_of_ms: int, hours: int = TIMELINE_HO
     lo, hi = _timeline_range(as_of_ms, hours)
     win = _time_range(posts, lo, hi)
     return (win.groupBy(hour_bucket("timestamp").alias("hour"))
-               .agg(*[F.count_if(F.col("sentiment") == lab).alias(lab) for lab in agg.LABELS])
+               .agg(*[F.count_if(agg.read_label() == lab).alias(lab) for lab in agg.LABELS])
                .orderBy("hour"))
 
 

@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 from pulse.functions.keys import day_partition, hour_bucket, reversed_ts, row_key, salt
 from pulse.functions.tags import clean_tags
 from pulse.operators.aggregates import TOP_HASHTAGS, exploded_tags
-from pulse.operators.joins import bounded_broadcast
 from pulse.schemas import METRIC_ROW, POST_FAMILIES, STORED_POST
+from pulse.session import scratch_path
 
 # Time to live of stored cells (seconds), per the table definitions.
 ANALYSIS_TTL_S = 7_776_000     # 90 days, post sentiment cells only
 METRICS_TTL_S = 172_800        # 2 days, metric rows
-USER_TOP_TAGS = 3              # tags listed per user
-MAX_BROADCAST_KEYS = 10_000_000
 
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
@@ -58,6 +56,30 @@ def write_post_table(posts: DataFrame, path: str, bloom_filter: bool = True) ->
     writer.partitionBy("day").parquet(path)
 
 
+def upsert_post_table(spark: SparkSession, posts: DataFrame, path: str) -> None:
+    """Write ``posts`` by key into the table: a row replaces the one with its key and id, all others of the day stay.
+
+    Only the days that ``posts`` touches are read and rewritten.  The new days are finished in a
+    folder of their own first, since a table can't be read while it is replaced.  Run over a
+    streamed table without new rows for some days it also compacts those days' files.
+    """
+    days = posts.select("day").distinct()
+    old = read_post_table(spark, path).join(F.broadcast(days), "day", "left_semi")   # one row per day
+    kept = old.join(posts.select("row_key", "tweet_id"), ["row_key", "tweet_id"], "left_anti")
+    staged = scratch_path(spark, "post-days")
+    write_post_table(kept.unionByName(posts.select(*kept.columns)), staged, bloom_filter=False)
+    write_post_table(read_post_table(spark, staged), path)
+
+
+def hashtag_rows(posts: DataFrame) -> DataFrame:
+    """The hashtags table: uses, likes and first use of every tag, keyed by tag and reversed first use."""
+    tags = posts.select("likes", "timestamp", F.explode(clean_tags("hashtags")).alias("hashtag"))
+    rows = tags.groupBy("hashtag").agg(F.count("*").alias("total"), F.coalesce(F.sum("likes"), F.lit(0)).cast("long").alias("likes_sum"),
+                                       F.min("timestamp").alias("first_seen"))
+    key = F.concat_ws("_", "hashtag", F.lpad(reversed_ts("first_seen").cast("string"), 13, "0"))
+    return rows.withColumn("row_key", key)
+
+
 def _day_literal(ms: int):
     return F.date_format(F.timestamp_millis(F.lit(int(ms))), "yyyy-MM-dd")
 
@@ -80,6 +102,12 @@ def posts_in_window(posts: DataFrame, as_of_ms: int, lookback_ms: int = HOUR_MS)
     return posts_since(posts, as_of_ms - lookback_ms)
 
 
+def posts_in_hours(posts: DataFrame, as_of_ms: int, lookback_ms: int = HOUR_MS) -> DataFrame:
+    """All posts of the hours that a run recomputes: from the start of the hour of ``as_of - lookback`` to ``as_of``."""
+    since = (as_of_ms - lookback_ms) // HOUR_MS * HOUR_MS
+    return posts_since(posts, since).filter(F.col("timestamp") <= F.lit(int(as_of_ms)))
+
+
 def prefix_scan(df: DataFrame, prefix: str, key_col: str = "row_key") -> DataFrame:
     """Rows whose key starts with ``prefix`` (pushed to parquet as StringStartsWith)."""
     return df.filter(F.col(key_col).startswith(prefix))
@@ -103,8 +131,7 @@ def bounded_scan(df: DataFrame, n: int, key_col: str = "row_key") -> DataFrame:
 
 def delete_keys(df: DataFrame, keys: DataFrame, key_col: str = "row_key") -> DataFrame:
     """Remove the rows whose key is in ``keys`` (left anti join)."""
-    k = keys.select(F.col(key_col)).distinct() if keys.columns != [key_col] else keys.distinct()
-    return df.join(bounded_broadcast(k, MAX_BROADCAST_KEYS), key_col, "left_anti")
+    return df.join(keys.select(key_col), key_col, "left_anti")
 
 
 def apply_post_retention(posts: DataFrame, as_of_ms: int, ttl_s: int = ANALYSIS_TTL_S,
@@ -132,9 +159,9 @@ def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS) -> DataFrame:
     One pass over the posts: each post becomes one row per tag (or one row
     without a tag), and a single GROUPING SETS aggregate counts tag uses per
     (hour, tag) and posts per (hour, label), (hour, country) and (hour,
-    country, label).  The plan is one Expand feeding a partial aggregate, one
-    shuffle of partial counts, then one window over the (small) result to mark
-    each hour's top tags.  No union of separate scans, no join.
+    country, label).  The plan is one Expand feeding a partial aggregate and one
+    shuffle of partial counts, which the top tags reuse: a window limited to
+    ``top_k`` ranks, so each task passes on at most that many tags of an hour.
     """
     rows = posts.select(hour_bucket("timestamp").alias("bucket"), "location", "sentiment",
                         F.posexplode_outer(clean_tags("hashtags")).alias("pos", "hashtag"))
@@ -154,12 +181,11 @@ def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS) -> DataFrame:
     keep = (value > 0) & (is_tag | is_sent | (F.coalesce(F.col("location"), F.lit("")) != ""))
     long = counted.filter(keep).select(metric.alias("metric"), "bucket", key.alias("key"),
                                        value.alias("value"))
-    w = Window.partitionBy("bucket", "metric").orderBy(F.desc("value"), F.asc("key"))
-    ranked = long.withColumn("_r", F.row_number().over(w))
-    kinds = (F.when((F.col("metric") == "hashtag") & (F.col("_r") <= top_k),
-                    F.array(F.lit("hashtag"), F.lit("trending")))
-             .otherwise(F.array(F.col("metric"))))
-    return ranked.select(F.explode(kinds).alias("metric"), "bucket", "key", "value")
+    w = Window.partitionBy("bucket").orderBy(F.desc("value"), F.asc("key"))
+    trending = (long.filter(F.col("metric") == "hashtag").withColumn("_r", F.row_number().over(w))
+                .filter(F.col("_r") <= top_k)
+                .select(F.lit("trending").alias("metric"), "bucket", "key", "value"))
+    return long.unionByName(trending)
 
 
 def write_metric_rows(rows: DataFrame, path: str) -> None:
@@ -214,16 +240,16 @@ def apply_metric_retention(rows: DataFrame, as_of_ms: int, ttl_s: int = METRICS_
 
 # ---- users --------------------------------------------------------------------------
 
-def user_rows(posts: DataFrame, top_tags: int = USER_TOP_TAGS, by: tuple[str, ...] = ()) -> DataFrame:
-    """Per-user stats of a batch: total_tweets, total_likes, last_active, top_hashtags.
+USER_COUNTS = "user_id string, hashtag string, posts long, likes long, last_ts long, uses long"
+
+
+def user_counts(posts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Additive user counts: per user one row of stats (``hashtag`` null) and one row per tag used.
 
     One scan: each post becomes one row per tag (or one row without a tag),
     and a GROUPING SETS aggregate yields both the per-user stats (each post
-    counted once, through its first row) and the per-(user, tag) uses.  A
-    window partitioned by user ranks the tags (at most distinct tags + 1 rows
-    per user, never raw posts) and the final per-user assembly reuses that
-    partitioning, so there is no join.  ``by`` adds grouping keys (e.g. a day
-    column) to get one row per (key, user) in the same single pass.
+    counted once, through its first row) and the per-(user, tag) uses.  ``by``
+    adds grouping keys (e.g. an hour column).  Rows of disjoint sets of posts add up.
     """
     keys = [*by, "user_id"]
     first = F.col("pos").isNull() | (F.col("pos") == 0)
@@ -235,16 +261,39 @@ def user_rows(posts: DataFrame, top_tags: int = USER_TOP_TAGS, by: tuple[str, ..
         F.max("timestamp").alias("last_ts"),
         F.count("hashtag").alias("uses"),
         F.grouping("hashtag").alias("g_tag"))
-    w = Window.partitionBy(*keys).orderBy(F.asc("g_tag"), F.desc("uses"), F.asc("hashtag"))
-    ranked = counted.filter((F.col("g_tag") == 1) | (F.col("uses") > 0)) \
-                    .withColumn("_r", F.row_number().over(w))
     is_stats = F.col("g_tag") == 1
-    top = F.when((~is_stats) & (F.col("_r") <= top_tags), F.struct("_r", "hashtag"))
-    return ranked.groupBy(*keys).agg(
-        F.max(F.when(is_stats, F.col("posts"))).cast("long").alias("total_tweets"),
-        F.coalesce(F.max(F.when(is_stats, F.col("likes"))), F.lit(0)).cast("long").alias("total_likes"),
-        hour_bucket(F.max(F.when(is_stats, F.col("last_ts")))).alias("last_active"),
-        F.transform(F.array_sort(F.collect_list(top)), lambda x: x["hashtag"]).alias("top_hashtags"))
+    return counted.filter(is_stats | (F.col("uses") > 0)).select(
+        *keys, "hashtag", F.when(is_stats, F.col("posts")).cast("long").alias("posts"),
+        F.when(is_stats, F.coalesce("likes", F.lit(0))).cast("long").alias("likes"),
+        F.when(is_stats, F.col("last_ts")).alias("last_ts"),
+        F.when(~is_stats, F.col("uses")).cast("long").alias("uses"))
+
+
+def users_from_counts(counts: DataFrame, top_tags: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Users table from (summed) user counts: totals, hour last active, tags by use.
+
+    ``top_tags`` limits the list, by a rank limit that applies before the shuffle; by
+    default a user has all tags used.
+    """
+    keys = [*by, "user_id"]
+    summed = counts.groupBy(*keys, "hashtag").agg(
+        F.sum("posts").alias("posts"), F.sum("likes").alias("likes"),
+        F.max("last_ts").alias("last_ts"), F.sum("uses").alias("uses"))
+    if top_tags is not None:
+        # the stats row comes first, then the tags by use
+        w = Window.partitionBy(*keys).orderBy(F.desc(F.col("hashtag").isNull()), F.desc("uses"), F.asc("hashtag"))
+        summed = summed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_tags + 1)
+    tag = F.when(F.col("hashtag").isNotNull(), F.struct((-F.col("uses")).alias("n"), "hashtag"))
+    return summed.groupBy(*keys).agg(
+        F.max("posts").alias("total_tweets"),
+        F.coalesce(F.max("likes"), F.lit(0)).alias("total_likes"),
+        hour_bucket(F.max("last_ts")).alias("last_active"),
+        F.transform(F.array_sort(F.collect_list(tag)), lambda x: x["hashtag"]).alias("top_hashtags"))
+
+
+def user_rows(posts: DataFrame, top_tags: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per-user stats of a set of posts: total_tweets, total_likes, last_active, top_hashtags."""
+    return users_from_counts(user_counts(posts, by), top_tags, by)
 
 
 USER_VALUE_COLUMNS = ["username", "display_name", "location", "total_tweets", "total_likes",
@@ -263,23 +312,16 @@ def upsert_users(old: DataFrame, new: DataFrame) -> DataFrame:
                                  for c in cols])
 
 
-# ---- users as an append-only delta log ------------------------------------------------
+# ---- users as a log of additive counts -------------------------------------------------
 
-def write_user_deltas(deltas: DataFrame, path: str) -> None:
-    """Append one run's user rows under its ``bucket`` (a rerun replaces that bucket only)."""
-    (deltas.repartition("bucket").write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+def write_user_counts(counts: DataFrame, path: str) -> None:
+    """Write the counts of some hours under their ``bucket``; a rerun of an hour replaces that hour only.
 
+    Range partitioning cuts a large hour into several writers.
+    """
+    (counts.repartitionByRange("bucket", "user_id").sortWithinPartitions("bucket", "user_id")
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
-def users_from_deltas(deltas: DataFrame, order_col: str = "bucket") -> DataFrame:
-    """Fold the deltas in ``order_col`` order with per-cell last-write-wins.
 
-    For each user and column, the value of the newest delta in which that cell
-    is present: ``max_by(cell, order)`` where the order is null for absent
-    cells (such rows are skipped).  Same answer as applying
-    :func:`upsert_users` delta by delta, in one aggregate with a partial step,
-    instead of rewriting the whole users table every run.
-    """
-    cols = [c for c in USER_VALUE_COLUMNS if c in deltas.columns]
-    return deltas.groupBy("user_id").agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(c) for c in cols])
+def read_user_counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(USER_COUNTS + ", bucket string").parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType,
                                StringType, StructField, StructType)
 
-# A raw post as it arrives on the stream (JSON message).
+# Fixed value: a raw post as it arrives on the stream (JSON message).
 RAW_POST = StructType([
     StructField("tweet_id", StringType(), True),
     StructField("user_id", StringType(), True),
@@ -49,17 +49,13 @@ METRIC_ROW = StructType([
     StructField("value", LongType(), True),
 ])
 
-# The users table: profile, stats and activity columns keyed by user_id.
-USER_ROW = StructType([
-    StructField("user_id", StringType(), False),
-    StructField("username", StringType(), True),
-    StructField("display_name", StringType(), True),
-    StructField("location", StringType(), True),
-    StructField("total_tweets", LongType(), True),
-    StructField("total_likes", LongType(), True),
-    StructField("followers", LongType(), True),
-    StructField("last_active", StringType(), True),
-    StructField("top_hashtags", ArrayType(StringType()), True),
+# The hashtags table: one row per tag (key: tag and reversed time of first use).
+HASHTAG_ROW = StructType([
+    StructField("row_key", StringType(), False),
+    StructField("hashtag", StringType(), False),
+    StructField("total", LongType(), True),
+    StructField("likes_sum", LongType(), True),
+    StructField("first_seen", LongType(), True),
 ])
 
 # Column families of the post table, used by retention (time to live per family).

@@ -19,12 +19,6 @@ _REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # No broadcast from planning-time estimates (compressed file sizes, filter
-    # guesses).  A side is broadcast only when counted (``bounded_broadcast``)
-    # or when AQE has measured its actual shuffle output at run time.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
 }
 
 # Static settings, only applied when this module builds the session.  Building
@@ -62,11 +56,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the deployment (a shared file system);
-    only when it is unset (tests, a laptop) a scratch folder is created.
+    without it only a local session, whose tasks share the driver's disk, gets
+    a scratch folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="pulse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

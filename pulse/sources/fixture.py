@@ -1,8 +1,7 @@
 """The ``tweets`` view: deterministic posts derived from ``events`` and ``nation``.
 
 Every column is a row-local expression of one event, except the country,
-which is a lookup into ``nation`` (a dimension of bounded size, broadcast only
-after its size is checked).  A time lower bound is applied to the raw ``ts``
+which is a lookup into ``nation``.  A time lower bound is applied to the raw ``ts``
 column so that it reaches the parquet scan as a pushed filter.
 """
 
@@ -13,9 +12,6 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.operators.joins import bounded_broadcast
-from pulse.operators.partitioning import spread_rows
-
 NATION_COUNT = 26   # event_id % 26 picks the nation; key 25 has no nation -> blank country
 
 # The posts view, column by column, in Spark SQL (FIXTURES.md §3, Spark form).
@@ -86,13 +82,12 @@ def derive_posts(events: DataFrame, nation: DataFrame) -> DataFrame:
 def tweets(spark: SparkSession, sf_dir: str, since_ms: int | None = None,
            until_ms: int | None = None) -> DataFrame:
     """The posts view over the whole ``events`` table (or a time range of it)."""
-    events = spread_rows(read_table(spark, sf_dir, "events"), "event_id")
+    events = read_table(spark, sf_dir, "events")
     if since_ms is not None:
         events = events.filter(F.col("ts") >= _ntz_literal(since_ms))
     if until_ms is not None:
         events = events.filter(F.col("ts") < _ntz_literal(until_ms))
-    nation = bounded_broadcast(read_table(spark, sf_dir, "nation"), max_rows=10_000)
-    return derive_posts(events, nation)
+    return derive_posts(events, read_table(spark, sf_dir, "nation"))
 
 
 def max_timestamp(spark: SparkSession, sf_dir: str) -> int:

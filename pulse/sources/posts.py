@@ -1,12 +1,15 @@
 """JSON posts in, JSON posts out, and the missing-value policy.
 
 ``parse_posts`` turns message text into typed columns with a declared schema
-and splits off rejects (malformed JSON or no post id) instead of letting
-all-null rows flow on as neutral posts.
+and splits off rejects (malformed JSON, or a message without post id, user or time,
+which could not be keyed) instead of letting such rows flow on as neutral posts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from pulse.functions.tags import clean_tags
 from pulse.schemas import ENRICHED_POST, RAW_POST
 
 # Defaults for missing cells on read.
+REQUIRED = ("tweet_id", "user_id", "timestamp")
 DEFAULTS = {"likes": 0, "retweets": 0, "text": "", "location": "", "sentiment": "neutral",
             "sentiment_score": 0.0}
 
@@ -24,12 +28,14 @@ def decode(df: DataFrame, value_col: str = "value", schema=RAW_POST,
 
     ``from_json`` in PERMISSIVE mode turns a malformed message into an all-null
     struct and a field of the wrong type into a null field, keeping the rest.
+    The generator around the parsed struct keeps the optimizer from parsing
+    again in every filter and projection above it.
     """
     text = F.col(value_col).cast("string")
     parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-    out = df.select(*keep, text.alias("_raw"), parsed.alias("_post"))
-    return (out.select(*keep, "_raw", "_post.*")
-               .withColumn("_valid", F.col("tweet_id").isNotNull()))
+    out = df.select(*keep, text.alias("_raw"), F.explode(F.array(parsed)).alias("_post"))
+    present = [F.col(f"_post.{c}").isNotNull() for c in REQUIRED if c in schema.names]
+    return out.select(*keep, "_raw", "_post.*", reduce(and_, present, F.lit(True)).alias("_valid"))
 
 
 def parse_posts(df: DataFrame, value_col: str = "value", schema=RAW_POST,

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from pulse.functions.keys import HOUR_BUCKET_FORMAT
 from pulse.operators.aggregates import exploded_tags
-from pulse.operators.joins import bounded_broadcast
 from pulse.operators.sentiment import score_sentiment
 from pulse.plans.serving import VIRAL_LIKES_ABOVE
 from pulse.schemas import RAW_POST
@@ -65,8 +64,7 @@ def event_posts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fixture.read_table(spark, sf_dir, "events").schema
     events = (spark.readStream.schema(schema).option("basePath", sf_dir)
               .parquet(f"{sf_dir}/events*.parquet"))
-    nation = bounded_broadcast(fixture.read_table(spark, sf_dir, "nation"), 10_000)
-    return fixture.derive_posts(events, nation)
+    return fixture.derive_posts(events, fixture.read_table(spark, sf_dir, "nation"))
 
 
 # ---- transformations ----------------------------------------------------------------------------

@@ -21,14 +21,22 @@ def _posts(spark, rows):
 
 
 def test_malformed_json_goes_to_rejects(spark):
-    msgs = spark.createDataFrame([('{"tweet_id": "1", "likes": 5}',), ("not json",), ("{}",)], "value string")
+    good = '{"tweet_id": "1", "user_id": "u", "timestamp": 7, "likes": 5}'
+    unkeyed = ['{"tweet_id": "2", "user_id": "u"}', '{"tweet_id": "3", "timestamp": 7}']
+    msgs = spark.createDataFrame([(m,) for m in [good, "not json", "{}", *unkeyed]], "value string")
     posts, rejects = parse_posts(msgs)
     assert [r.tweet_id for r in posts.collect()] == ["1"]
-    assert sorted(r.value for r in rejects.collect()) == ["not json", "{}"]
+    assert sorted(r.value for r in rejects.collect()) == sorted(["not json", "{}", *unkeyed])
+
+
+def test_messages_are_parsed_once(spark):
+    posts, _ = parse_posts(spark.range(3).selectExpr("cast(id AS string) AS value"))
+    plan = posts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
 
 
 def test_wrong_type_nulls_only_that_field(spark):
-    msgs = spark.createDataFrame([('{"tweet_id": "7", "user_id": "user_1", "likes": "oops", "retweets": 3}',)],
+    msgs = spark.createDataFrame([('{"tweet_id": "7", "user_id": "user_1", "timestamp": 1, "likes": "oops", "retweets": 3}',)],
                                  "value string")
     posts, rejects = parse_posts(msgs)
     row = posts.collect()[0]

@@ -58,17 +58,6 @@ def test_sentiment_forms_agree_property(spark, texts):
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
     a = {r.id: (r.sentiment, r.sentiment_score) for r in score_sentiment(df, method="map").collect()}
     b = {r.id: (r.sentiment, r.sentiment_score)
-         for r in score_sentiment(df, method="join", id_col="id").collect()}
+         for r in score_sentiment(df, method="join").collect()}
     assert a == b
     assert all(-1.0 <= s <= 1.0 for _, s in a.values())
-
-
-def test_spread_rows_is_a_noop_for_split_inputs(spark, tmp_dir):
-    import os
-    from pulse.operators import partitioning
-    path = os.path.join(tmp_dir, "many")
-    spark.range(0, 10_000, numPartitions=16).write.parquet(path)
-    df = spark.read.parquet(path)
-    before = len(partitioning._COPIES)
-    assert partitioning.spread_rows(df, "id") is df
-    assert len(partitioning._COPIES) == before

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
-from pulse.operators.sentiment import score_sentiment, sentiment_udf
+from pulse.operators.sentiment import default_lexicon, default_modifiers, lexicon_frame, score_sentiment
 from pulse.plans import batch
 from pulse.sources import fixture
 
@@ -25,14 +25,14 @@ def test_fixture_scores(spark):
 def test_map_and_join_forms_agree(spark):
     t = fixture.tweets(spark, SF_MID).select("tweet_id", "text")
     a = score_sentiment(t, method="map").select("tweet_id", "sentiment", "sentiment_score")
-    b = score_sentiment(t, method="join", id_col="tweet_id").select("tweet_id", "sentiment", "sentiment_score")
+    b = score_sentiment(t, method="join").select("tweet_id", "sentiment", "sentiment_score")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_join_form_on_long_documents(spark):
     docs = fixture.read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     a = score_sentiment(docs, method="map").select("doc_id", "sentiment_score")
-    b = score_sentiment(docs, method="join", id_col="doc_id").select("doc_id", "sentiment_score")
+    b = score_sentiment(docs, method="join").select("doc_id", "sentiment_score")
     assert a.exceptAll(b).count() == 0
 
 
@@ -51,12 +51,6 @@ def test_custom_lexicon_and_clamp(spark):
     assert out.sentiment_score == 1.0 and out.sentiment == "positive"
 
 
-def test_pandas_udf_hook(spark):
-    df = spark.createDataFrame([("abc",), (None,)], "text string")
-    udf = sentiment_udf(lambda t: len(t) / 10)
-    assert [r.s for r in df.select(udf("text").alias("s")).collect()] == [0.3, 0.0]
-
-
 def test_map_form_is_row_local(spark):
     plan = score_sentiment(fixture.tweets(spark, SF_MID).select("tweet_id", "text"))._jdf \
         .queryExecution().executedPlan().toString()
@@ -64,14 +58,33 @@ def test_map_form_is_row_local(spark):
     assert "HashAggregate" not in plan and "SortMergeJoin" not in plan
 
 
-def test_large_lexicon_switches_to_join_form(spark):
-    from pulse.operators import sentiment as S
-    words = {f"w{i}": 0.25 for i in range(S.MAX_INLINE_TERMS + 1)}
-    words.update(S.default_lexicon())
-    lex = S.lexicon_frame(spark, words)
+def test_forms_agree_on_null_and_repeated_rows_and_repeated_terms(spark):
+    df = spark.createDataFrame([(None, "good"), ("a", "good"), ("a", "bad"), ("a", "good"), ("b", None), ("c", "none")],
+                               "id string, text string")
+    lex = spark.createDataFrame([("good", 0.5), ("good", 1.0), ("bad", -0.75)], "term string, polarity double")
+    rows = [sorted(map(tuple, score_sentiment(df, lexicon=lex, method=m).fillna("").collect())) for m in ("map", "join")]
+    assert rows[0] == rows[1] and ("", "good", "positive", 0.75) in rows[0] and rows[0].count(("a", "good", "positive", 0.75)) == 2
+
+
+def test_the_form_does_not_depend_on_the_size_of_the_lexicon(spark):
+    words = {**{f"w{i}": 0.25 for i in range(2_500)}, **default_lexicon()}
     t = fixture.tweets(spark, "/root/testdata/sf0.001").select("tweet_id", "text")
-    big = score_sentiment(t, lexicon=lex, id_col="tweet_id")
-    plan = big._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" in plan                      # not inlined as a literal map
     small = score_sentiment(t).select("tweet_id", "sentiment_score")
-    assert big.select("tweet_id", "sentiment_score").exceptAll(small).count() == 0
+    for method in ("map", "join"):
+        big = score_sentiment(t, lexicon=lexicon_frame(spark, words), method=method)
+        assert ("Join" in big.select("sentiment_score")._jdf.queryExecution().optimizedPlan().toString().split("events")[0]) or method == "map"
+        assert big.select("tweet_id", "sentiment_score").exceptAll(small).count() == 0
+    with pytest.raises(ValueError):
+        score_sentiment(t, method="auto")
+
+
+def test_words_are_unicode_and_intensified(spark):
+    df = spark.createDataFrame([("ähate",), ("sehr gut",), ("c'était très mauvais",), ("not awful",)], "text string")
+    got = [r.sentiment_score for r in score_sentiment(df).collect()]
+    assert got == [0.0, 0.65, -0.65, 0.5]
+    assert len(default_lexicon()) > 200 and not set(default_lexicon()) & set(default_modifiers())
+
+
+def test_documents_have_all_labels(spark):
+    docs = fixture.read_table(spark, SF_MID, "documents")
+    assert {r.sentiment for r in score_sentiment(docs).select("sentiment").distinct().collect()} == {"positive", "negative", "neutral"}

@@ -40,21 +40,73 @@ def test_user_lookup_pushes_salt_and_user(spark, tmp_dir):
     assert [r.rev_ts for r in rows] == sorted(r.rev_ts for r in rows)
 
 
-def test_hourly_job_is_idempotent(spark, tmp_dir):
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_hourly_runs_at_any_minute_agree_with_the_batch_answer(spark, tmp_dir):
     posts = batch.stored_posts(spark, SF_SMALL)
     as_of = fixture.max_timestamp(spark, SF_SMALL)
-    metrics, users1, users2 = (os.path.join(tmp_dir, n) for n in ("metrics", "users1", "users2"))
-    batch.hourly_job(spark, posts, as_of, metrics, users1, lookback_ms=3 * HOUR)
-    first = store.read_metric_rows(spark, metrics)
-    n1 = first.count()
-    snapshot = sorted(map(tuple, first.collect()))
-    # rerun of the same hour: partitions are replaced, not appended
-    old = spark.read.parquet(users1)
-    batch.hourly_job(spark, posts, as_of, metrics, users2, old_users=old, lookback_ms=3 * HOUR)
-    again = store.read_metric_rows(spark, metrics)
-    assert again.count() == n1
-    assert sorted(map(tuple, again.collect())) == snapshot
-    assert spark.read.parquet(users2).count() == old.count()
+    metrics, users = os.path.join(tmp_dir, "metrics"), os.path.join(tmp_dir, "users")
+    for minutes in (95, 40, 20, 0):
+        batch.hourly_job(spark, posts, as_of - minutes * 60_000, metrics, users)
+    since = (as_of - 95 * 60_000 - HOUR) // HOUR * HOUR
+    whole = posts.filter((F.col("timestamp") >= since) & (F.col("timestamp") <= as_of))
+    assert _rows(store.read_metric_rows(spark, metrics)) == _rows(store.metric_rows(whole))
+    assert _rows(batch.read_users(spark, users)) == _rows(store.user_rows(whole))
+    # rerunning an old run neither counts later posts nor touches other hours
+    batch.hourly_job(spark, posts, (as_of // HOUR) * HOUR - 1, metrics, users)
+    assert _rows(store.read_metric_rows(spark, metrics)) == _rows(store.metric_rows(whole))
+
+
+def test_partial_hours_are_never_stored(spark, tmp_dir):
+    t0 = 1_704_114_000_000      # 13:00
+    rows = [("1", "u", t0 + 5 * 60_000), ("2", "u", t0 + 30 * 60_000), ("3", "u", t0 + 70 * 60_000)]
+    posts = spark.createDataFrame(rows, "tweet_id string, user_id string, timestamp long").selectExpr(
+        "*", "array('#a') AS hashtags", "'X' AS location", "1 AS likes", "'neutral' AS sentiment")
+    metrics, users = os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "u")
+    for minute in (60, 80):
+        batch.hourly_job(spark, posts, t0 + minute * 60_000, metrics, users)
+    got = {r.bucket: r.value for r in store.read_metric_rows(spark, metrics).filter("metric = 'hashtag'").collect()}
+    assert got == {"2024010113": 2, "2024010114": 1}
+    user = batch.read_users(spark, users).collect()[0]
+    assert (user.total_tweets, user.total_likes, user.last_active) == (3, 3, "2024010114")
+
+
+def test_post_table_upsert_keeps_the_rest_of_the_day(spark, tmp_dir):
+    posts = batch.stored_posts(spark, SF_SMALL)
+    path = os.path.join(tmp_dir, "posts")
+    early = F.col("timestamp") % 86_400_000 < 40_000_000
+    store.write_post_table(posts.filter(early), path)
+    changed = posts.filter(~early).withColumn("likes", F.lit(-1))
+    store.upsert_post_table(spark, changed, path)
+    store.upsert_post_table(spark, posts.filter(~early), path)      # the same keys again: replaced, not doubled
+    assert _rows(store.read_post_table(spark, path)) == _rows(posts)
+
+
+def test_rank_limits_come_before_the_shuffle(spark):
+    posts = batch.stored_posts(spark, SF_SMALL)
+    assert "WindowGroupLimit" in _plan(store.metric_rows(posts))
+    assert "WindowGroupLimit" in _plan(store.user_rows(posts, top_tags=2))
+    hot = spark.range(3_000).selectExpr("cast(id AS string) AS tweet_id", "'hot' AS user_id", "1 AS likes", "7L AS timestamp",
+                                        "array(concat('#t', id % 1000), '#common') AS hashtags", "'X' AS location", "'neutral' AS sentiment")
+    tops = store.metric_rows(hot).filter("metric = 'trending'").orderBy(F.desc("value"), "key").collect()
+    assert len(tops) == 10 and (tops[0].key, tops[0].value) == ("#common", 3_000)
+    assert len(store.user_rows(hot).first().top_hashtags) == 1_001
+    assert store.user_rows(hot, top_tags=2).first().top_hashtags == ["#common", "#t0"]
+
+
+def test_stored_tables_follow_the_input(spark, tmp_dir):
+    from pulse.plans import stored
+    from pulse.plans.catalog import QUERIES
+    events = fixture.read_table(spark, SF_SMALL, "events").persist()
+    fixture.read_table(spark, SF_SMALL, "nation").write.parquet(os.path.join(tmp_dir, "nation.parquet"))
+    target = os.path.join(tmp_dir, "events.parquet")
+    for n in (40, 10):
+        events.limit(n).write.mode("overwrite").parquet(target)
+        assert QUERIES["volume_total"](spark, tmp_dir).first()[0] == n
+        assert stored.posts(spark, tmp_dir).count() == n
+    events.unpersist()
 
 
 def test_latest_metrics_from_table_prunes(spark, tmp_dir):
@@ -91,27 +143,6 @@ def test_point_get(spark):
     assert store.point_get(posts, "no_such_key").count() == 0
 
 
-def test_sql_forms_equal_dataframe_forms(spark):
-    from pulse.operators import aggregates as agg
-    batch.register_views(spark, SF_SMALL)
-    sql_geo = batch.geo_sentiment_sql(spark)
-    df_geo = agg.geo_sentiment(batch.stored_posts(spark, SF_SMALL))
-    assert sql_geo.exceptAll(df_geo).count() == 0 and df_geo.exceptAll(sql_geo).count() == 0
-    sql_top = [tuple(r) for r in batch.top_users_sql(spark, 5).collect()]
-    df_top = [tuple(r) for r in agg.top_users(batch.stored_posts(spark, SF_SMALL), 5).collect()]
-    assert sql_top == df_top
-
-
-def test_users_snapshot_never_overwrites_its_input(spark, tmp_dir):
-    import pytest
-    posts = batch.stored_posts(spark, SF_SMALL)
-    as_of = fixture.max_timestamp(spark, SF_SMALL)
-    metrics, users = os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "u")
-    batch.hourly_job(spark, posts, as_of, metrics, users)
-    with pytest.raises(ValueError):
-        batch.hourly_job(spark, posts, as_of, metrics, users, old_users=spark.read.parquet(users))
-
-
 def test_latest_metrics_within_ttl_prunes_partitions(spark, tmp_dir):
     posts = batch.stored_posts(spark, SF_SMALL)
     path = os.path.join(tmp_dir, "metrics")
@@ -126,19 +157,11 @@ def test_latest_metrics_within_ttl_prunes_partitions(spark, tmp_dir):
     assert newest in got and all(b >= store.metric_retention_cutoff(as_of) for b in got)
 
 
-def test_user_deltas_fold_equals_upserts(spark, tmp_dir):
-    posts = batch.stored_posts(spark, SF_SMALL)
-    as_of = fixture.max_timestamp(spark, SF_SMALL)
-    split = as_of - 7 * 86_400_000
-    old = store.user_rows(posts.filter(F.col("timestamp") < split))
-    new = store.user_rows(posts.filter(F.col("timestamp") >= split))
-    upserted = store.upsert_users(old, new)
-    path = os.path.join(tmp_dir, "deltas")
-    store.write_user_deltas(old.withColumn("bucket", F.lit("a")), path)
-    store.write_user_deltas(new.withColumn("bucket", F.lit("b")), path)
-    store.write_user_deltas(new.withColumn("bucket", F.lit("b")), path)    # rerun of run b
-    folded = store.users_from_deltas(spark.read.parquet(path))
-    cols = ["user_id", "total_tweets", "total_likes", "last_active", "top_hashtags"]
-    a = folded.select(*cols)
-    b = upserted.select(*cols)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_user_counts_add_up_over_runs(spark, tmp_dir):
+    from pulse.functions.keys import hour_bucket
+    posts = batch.stored_posts(spark, SF_SMALL).withColumn("bucket", hour_bucket("timestamp"))
+    path = os.path.join(tmp_dir, "counts")
+    late = F.col("timestamp") >= fixture.max_timestamp(spark, SF_SMALL) // 86_400_000 * 86_400_000
+    for part in (posts.filter(~late), posts.filter(late), posts.filter(late)):        # the last run twice
+        store.write_user_counts(store.user_counts(part, by=("bucket",)), path)
+    assert _rows(batch.read_users(spark, path)) == _rows(store.user_rows(posts))
