@@ -3,7 +3,7 @@
 A text is segmented by the merges of a public BPE model.  An agenda (priority queue)
 holds the candidate merges of neighbouring symbols, best score first, then
 leftmost.  Each candidate that comes up is skipped with probability ``dropout``, decided by a
-keyed hash of seed, variant, place and the two symbols, and the rest are
+keyed hash of seed, variant, place and the piece it would make, and the rest are
 merged.  So one seed always gives one segmentation, ``VARIANTS`` segmentations of a
 word occur across texts (a text's variant is a keyed hash of its id), and every one
 decodes to the same text.  Without dropout the ids are the model's own.
@@ -18,6 +18,7 @@ id "null".  Repeated rows are alike; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
@@ -31,9 +32,16 @@ from pyspark.sql import functions as F
 from pulse.llm.common import read_table
 
 DROPOUT, VARIANTS, SEED = 0.1, 4, 17
-CACHED_WORDS, CACHED_LENGTH = 400_000, 64   # words a worker remembers, and their greatest length
+CACHED_WORDS, CACHED_LENGTH = 800_000, 64   # words a worker remembers, and their greatest length
 
 _RUNS = re.compile(r" +[^ ]*")
+_M64 = (1 << 64) - 1
+
+
+def keyed_hash(key: int, place: int, piece: int) -> int:
+    """32 bits from a key, a place and the piece that a merge would make."""
+    h = (key + place * 0x9E3779B97F4A7C15 + piece * 0xBF58476D1CE4E5B9) & _M64
+    return ((h ^ (h >> 31)) * 0x94D049BB133111EB & _M64) >> 32
 
 
 class PieceModel:
@@ -46,7 +54,7 @@ class PieceModel:
             path = public_tokenizers.path("piece_bpe_32k.model")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.ids, self.scores, self.bytes, self.raw = {}, {}, [0] * 256, [b""] * n
+        self.ids, self.merges, self.bytes, self.raw = {}, {}, [0] * 256, [b""] * n
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -54,37 +62,40 @@ class PieceModel:
                 self.bytes[value], self.raw[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = piece.replace("▁", " ")
-                self.ids[piece], self.scores[piece], self.raw[i] = i, model.get_score(i), piece.encode()
+                self.ids[piece], self.merges[piece], self.raw[i] = i, (-model.get_score(i), i), piece.encode()
 
-    def segment(self, unit: str, dropout: float, key: str) -> list[str]:
+    def segment(self, unit: str, dropout: float, key: int) -> list[str]:
         """The symbols of a unit after its merges."""
         symbols: list = list(unit)
-        n, scores, agenda, limit = len(symbols), self.scores, [], int(dropout * (1 << 32))
+        n, find, push, pop = len(symbols), self.merges.get, heapq.heappush, heapq.heappop
+        limit, agenda = int(dropout * (1 << 32)), []
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         for i in range(n - 1):
-            s = scores.get(symbols[i] + symbols[i + 1])
-            if s is not None:
-                agenda.append((-s, i, symbols[i], symbols[i + 1]))
+            merged = symbols[i] + symbols[i + 1]
+            if (m := find(merged)) is not None:
+                agenda.append((m[0], i, m[1], merged))
         heapq.heapify(agenda)
         while agenda:
-            _, i, left, right = heapq.heappop(agenda)
+            rank, i, piece, merged = pop(agenda)
             j = following[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
+            if j >= n or symbols[i] is None or symbols[i] + symbols[j] != merged:
                 continue                                   # one of the two has been merged meanwhile
-            if limit and zlib.crc32(f"{key}|{i}|{left}|{right}".encode()) < limit:
+            if limit and keyed_hash(key, i, piece) < limit:
                 continue
-            merged = left + right
-            symbols[i], symbols[j], following[i] = merged, None, following[j]
-            if following[j] < n:
-                before[following[j]] = i
-            for a, b in ((before[i], i), (i, following[i])):
-                if a >= 0 and b < n:
-                    s = scores.get(symbols[a] + symbols[b])
-                    if s is not None:
-                        heapq.heappush(agenda, (-s, a, symbols[a], symbols[b]))
+            after = following[j]
+            symbols[i], symbols[j], following[i] = merged, None, after
+            if after < n:
+                before[after] = i
+                joined = merged + symbols[after]
+                if (m := find(joined)) is not None:
+                    push(agenda, (m[0], i, m[1], joined))
+            if (a := before[i]) >= 0:
+                joined = symbols[a] + merged
+                if (m := find(joined)) is not None:
+                    push(agenda, (m[0], a, m[1], joined))
         return [s for s in symbols if s is not None]
 
-    def ids_of(self, unit: str, dropout: float, key: str) -> bytes:
+    def ids_of(self, unit: str, dropout: float, key: int) -> bytes:
         """Little-endian unsigned 32-bit ids of a unit."""
         ids = []
         for s in self.segment(unit, dropout, key):
@@ -106,6 +117,7 @@ class Encoder:
     def __init__(self, model: PieceModel, dropout: float, variants: int, seed: int):
         self.model, self.dropout, self.seed = model, dropout, seed
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.keys = [int.from_bytes(hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest()) for v in range(variants)]
 
     def variant(self, doc_id) -> int:
         return zlib.crc32(f"{self.seed}:{'null' if doc_id is None else doc_id}".encode()) % len(self.known)
@@ -115,7 +127,7 @@ class Encoder:
             return b""
         odd = "  " in text or text[0] == " " or text[-1] == " "
         words = [u[1:] for u in _RUNS.findall(" " + text)] if odd else text.split(" ")
-        known, key, out = self.known[variant], f"{self.seed}:{variant}", []
+        known, key, out = self.known[variant], self.keys[variant], []
         for w in words:
             ids = known.get(w)
             if ids is None:

@@ -46,7 +46,7 @@ def test_dropout_is_seeded_varied_and_lossless(model):
 
 def test_merges_only_take_vocabulary_pieces(model):
     for word in (" international", " xyzzyqq", " zzzz"):
-        for key in "abcdef":
+        for key in range(6):
             parts = model.segment(word, 0.4, key)
             assert "".join(parts) == word and all(len(p) == 1 or p in model.ids for p in parts)
 
