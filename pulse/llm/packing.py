@@ -33,19 +33,19 @@ from pulse.llm.common import partitions_for, read_table, write_shared
 
 WINDOW, END_ID = 2048, 1
 PIECES_PER_PARTITION = 100_000
-CACHED_WORDS = 300_000         # words whose ids a Python worker keeps
-CHUNK_CHARS = 2_000_000        # texts are tokenized in runs of about this many characters
+CACHED_WORDS = 500_000         # pre-tokens whose ids a Python worker keeps, and those of one run of texts
+CHUNK_CHARS = 1_000_000        # texts are tokenized in runs of about this many characters
 
-# Where one space or line feed stands between two other characters, the pre-tokenizer always cuts before it.
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
-_TAIL = re.compile(r"([^\W\d_]+)([^\w\s]+)\Z")
+# Fixed value: the vocabulary's pre-tokenizer, written with classes of Python's ``re``.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Characters that those classes take for others than the pre-tokenizer does; texts with them, or with special tokens, go whole.
+_OTHER = frozenset(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal()) | set("\x1c\x1d\x1e\x1f")
 
 
 class WordTokenizer:
-    """Ids of texts, by the public tokenizer of the vocabulary file, with a bounded memory of words.
+    """Ids of texts, by the public tokenizer of the vocabulary file, with a bounded memory of pre-tokens.
 
-    A text is cut only where the tokenizer's own pre-tokenizer cuts, so the ids are those of the whole text.
+    A text is cut where the tokenizer's own pre-tokenizer cuts, so the ids are those of the whole text.
     """
 
     def __init__(self, vocabulary: str | None = None):
@@ -55,36 +55,28 @@ class WordTokenizer:
             import public_tokenizers
             vocabulary = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of units: a unit starts with its line feed, or with NUL if nothing goes before it, else a space does."""
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known.clear()
-        todo, joined = {}, []
-        for unit in missing:
-            m = _TAIL.match(unit)
-            if m and m[1].isalpha():                       # letters and what follows them are separate pre-tokens
-                parts = (m[1], "\0" + m[2])
-                joined.append((unit, parts))
-                todo.update((p, None) for p in parts if p not in self.known)
+        self.known: dict[str, bytes | None] = {}          # None: a text with it goes whole
+        self.feed = self._ids("\n")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, missing: list[str]) -> None:
+        """Ids of new pre-tokens: all in one text with line feeds between, which are cut off from their neighbours."""
+        words = []
+        for w in missing:
+            if "<|" in w or not _OTHER.isdisjoint(w):
+                self.known[w] = None
+            elif w.isspace():
+                self.known[w] = self._ids(w).tobytes()
             else:
-                todo[unit] = None
-        units = list(todo)
-        texts = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else " " + u for u in units]
-        for unit, enc in zip(units, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(enc.ids, "<u4").tobytes()
-        for unit, (a, b) in joined:
-            self.known[unit] = self.known[a] + self.known[b]
-
-    @staticmethod
-    def _units(text: str) -> list[str]:
-        if "\0" in text:
-            return []
-        if _ODD.search(text):
-            parts = _CUT.split(text)
-            return ["\0" + parts[0], *(p[1:] if p[0] == " " else p for p in parts[1:])]
-        return ("\0" + text).replace("\n", " \n").split(" ")
+                words.append(w)
+        if not words:
+            return
+        ids = self._ids("\n".join(words))
+        cuts = np.flatnonzero(ids == self.feed[0])
+        for w, a, b in zip(words, np.r_[0, cuts + 1], np.r_[cuts, len(ids)], strict=True):
+            self.known[w] = ids[a:b].tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -94,27 +86,19 @@ class WordTokenizer:
             while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK_CHARS):
                 size += len(texts[j])
                 j += 1
-            units = [self._units(t) for t in texts[i:j]]
+            words = [_WORDS.findall(t) for t in texts[i:j]]
             missing: set[str] = set()
-            for u in units:
-                missing.update(set(u).difference(self.known))
-            if missing:
-                self._learn(missing)
-                for u in units:                            # the memory may have been emptied
-                    lost = set(u).difference(self.known)
-                    if lost:
-                        self._learn(lost)
-            get = self.known.__getitem__
-            for u, text in zip(units, texts[i:j], strict=True):
-                try:
-                    yield b"".join(map(get, u)) if u else self._whole(text)
-                except KeyError:
-                    yield self._whole(text)
+            for w in words:
+                missing.update(set(w).difference(self.known))
+            if len(self.known) + len(missing) > CACHED_WORDS:   # forget, and learn this run's words
+                self.known.clear()
+                missing = set().union(*words)
+            self._learn(sorted(missing))
+            for w, text in zip(words, texts[i:j], strict=True):
+                parts = [self.known[x] for x in w]
+                yield self._ids(text).tobytes() if None in parts else b"".join(parts)
             i = j
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
 
 _tokenizers: dict[str | None, WordTokenizer] = {}
 
