@@ -282,6 +282,10 @@ def q_latest_metrics(spark, sf):
     return _live_metrics(spark, sf)
 
 
+def q_latest_metrics_merged(spark, sf):
+    return store.latest_metrics(_stored_metrics(spark, sf), mode="merge")
+
+
 def q_retention_metrics(spark, sf):
     return store.apply_metric_retention(_stored_metrics(spark, sf), _as_of(spark, sf))
 
@@ -459,6 +463,8 @@ QUERIES.update({
     "stream_sentiment_counts": _streaming("stream_sentiment_counts"),
     "stream_alerts": _streaming("stream_alerts"),
     "stream_json_ingest": _streaming("stream_json_ingest"),
+    "stream_metric_rows": _streaming("stream_metric_rows"),
+    "stream_post_table": _streaming("stream_post_table"),
 })
 
 FLAGSHIP = "top_hashtags"

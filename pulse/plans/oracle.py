@@ -270,6 +270,9 @@ WHERE row_key NOT IN (SELECT row_key FROM posts WHERE location = '')"""),
     "latest_metrics": with_ctes("""
 SELECT metric, bucket, key, CAST(value AS BIGINT) AS value FROM metric_rows m
 WHERE bucket = (SELECT max(bucket) FROM metric_rows x WHERE x.metric = m.metric)""", METRICS),
+    "latest_metrics_merged": with_ctes("""
+SELECT metric, max(bucket) AS bucket, key, CAST(arg_max(value, bucket) AS BIGINT) AS value
+FROM metric_rows GROUP BY metric, key""", METRICS),
     "retention_metrics": with_ctes(f"""
 SELECT metric, bucket, key, CAST(value AS BIGINT) AS value FROM metric_rows
 WHERE {AS_OF} - epoch_ms(strptime(bucket, '%Y%m%d%H')) <= 172800000""", METRICS),
@@ -449,11 +452,23 @@ GROUP BY 1, 2"""),
     "stream_json_ingest": with_ctes(f"""
 SELECT strftime(make_timestamp(t."timestamp" // {HOUR} * {HOUR} * 1000), '%Y%m%d%H') AS bucket,
        t.hashtag, count(*) AS cnt
-FROM tags t JOIN posts p USING (tweet_id)
-WHERE p.text IS NOT NULL
-  AND t."timestamp" // {HOUR} * {HOUR} + {HOUR} <=
-      (SELECT max("timestamp") FROM tweets WHERE text IS NOT NULL) - 600000
+FROM tags t
+WHERE t."timestamp" // {HOUR} * {HOUR} + {HOUR} <= (SELECT max("timestamp") FROM tweets) - 600000
 GROUP BY 1, 2"""),
+    "stream_metric_rows": with_ctes("""
+SELECT 'hashtag' AS metric, strftime(make_timestamp("timestamp" // 10000 * 10000 * 1000), '%Y%m%d%H%M%S') AS bucket,
+       hashtag AS key, count(*) AS value, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS user_id
+FROM tags GROUP BY 2, 3
+UNION ALL
+SELECT 'sentiment', strftime(make_timestamp("timestamp" // 10000 * 10000 * 1000), '%Y%m%d%H%M%S'), sentiment, count(*), NULL, NULL
+FROM posts GROUP BY 2, 3
+UNION ALL
+SELECT 'viral', strftime(make_timestamp("timestamp" // 10000 * 10000 * 1000), '%Y%m%d%H%M%S'), tweet_id,
+       CAST(likes AS BIGINT), coalesce(text, ''), user_id
+FROM posts WHERE likes > 1000"""),
+    "stream_post_table": with_ctes("""
+SELECT row_key, salt, user_id, rev_ts, tweet_id, text, hashtags, likes, retweets, location,
+       sentiment, sentiment_score, "timestamp", day FROM posts"""),
     "stream_sentiment_counts": with_ctes("SELECT sentiment, count(*) AS cnt FROM posts GROUP BY sentiment"),
     "stream_alerts": with_ctes("""
 SELECT tweet_id, user_id, likes, "timestamp" FROM posts WHERE likes > 1000"""),

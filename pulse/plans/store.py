@@ -206,8 +206,11 @@ def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_metrics(rows: DataFrame, as_of_ms: int | None = None,
-                   ttl_s: int = METRICS_TTL_S) -> DataFrame:
-    """For every metric, the rows of its newest bucket (the ``*_latest`` snapshots, O30).
+                   ttl_s: int = METRICS_TTL_S, mode: str = "replace") -> DataFrame:
+    """The ``*_latest`` snapshots (O30): for every metric, the rows of its newest bucket.
+
+    ``mode="merge"`` keeps a key that newer buckets do not have, with its last value, as a
+    table does whose cells are overwritten one by one.
 
     The per-metric maximum is a small aggregate (partial, then final) joined
     back with a semi join; no window over a whole metric, which would put one
@@ -217,8 +220,11 @@ def latest_metrics(rows: DataFrame, as_of_ms: int | None = None,
     """
     if as_of_ms is not None:
         rows = apply_metric_retention(rows, as_of_ms, ttl_s)
-    newest = rows.groupBy("metric").agg(F.max("bucket").alias("bucket"))
-    return rows.join(newest, ["metric", "bucket"], "left_semi")
+    if mode == "merge":
+        return rows.groupBy("metric", "key").agg(F.max("bucket").alias("bucket"), F.max_by("value", "bucket").alias("value")).select(
+            "metric", "bucket", "key", "value")
+    newest = rows.groupBy("metric").agg(F.max("bucket").alias("bucket"))   # one row per metric
+    return rows.join(F.broadcast(newest), ["metric", "bucket"], "left_semi")
 
 
 def metric_retention_cutoff(as_of_ms: int, ttl_s: int = METRICS_TTL_S) -> str:

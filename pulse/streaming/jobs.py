@@ -3,27 +3,31 @@
 The live job of the reference (10-second micro-batches that score posts and
 store hashtag counts, label counts and viral posts) becomes:
 
-    source -> parse / quarantine -> watermark + dedupe -> enrich (row-local)
+    source -> parse / quarantine -> enrich (row-local)
            -> foreachBatch: one persisted batch, several idempotent writes
 
 and the hourly counts become an event-time tumbling window with a watermark,
-so state stays bounded and late rows are dropped in append mode.  Nothing is
-collected to the driver; every sink is keyed by ``batch_id`` (overwrite of
-that batch's partition) so a retried batch rewrites, never duplicates.
+so state stays bounded and late rows are dropped there, and only there, in append
+mode: the live job stores, counts and republishes a post however late it comes.  Nothing is
+collected to the driver; every sink is keyed by the query's id and ``batch_id``
+(overwrite of that partition), so a retried batch rewrites, never duplicates, and
+another query, or one started anew, never replaces what is there.
 """
 
 from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.keys import HOUR_BUCKET_FORMAT
+from pulse.plans import store
 from pulse.operators.aggregates import exploded_tags
 from pulse.operators.sentiment import score_sentiment
 from pulse.plans.serving import VIRAL_LIKES_ABOVE
-from pulse.schemas import RAW_POST
+from pulse.schemas import ENRICHED_POST, RAW_POST
 from pulse.session import scratch_path
 from pulse.sources import fixture
 from pulse.sources.posts import parse_posts, to_payload
@@ -32,6 +36,8 @@ from pulse.sources.posts import parse_posts, to_payload
 TRIGGER_INTERVAL = "10 seconds"
 WATERMARK_DELAY = "10 minutes"
 HOURLY_WINDOW = "1 hour"
+LIVE_WINDOW_MS, LIVE_BUCKET_FORMAT = 10_000, "yyyyMMddHHmmss"
+REPEAT_BATCHES = 60            # a redelivered post is recognised in this many earlier batches
 RAW_TOPIC = "raw-tweets"
 ENRICHED_TOPIC = "processed-tweets"
 ALERT_TOPIC = "trending-alerts"
@@ -74,10 +80,9 @@ def with_event_time(posts: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame
                  .withWatermark("event_time", delay))
 
 
-def live_posts(posts: DataFrame, delay: str = WATERMARK_DELAY, lexicon=None) -> DataFrame:
-    """Watermarked, de-duplicated (at-least-once upstream) and scored posts."""
-    timed = with_event_time(posts, delay).dropDuplicatesWithinWatermark(["tweet_id"])
-    return score_sentiment(timed, "text", lexicon=lexicon, method="map")
+def live_posts(posts: DataFrame, lexicon=None) -> DataFrame:
+    """Scored posts.  Redelivered ones are dropped by the writer, which looks at what it has written."""
+    return score_sentiment(posts, "text", lexicon=lexicon)
 
 
 def parse_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,54 +106,82 @@ def viral_alerts(posts: DataFrame) -> DataFrame:
 
 # ---- the per-batch multi-sink --------------------------------------------------------------------
 
-def batch_metric_rows(batch: DataFrame, batch_id: int) -> DataFrame:
-    """The three per-batch results of the live job as long metric rows."""
-    bucket = F.lit(str(batch_id))
-    tags = exploded_tags(batch).groupBy("hashtag").agg(F.count(F.lit(1)).alias("value"))
-    labels = batch.groupBy("sentiment").agg(F.count(F.lit(1)).alias("value"))
-    viral = viral_alerts(batch).select(F.col("tweet_id").alias("key"),
-                                       F.col("likes").cast("long").alias("value"))
-    return (tags.select(F.lit("hashtag").alias("metric"), bucket.alias("bucket"),
-                        F.col("hashtag").alias("key"), "value")
-            .unionByName(labels.select(F.lit("sentiment").alias("metric"), bucket.alias("bucket"),
-                                       F.col("sentiment").alias("key"), "value"))
-            .unionByName(viral.select(F.lit("viral").alias("metric"), bucket.alias("bucket"),
-                                      "key", "value"))
-            .withColumn("value", F.col("value").cast("long")))
-
-
-def make_batch_writer(metrics_path: str, payload_path: str | None = None,
-                      kafka_bootstrap: str | None = None):
-    """``foreachBatch`` function writing metric rows (and the enriched payload).
+def batch_metric_rows(batch: DataFrame) -> DataFrame:
+    """The three results of the live job per 10-second window of event time, as long metric rows.
+
+    Viral rows also carry the text and the user of the post.
+    """
+    start = F.floor(F.col("timestamp") / LIVE_WINDOW_MS) * LIVE_WINDOW_MS
+    bucket = F.date_format(F.timestamp_millis(start), LIVE_BUCKET_FORMAT).alias("bucket")
+    none = F.lit(None).cast("string")
+    tags = exploded_tags(batch, "timestamp").groupBy(bucket, F.col("hashtag").alias("key")).agg(F.count("*").alias("value"))
+    labels = batch.groupBy(bucket, F.col("sentiment").alias("key")).agg(F.count("*").alias("value"))
+    viral = batch.filter(F.col("likes") > VIRAL_LIKES_ABOVE)
+    return (tags.select(F.lit("hashtag").alias("metric"), "bucket", "key", "value", none.alias("text"), none.alias("user_id"))
+            .union(labels.select(F.lit("sentiment"), "bucket", "key", "value", none, none))
+            .union(viral.select(F.lit("viral"), bucket, "tweet_id", F.col("likes").cast("long"),
+                                F.coalesce("text", F.lit("")), "user_id")))
+
+
+LIVE_ROW = ("metric string, bucket string, key string, value long, text string, user_id string, "
+            "query_id string, batch_id long")
+
+
+def read_live_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The live metric rows of all queries and batches, one per (metric, bucket, key): counts of one window add up."""
+    rows = spark.read.schema(LIVE_ROW).parquet(path)
+    value = F.when(F.col("metric") == "viral", F.max("value")).otherwise(F.sum("value"))
+    return rows.groupBy("metric", "bucket", "key").agg(value.alias("value"), F.max("text").alias("text"), F.max("user_id").alias("user_id"))
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).limit(1).select("path").count())
+    except AnalysisException:
+        return False
+
+
+def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str | None = None, query_id: str | None = None):
+    """``foreachBatch`` function writing metric rows and the enriched payload.
 
     The batch is persisted once and read by every write; each write replaces
-    the ``batch_id`` partition, so a replayed batch is idempotent.
+    the (query id, batch id) partition, so a replayed batch is idempotent.  The query's id
+    is kept in its checkpoint: a query started on a new checkpoint has another.  Posts that
+    one of the last ``REPEAT_BATCHES`` batches of the query wrote are redeliveries and left out.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = query_id or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        batch = batch.dropDuplicates(["tweet_id"])
+        if batch_id and _has_files(spark, payload_path):
+            written = spark.read.schema("key string, value string, query_id string, batch_id long").parquet(payload_path)
+            recent = written.filter((F.col("query_id") == own) & (F.col("batch_id") < batch_id)
+                                    & (F.col("batch_id") >= batch_id - REPEAT_BATCHES))
+            batch = batch.join(recent.select(F.col("key").alias("tweet_id")), "tweet_id", "left_anti")
         batch = batch.persist()
+
+        def put(df: DataFrame, path: str) -> None:
+            (df.withColumn("query_id", F.lit(own)).withColumn("batch_id", F.lit(batch_id))
+               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("query_id", "batch_id").parquet(path))
+
         try:
             if batch.isEmpty():          # an empty micro-batch writes nothing
                 return
-            rows = batch_metric_rows(batch, batch_id).withColumn("batch_id", F.lit(batch_id))
-            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("batch_id").parquet(metrics_path))
+            put(batch_metric_rows(batch), metrics_path)
             payload = to_payload(batch)
             # A topic has no overwrite: a replayed batch republishes (at-least-once), and
-            # consumers drop repeats with dropDuplicatesWithinWatermark on tweet_id.
+            # consumers key their tables by post, so a repeat changes nothing.
             if kafka_bootstrap:
                 (payload.write.format("kafka").option("kafka.bootstrap.servers", kafka_bootstrap)
                         .option("topic", ENRICHED_TOPIC).save())
-            elif payload_path:
-                (payload.withColumn("batch_id", F.lit(batch_id))
-                        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                        .partitionBy("batch_id").parquet(payload_path))
+            put(payload, payload_path)
         finally:
             batch.unpersist()
     return write
 
 
 def start_live_job(posts: DataFrame, metrics_path: str, checkpoint: str,
-                   payload_path: str | None = None, kafka_bootstrap: str | None = None,
+                   payload_path: str, kafka_bootstrap: str | None = None,
                    available_now: bool = False):
     """Start the live job; 10-second trigger, or ``availableNow`` for a bounded run."""
     writer = (live_posts(posts).writeStream
@@ -159,21 +192,38 @@ def start_live_job(posts: DataFrame, metrics_path: str, checkpoint: str,
     return writer.start()
 
 
-def start_post_table_writer(enriched: DataFrame, path: str, checkpoint: str,
+def run_from_topics(spark: SparkSession, bootstrap: str, metrics_path: str, payload_path: str, inbox: str, checkpoint: str):
+    """The deployed wiring: raw topic -> live job -> enriched topic -> post-table inbox (two queries)."""
+    posts, _rejects = parse_stream(kafka_messages(spark, bootstrap))
+    live = start_live_job(posts, metrics_path, f"{checkpoint}/live", payload_path, kafka_bootstrap=bootstrap)
+    enriched, _ = parse_posts(kafka_messages(spark, bootstrap, ENRICHED_TOPIC), "value", ENRICHED_POST)
+    return live, start_post_table_writer(enriched, inbox, f"{checkpoint}/posts")
+
+
+def start_post_table_writer(enriched: DataFrame, inbox: str, checkpoint: str,
                             available_now: bool = False):
-    """Second consumer of the enriched stream: append post-table rows by ``day``.
+    """Second consumer of the enriched stream: append post-table rows by ``day`` to the table's inbox.
 
     Its own checkpoint, so it progresses independently of the live job; the
-    file sink's commit log makes the appends exactly-once.
+    file sink's commit log makes the appends exactly-once.  The inbox holds
+    small unsorted files; :func:`store_inbox` puts them into the table.
     """
-    from pulse.plans.store import stored_posts
-    rows = stored_posts(enriched)
+    rows = store.stored_posts(enriched)
     w = (rows.writeStream.outputMode("append").format("parquet").partitionBy("day")
-         .option("path", path).option("checkpointLocation", checkpoint))
+         .option("path", inbox).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=TRIGGER_INTERVAL)
     return w.start()
 
 
+def store_inbox(spark: SparkSession, inbox: str, table: str) -> None:
+    """Compaction: upsert the inbox into the post table by key, leaving large sorted files and no repeats."""
+    rows = store.read_post_table(spark, inbox).dropDuplicates(["row_key", "tweet_id"])
+    if _has_files(spark, table):
+        store.upsert_post_table(spark, rows, table)
+    else:
+        store.write_post_table(rows, table)
+
+
 def start_alerts(posts: DataFrame, checkpoint: str, kafka_bootstrap: str | None = None,
                  path: str | None = None, available_now: bool = False):
     """Viral alerts to their topic (Kafka) or to parquet files."""
@@ -212,18 +262,38 @@ def stream_hourly_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_append(spark, hourly_hashtag_counts(posts), "stream_hourly_hashtags")
 
 
-def stream_sentiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label counts summed over the live job's per-batch metric rows."""
+def _run_live(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """A bounded run of the live job; the paths of its metric rows and payload, and a folder beside them."""
     base = scratch_path(spark, "stream_live")
-    metrics = os.path.join(base, "metrics")
-    q = start_live_job(event_posts_stream(spark, sf_dir), metrics, os.path.join(base, "checkpoint"),
-                       payload_path=os.path.join(base, "payload"), available_now=True)
-    q.awaitTermination()
-    rows = spark.read.parquet(metrics)
+    metrics, payload = os.path.join(base, "metrics"), os.path.join(base, "payload")
+    start_live_job(event_posts_stream(spark, sf_dir), metrics, os.path.join(base, "checkpoint"), payload,
+                   available_now=True).awaitTermination()
+    return metrics, payload, base
+
+
+def stream_sentiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label counts summed over the live job's metric rows."""
+    rows = read_live_metrics(spark, _run_live(spark, sf_dir)[0])
     return (rows.filter(F.col("metric") == "sentiment").groupBy(F.col("key").alias("sentiment"))
                 .agg(F.sum("value").cast("long").alias("cnt")))
 
 
+def stream_metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three families of the live job's metric rows."""
+    return read_live_metrics(spark, _run_live(spark, sf_dir)[0])
+
+
+def stream_post_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live job -> enriched payload -> second consumer -> inbox -> post table, read back."""
+    _, payload, base = _run_live(spark, sf_dir)
+    messages = spark.readStream.schema("key string, value string, query_id string, batch_id long").parquet(payload)
+    enriched, _rejects = parse_posts(messages, "value", ENRICHED_POST)
+    inbox, table = os.path.join(base, "inbox"), os.path.join(base, "posts")
+    start_post_table_writer(enriched, inbox, os.path.join(base, "checkpoint-posts"), available_now=True).awaitTermination()
+    store_inbox(spark, inbox, table)
+    return store.read_post_table(spark, table)
+
+
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Viral alerts from the de-duplicated event stream."""
     posts = with_event_time(event_posts_stream(spark, sf_dir)).dropDuplicatesWithinWatermark(["tweet_id"])
@@ -233,17 +303,17 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest path end to end: JSON messages -> parse + quarantine -> hourly counts.
 
-    The posts view is written once as JSON lines (a message per post; posts
-    without text are written as malformed messages), then read back by a file
-    stream: rejects are split off, valid posts are watermarked, de-duplicated
-    and counted per event-time hour.
+    The posts view is written once as JSON lines (a message per post, and beside those of posts
+    without text a malformed one), then read back by a file stream: rejects are
+    split off, valid posts are watermarked, de-duplicated and counted per event-time hour.
     """
     base = scratch_path(spark, "stream_json")
     inbox = os.path.join(base, "in")
     posts = fixture.tweets(spark, sf_dir)
-    message = (F.when(F.col("text").isNull(), F.concat(F.lit("{broken "), F.col("tweet_id")))
-               .otherwise(F.to_json(F.struct(*[F.col(f.name) for f in RAW_POST.fields]))))
-    posts.select(message.alias("value")).write.mode("overwrite").text(inbox)
+    good = F.to_json(F.struct(*[F.col(f.name) for f in RAW_POST.fields]))
+    broken = F.when(F.col("text").isNull(), F.concat(F.lit("{broken "), F.col("tweet_id")))
+    messages = posts.select(F.explode(F.array_compact(F.array(good, broken))).alias("value"))
+    messages.write.mode("overwrite").text(inbox)
     parsed, _rejects = parse_stream(file_messages(spark, inbox))
     live = with_event_time(parsed).dropDuplicatesWithinWatermark(["tweet_id"])
     return _run_append(spark, hourly_hashtag_counts(live), "stream_json_counts")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from pulse.operators import aggregates as agg
-from pulse.plans import batch
+from pulse.plans import batch, store
 from pulse.schemas import RAW_POST
 from pulse.sources import fixture
 from pulse.streaming import jobs
@@ -84,19 +84,52 @@ def test_live_job_writes_idempotent_batches(spark, tmp_dir):
     viral = rows.filter("metric = 'viral'").collect()
     assert [(r.key, r.value) for r in viral] == [("1", 2000)]
     assert rows.filter("metric = 'sentiment'").agg(F.sum("value")).first()[0] == 2
+    own = rows.first().query_id
     # replaying batch 0 rewrites its partition instead of appending
     static = spark.read.schema(RAW_POST).json(src).filter("tweet_id IS NOT NULL")
     enriched = batch.enrich(static)
-    jobs.make_batch_writer(metrics, payload)(enriched, 0)
+    jobs.make_batch_writer(metrics, payload, query_id=own)(enriched, 0)
     assert spark.read.parquet(metrics).count() == n_rows
     msgs = spark.read.parquet(payload).collect()
     assert len(msgs) == 2 and all('"sentiment"' in m.value for m in msgs)
+    # a query on a new checkpoint starts at batch 0 again and replaces nothing
+    _write_lines(src, "f2.json", [_post("3", t0 + 60_000)])
+    posts, _ = jobs.parse_stream(jobs.file_messages(spark, src))
+    jobs.start_live_job(posts, metrics, os.path.join(tmp_dir, "ck2"), payload, available_now=True).awaitTermination()
+    both = spark.read.parquet(metrics)
+    assert both.select("query_id").distinct().count() == 2 and both.filter(F.col("query_id") == own).count() == n_rows
+
+
+def test_live_job_keeps_late_posts_and_drops_redelivered_ones(spark, tmp_dir):
+    src, t0, base = os.path.join(tmp_dir, "in"), 1_704_067_200_000, time.time()
+    for i in range(12):
+        rows = [_post(str(i), t0 + i * HOUR, likes=2000 if i == 3 else 5)] + ([_post(str(i - 1), t0 + (i - 1) * HOUR)] if i else [])
+        _write_lines(src, f"f{i:02}.json", rows, base + 10 * i)
+    _write_lines(src, "f99.json", [_post("late", t0 + 1000)], base + 1000)        # 11 hours behind
+    posts, _ = jobs.parse_stream(jobs.file_messages(spark, src, max_files_per_trigger=1))
+    metrics, payload = os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "p")
+    jobs.start_live_job(posts, metrics, os.path.join(tmp_dir, "ck"), payload, available_now=True).awaitTermination()
+    got = jobs.read_live_metrics(spark, metrics)
+    assert sorted(r.key for r in spark.read.parquet(payload).collect()) == sorted([*map(str, range(12)), "late"])
+    assert got.filter("metric = 'sentiment'").agg(F.sum("value")).first()[0] == 13
+    viral = got.filter("metric = 'viral'").collect()
+    assert [(r.key, r.value, r.text, r.user_id) for r in viral] == [("3", 2000, "great", "user_1")]
+    # more than ten batches: the newest window is the newest in time, also as text
+    newest = store.latest_metrics(got.select("metric", "bucket", "key", "value")).filter("metric = 'hashtag'").collect()
+    assert [r.bucket for r in newest] == ["20240101110000"]
+
+
+def test_latest_metrics_merged_keeps_older_keys(spark):
+    rows = spark.createDataFrame([("geo", "2024010100", "A", 1), ("geo", "2024010100", "B", 2), ("geo", "2024010101", "A", 5)],
+                                 "metric string, bucket string, key string, value long")
+    assert sorted((r.key, r.value) for r in store.latest_metrics(rows, mode="merge").collect()) == [("A", 5), ("B", 2)]
+    assert [(r.key, r.value) for r in store.latest_metrics(rows).collect()] == [("A", 5)]
 
 
 def test_empty_batch_writes_nothing(spark, tmp_dir):
     empty = spark.createDataFrame([], RAW_POST)
     metrics = os.path.join(tmp_dir, "metrics")
-    jobs.make_batch_writer(metrics)(batch.enrich(empty), 3)
+    jobs.make_batch_writer(metrics, os.path.join(tmp_dir, "payload"))(batch.enrich(empty), 3)
     assert not os.path.exists(metrics)
 
 
@@ -109,8 +142,10 @@ def test_second_consumer_and_alerts(spark, tmp_dir):
     table = os.path.join(tmp_dir, "posts")
     q1 = jobs.start_post_table_writer(live, table, os.path.join(tmp_dir, "ck1"), available_now=True)
     q1.awaitTermination()
-    from pulse.plans.store import read_post_table
-    stored = read_post_table(spark, table)
+    final = os.path.join(tmp_dir, "table")
+    for _ in range(2):                       # compaction again: nothing is doubled
+        jobs.store_inbox(spark, table, final)
+    stored = store.read_post_table(spark, final)
     assert sorted(r.day for r in stored.select("day").collect()) == ["2024-01-01", "2024-01-02"]
     assert {r.row_key.split("_")[1] for r in stored.collect()} == {"user"}
     alerts = os.path.join(tmp_dir, "alerts")
