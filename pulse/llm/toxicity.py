@@ -37,7 +37,7 @@ from pulse.llm.common import read_table
 
 SAMPLE_ROWS = 20_000           # labelled rows that the classifier is fitted on, at most (expected)
 MAX_TERMS = 2_000              # learned terms
-MIN_SUPPORT = 4                # toxic texts that a learned term must occur in
+MIN_SUPPORT = 5                # toxic texts that a learned term must occur in
 MIN_LOG_ODDS = 3.0
 STEMS = (4, 5, 6)              # lengths of learned stems
 HELD_OUT = 5                   # rows whose crc32(id) is divisible by this are never learned from
