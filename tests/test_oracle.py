@@ -7,9 +7,8 @@ from conftest import SF_SMALL
 from tools.compare import TABLES, digest, duck_type, spark_types
 
 import __spark_entry__ as se
-
-QUERIES = se.queries()
-ORACLE = se.oracle_sql()
+from pulse.plans.catalog import QUERIES
+from pulse.plans.oracle import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +21,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(se.queries()) and ORACLE.items() <= se.oracle_sql().items()
 
 
 def test_entry_smoke(spark):
