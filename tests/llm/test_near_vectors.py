@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
 
@@ -85,3 +87,56 @@ def test_recall_of_lone_pairs(spark, cosine):
     docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
     linked = sum(r.n_links > 0 for r in op.near_duplicates(docs, window=16).collect()) / len(rows)
     assert linked > 0.9
+
+
+def test_every_pair_of_a_dense_group_is_found(spark, tmp_dir):
+    """30,000 vectors at a cosine of about 0.85 with each other, some of them in pairs just above the threshold."""
+    rng = np.random.default_rng(11)
+    n, dims, pairs = 30_000, 64, 300
+    centre = rng.standard_normal(dims)
+    centre /= np.linalg.norm(centre)
+    x = rng.standard_normal((n, dims))
+    x -= (x @ centre)[:, None] * centre
+    x = np.sqrt(0.85) * centre + np.sqrt(0.15) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, dims))
+    side -= (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[n - pairs:] = 0.952 * x[:pairs] + np.sqrt(1 - 0.952 ** 2) * side
+    order = rng.permutation(n)
+    path = f"{tmp_dir}/dense.parquet"
+    pq.write_table(pa.table({"vec_id": order, "embedding": pa.array(list(x), pa.list_(pa.float64()))}), path)
+    links, parent = np.zeros(n, int), list(range(n))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for at in range(0, n, 2_000):
+        for i, j in np.argwhere(x[at:at + 2_000] @ x.T >= 0.95):
+            if i + at != j:
+                links[order[j]] += 1
+                a, b = find(order[i + at]), find(order[j])
+                parent[max(a, b)] = min(a, b)
+    got = op.near_duplicates(spark.read.parquet(path)).select("vec_id", "n_links", "component_id").toPandas().set_index("vec_id").sort_index()
+    assert links.sum() >= 2 * pairs
+    assert (got.n_links.to_numpy() == links).all()
+    assert got.component_id.tolist() == [find(i) for i in range(n)]
+
+
+def test_cells_leave_no_pair_out(spark, monkeypatch):
+    """Cells, blocks and visits alone, without passes that find most links, on vectors of two lengths."""
+    monkeypatch.setattr(op, "CELL_LEAST", 8)
+    monkeypatch.setattr(op, "TILE", 16)
+    rng = np.random.default_rng(2)
+    rows = []
+    for dims, size in ((4, 500), (3, 150)):
+        rows += [rng.standard_normal(dims).tolist() for _ in range(size)]
+        near = rng.standard_normal(dims)
+        rows += [(near + 1e-9 * rng.standard_normal(dims)).tolist() for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op.near_duplicates(docs, passes=1, bits=1, window=1, threshold=0.99).collect()}
+    want = {}
+    for dims in (4, 3):
+        want |= brute([(i, v) for i, v in enumerate(rows) if len(v) == dims], 0.99)
+    assert got == want
