@@ -3,13 +3,16 @@
 A text is segmented by the merges of a public BPE model.  An agenda (priority queue)
 holds the candidate merges of neighbouring symbols, best score first, then
 leftmost.  Each candidate that comes up is skipped with probability ``dropout``, decided by a
-keyed hash of seed, variant, place and the piece it would make, and the rest are
-merged.  So one seed always gives one segmentation, ``VARIANTS`` segmentations of a
-word occur across texts (a text's variant is a keyed hash of its id), and every one
+keyed hash of seed, document (its variant: a hash of its id), place in the text and the piece it would make, and the rest are
+merged.  So every occurrence of a word has its own draws, one seed always gives one
+segmentation of a document, and every one
 decodes to the same text.  Without dropout the ids are the model's own.
 
-No piece holds a space after another character, so a text is segmented space by space
-and a worker remembers (a bounded number of) words; texts are processed whole.
+No piece holds a space after another character, so a text is segmented space by space.
+A worker remembers, for (a bounded number of) words and the candidates skipped so far, the candidates
+that come up next and the ids if none of them is skipped: what depends on the word
+alone.  The draws of a text are made for all its words at once, and again for the words where
+one was skipped.  Longer words are segmented afresh; texts are processed whole.
 Symbols outside the vocabulary become byte pieces.  The model is read from its public file, never trained.
 
 Null and empty texts have no ids and decode to the empty text.  A null id counts as the
@@ -21,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 
 from pulse.llm.common import read_table
 
-DROPOUT, VARIANTS, SEED = 0.1, 4, 17
-CACHED_WORDS, CACHED_LENGTH = 800_000, 64   # words a worker remembers, and their greatest length
+DROPOUT, VARIANTS, SEED = 0.1, 1 << 64, 17  # variants: keys that a document's key is one of
+CACHED_WORDS, CACHED_LENGTH = 300_000, 64   # words (with candidates skipped) a worker remembers, and their greatest length
+WORDS_AT_ONCE = 65_536                      # words of a text that are drawn for at once
 
 _RUNS = re.compile(r" +[^ ]*")
 _M64 = (1 << 64) - 1
@@ -44,6 +48,12 @@ def keyed_hash(key: int, place: int, piece: int) -> int:
     return ((h ^ (h >> 31)) * 0x94D049BB133111EB & _M64) >> 32
 
 
+def keyed_hashes(key: int, places: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """``keyed_hash`` of every place and piece."""
+    h = np.uint64(key) + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pieces.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+
+
 class PieceModel:
     """Pieces, scores and byte pieces of a SentencePiece BPE model, spaces written as spaces."""
 
@@ -64,11 +74,21 @@ class PieceModel:
                 piece = piece.replace("▁", " ")
                 self.ids[piece], self.merges[piece], self.raw[i] = i, (-model.get_score(i), i), piece.encode()
 
-    def segment(self, unit: str, dropout: float, key: int) -> list[str]:
-        """The symbols of a unit after its merges."""
+    def segment(self, unit: str, dropout: float, key: int, at: int = 0) -> list[str]:
+        """The symbols of a unit, whose place in the text is ``at``, after its merges."""
+        return self._merge(unit, int(dropout * (1 << 32)), key, at)
+
+    def plan(self, unit: str, path: tuple[int, ...]) -> tuple[bytes, bytes]:
+        """A unit whose candidates number ``path`` are skipped: the (place, piece) that come up after these, and its ids."""
+        seen: list[int] = []
+        symbols = self._merge(unit, 0, 0, 0, seen, path)
+        return array("i", seen[2 * path[-1] + 2 if path else 0:]).tobytes(), self._ids(symbols)
+
+    def _merge(self, unit: str, limit: int, key: int, at: int, seen: list[int] | None = None, path: tuple[int, ...] = ()) -> list[str]:
+        """The symbols of a unit; skips by keyed hash or, where ``seen`` notes what comes up, the candidates number ``path``."""
         symbols: list = list(unit)
         n, find, push, pop = len(symbols), self.merges.get, heapq.heappush, heapq.heappop
-        limit, agenda = int(dropout * (1 << 32)), []
+        agenda = []
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         for i in range(n - 1):
             merged = symbols[i] + symbols[i + 1]
@@ -80,8 +100,12 @@ class PieceModel:
             j = following[i]
             if j >= n or symbols[i] is None or symbols[i] + symbols[j] != merged:
                 continue                                   # one of the two has been merged meanwhile
-            if limit and keyed_hash(key, i, piece) < limit:
+            if limit and keyed_hash(key, at + i, piece) < limit:
                 continue
+            if seen is not None:
+                seen += (i, piece)
+                if path and len(seen) // 2 - 1 in path:
+                    continue
             after = following[j]
             symbols[i], symbols[j], following[i] = merged, None, after
             if after < n:
@@ -95,50 +119,126 @@ class PieceModel:
                     push(agenda, (m[0], a, m[1], joined))
         return [s for s in symbols if s is not None]
 
-    def ids_of(self, unit: str, dropout: float, key: int) -> bytes:
+    def ids_of(self, unit: str, dropout: float, key: int, at: int = 0) -> bytes:
         """Little-endian unsigned 32-bit ids of a unit."""
+        return self._ids(self.segment(unit, dropout, key, at))
+
+    def _ids(self, symbols: list[str]) -> bytes:
         ids = []
-        for s in self.segment(unit, dropout, key):
+        for s in symbols:
             i = self.ids.get(s)
             if i is not None:
                 ids.append(i)
             else:
                 ids += [self.bytes[b] for b in s.encode()]
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the space that was put before the first word is taken off."""
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")[1:]
 
 
+class Plan:
+    """A word with some candidates skipped: what comes up next, the ids if all of it is merged, and the plans if not."""
+
+    __slots__ = ("path", "candidates", "ids", "after")
+
+    def __init__(self, path: tuple[int, ...], candidates: bytes, ids: bytes):
+        self.path, self.candidates, self.ids = path, candidates, ids
+        self.after: dict[int, Plan] | None = None
+
+
+_LEFT: dict[int, Plan] = {}     # a candidate was skipped once: rare words are segmented afresh and leave no further plans
+
+
 class Encoder:
-    """Encodes texts with one seed, remembering the ids of words by variant."""
+    """Encodes texts with one seed, remembering what words' merges lead to."""
 
     def __init__(self, model: PieceModel, dropout: float, variants: int, seed: int):
-        self.model, self.dropout, self.seed = model, dropout, seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.keys = [int.from_bytes(hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest()) for v in range(variants)]
+        self.model, self.dropout, self.variants, self.seed = model, dropout, variants, seed
+        self.limit = int(dropout * (1 << 32))
+        self.known: dict[str, Plan] = {}
+        self.held = 0
 
     def variant(self, doc_id) -> int:
-        return zlib.crc32(f"{self.seed}:{'null' if doc_id is None else doc_id}".encode()) % len(self.known)
+        name = f"{self.seed}:{'null' if doc_id is None else doc_id}"
+        return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest()) % self.variants
+
+    def key(self, variant: int) -> int:
+        return int.from_bytes(hashlib.blake2b(f"{self.seed}:{variant}".encode(), digest_size=8).digest())
 
     def encode(self, text: str, variant: int) -> bytes:
         if not text:
             return b""
         odd = "  " in text or text[0] == " " or text[-1] == " "
         words = [u[1:] for u in _RUNS.findall(" " + text)] if odd else text.split(" ")
-        known, key, out = self.known[variant], self.keys[variant], []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = self.model.ids_of(" " + w, self.dropout, key)
-                if len(w) <= CACHED_LENGTH:
-                    if len(known) * len(self.known) >= CACHED_WORDS:
-                        known.clear()
-                    known[w] = ids
-            out.append(ids)
+        key, at, out = self.key(variant), 0, []
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            part = words[i:i + WORDS_AT_ONCE]
+            ends = at + np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            out += self._encode_words(part, np.r_[at, ends[:-1]], key)
+            at = int(ends[-1])
         return b"".join(out)
 
+    def _encode_words(self, words: list[str], places: np.ndarray, key: int) -> list[bytes]:
+        """Ids of words at their places in a text."""
+        plans = list(map(self.known.get, words))
+        for i, p in enumerate(plans):
+            if p is None:
+                plans[i] = self._first(words[i], int(places[i]), key)
+        out = [p.ids for p in plans]
+        at = np.arange(len(words))
+        while self.limit and plans:
+            candidates = np.frombuffer(b"".join([p.candidates for p in plans]), "<i4").reshape(-1, 2)
+            counts = np.array([len(p.candidates) for p in plans]) // 8
+            word = np.repeat(np.arange(len(plans)), counts)
+            skipped = np.flatnonzero(keyed_hashes(key, places[at][word] + candidates[:, 0], candidates[:, 1]) < self.limit)
+            word = word[skipped]
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][:len(word)])
+            word, number = word[first], skipped[first] - (np.cumsum(counts) - counts)[word[first]]
+            at, before, plans, going = at[word], plans, [], []
+            for i, w, k in zip(at.tolist(), word.tolist(), number.tolist(), strict=True):
+                plan = self._after(words[i], before[w], k)
+                if plan is None:
+                    out[i] = self.model.ids_of(" " + words[i], self.dropout, key, int(places[i]))
+                else:
+                    out[i] = plan.ids
+                    plans.append(plan)
+                    going.append(i)
+            at = np.array(going, np.int64)
+        return out
+
+    def _first(self, word: str, place: int, key: int) -> Plan:
+        if len(word) > CACHED_LENGTH:
+            return Plan((), b"", self.model.ids_of(" " + word, self.dropout, key, place))
+        plan = self.known.get(word)                        # met earlier in this text
+        if plan is None:
+            plan = Plan((), *self.model.plan(" " + word, ()))
+            self._hold()
+            self.known[word] = plan
+        return plan
+
+    def _after(self, word: str, plan: Plan, number: int) -> Plan | None:
+        """The plan of a word when the next candidate that is skipped is this one; none when a plan is left for the first time."""
+        if plan.after is None:
+            plan.after = _LEFT
+            return None
+        if plan.after is _LEFT:
+            plan.after = {}
+        found = plan.after.get(number)
+        if found is None:
+            path = (*plan.path, (plan.path[-1] + 1 if plan.path else 0) + number)
+            found = Plan(path, *self.model.plan(" " + word, path))
+            self._hold()
+            plan.after[number] = found
+        return found
+
+    def _hold(self) -> None:
+        if self.held >= CACHED_WORDS:
+            self.known.clear()
+            self.held = 0
+        self.held += 1
+
 
 _encoders: dict[tuple, Encoder] = {}
 

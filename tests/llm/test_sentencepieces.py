@@ -71,3 +71,36 @@ def test_nulls_repeats_long_texts_and_clashing_names(spark, monkeypatch):
     same = [r.ids for r in got if r.text == "same"]
     assert same[0] == same[1]
     assert op.encode(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_every_occurrence_has_its_own_draws(model):
+    encoder = op.Encoder(model, op.DROPOUT, op.VARIANTS, op.SEED)
+    word = "international"
+    text = " ".join([word] * 2_000)
+    seen = set()
+    for doc in range(3):
+        key, at, parts = encoder.key(encoder.variant(doc)), 0, []
+        for w in text.split(" "):
+            parts.append(model.ids_of(" " + w, op.DROPOUT, key, at))
+            at += len(w) + 1
+        assert encoder.encode(text, encoder.variant(doc)) == b"".join(parts)
+        assert len(set(parts)) > 4                         # occurrences of one document differ
+        seen.add(tuple(parts))
+    assert len(seen) == 3                                  # and documents do
+    starts = [encoder.encode(word, encoder.variant(doc)) for doc in range(4_000)]
+    assert len(set(starts)) > 4
+
+
+def test_share_of_skipped_merges_and_words_of_all_lengths(model, monkeypatch):
+    monkeypatch.setattr(op, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(op, "CACHED_WORDS", 5)
+    encoder = op.Encoder(model, 0.1, op.VARIANTS, 3)
+    n = 20_000
+    merged = np.array([len(encoder.encode("a", encoder.variant(doc))) == 4 for doc in range(n)])
+    assert abs(merged.mean() - 0.9) < 0.01                 # " a" is one merge
+    text = "  of the " + "ab" * 300 + " international naïve  日本 the of " * 9
+    key, at, parts = encoder.key(5), 0, []
+    for unit in op._RUNS.findall(" " + text):
+        parts.append(model.ids_of(unit, 0.1, key, at))
+        at += len(unit)
+    assert encoder.encode(text, 5) == b"".join(parts) and model.decode(b"".join(parts)) == text
