@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,12 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([
 _NAME = re.compile(r"[a-z]+")
 
 
+@cache
+def _end_tag(tag: str) -> re.Pattern:
+    """Where a raw element's end tag starts; matched in the page itself, since lower case can be longer."""
+    return re.compile("</" + re.escape(tag), re.I | re.A)
+
+
 @dataclass
 class Weights:
     """Weight per tag key and per (state, surroundings); states: A in a marked part, O outside one, N no part is marked."""
@@ -172,9 +179,9 @@ def items(html: str) -> list[tuple]:
                     out.append(("w", " ", 0, "N", ""))
             continue
         if tag in RAW:
-            end = low.find("</" + tag, at)
-            end = n if end < 0 else end
-            at = low.find(">", end) + 1 or n
+            end = _end_tag(tag).search(html, at)
+            at = html.find(">", end.end()) + 1 if end else n
+            at = at or n
             if cut_at < 0 and tag not in INLINE_CUT:
                 out.append(("t", "/cut", True))
             continue

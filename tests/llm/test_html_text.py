@@ -70,3 +70,9 @@ def test_learned_weights_and_clashing_names(spark):
     assert weights.word("A", "p") > 0 > weights.word("O", "div.intro")
     assert [r[0] for r in pages.select(op.extract_udf(weights)("html")).collect()] == ["the text of it"] * 5 + ["", ""]
     assert op.learn(spark.createDataFrame([], schema)).tags == {}
+
+
+def test_letters_whose_lower_case_is_longer():
+    dotted = "\u0130" * 9
+    page = f"<p>{dotted} one</p><script>a</SCRIPT ><p>two</p><style>b</Style><b>three</b><title>c</title><p>four</p><script>"
+    assert op.extract(page, PLAIN) == f"{dotted} one\ntwo\nthree\nfour"
