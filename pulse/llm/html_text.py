@@ -9,9 +9,13 @@ gains what its surroundings (nearest block, and whether inside a marked part) he
 content, so words where labelled pages only had boilerplate score below zero.  Without labelled
 pages FIXED default weights hold.
 
-What is never main text (menus, forms, scripts, adverts, comments, ...: FIXED names
+What is never main text (menus, forms, scripts, ...: FIXED tags and roles
 below) is cut out of the stream with all it holds, so it neither scores nor shows
-within the region.  Character references are decoded, white space in a block becomes
+within the region.  A class or id only says so if the whole name does ("ad", "site-menu", not
+"ad-free" or "no-sidebar"), and then only outside marked content; within it, only classes of adverts and
+readers' comments do, and never ids, which name sections.  An element that is named so but holds
+most of the words of a page that marks no content (or of the marked content) is its wrapper and stays; readers'
+comments stay only if there is nothing else.  Character references are decoded, white space in a block becomes
 one space, blocks are joined by a line feed; ``br`` is white space; nothing is capped.
 
 The weights are counted on ``SAMPLE_PAGES`` pages at most (by hash of the page), all
@@ -55,6 +59,13 @@ CUT_NAMES = frozenset((
     "gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead topbar toolbar comments comment disqus replies discussion respond "
     "related recommended recommendations share sharing social pagination pager widget widgets login search").split())
+PLACE_NAMES = frozenset((      # say where a named element is, not what it holds
+    "site page top main left right bottom primary secondary global block box container wrapper wrap area section inner list "
+    "bar links link button buttons icon icons form item items header").split())
+READER_NAMES = frozenset("comments comment disqus replies".split())
+CUT_IN_CONTENT = READER_NAMES | frozenset((
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "popup modal overlay newsletter paywall").split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -91,29 +102,65 @@ class Weights:
         return WORD
 
 
-def _attributes(raw: str) -> tuple[str, frozenset[str], str, bool]:
-    """First class, names in class and id, role, hidden."""
-    first, names, role, hidden = "", frozenset(), "", False
+def _attributes(raw: str) -> tuple[str, list[frozenset[str]], list[frozenset[str]], str, bool]:
+    """First class, the parts of each class and of each id, role, hidden."""
+    first, classes, ids, role, hidden = "", [], [], "", False
     if raw and not raw.isspace():
         for m in _ATTRIBUTE.finditer(raw):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                names |= frozenset(_NAME.findall(value))
+                (classes if name == "class" else ids).extend(frozenset(_NAME.findall(v)) for v in value.split())
                 if name == "class" and value.split():
                     first = value.split()[0]
             elif name == "role":
                 role = value
             else:
                 hidden |= value == "true" or name == "hidden" and m[0].strip().lower() == "hidden"
-    return first, names, role, hidden
+    return first, classes, ids, role, hidden
 
 
-def _is_cut(tag: str, names: frozenset[str], role: str, hidden: bool, in_content: bool) -> bool:
-    if tag in ("html", "body") or tag in CONTENT and not names & {"comment", "comments"}:
+def _is_cut(tag: str, role: str, hidden: bool, in_content: bool) -> bool:
+    """Whether an element is cut for its tag, role or being hidden."""
+    if tag in ("html", "body") or tag in CONTENT:
         return False
-    if tag == "header" or "header" in names and tag not in ("h1", "h2"):
+    if tag == "header":
         return not in_content
-    return tag in CUT or role in CUT_ROLES or hidden or bool(names & CUT_NAMES)
+    return tag in CUT or role in CUT_ROLES or hidden
+
+
+def _named(tag: str, classes: list[frozenset[str]], ids: list[frozenset[str]], in_content: bool) -> str:
+    """What an element's class or id says it is: "cut", "reader" (readers' comments) or "" (nothing)."""
+    if tag in ("html", "body"):
+        return ""
+    allowed = READER_NAMES if tag in CONTENT else CUT_IN_CONTENT if in_content else CUT_NAMES
+    for parts in classes if in_content else classes + ids:
+        if not parts <= allowed | PLACE_NAMES:
+            continue
+        if parts & READER_NAMES:
+            return "reader"
+        if parts & allowed or "header" in parts and not in_content and tag not in ("h1", "h2") and tag not in CONTENT:
+            return "cut"
+    return ""
+
+
+def _without_named(out: list[tuple], spans: list[tuple[int, int, str, bool]], marked: bool) -> list[tuple]:
+    """The stream without the elements cut by name; ``spans``: (start, end, what, in content) in the order of their starts."""
+    if not spans:
+        return out
+    words = [0]
+    for x in out:
+        words.append(words[-1] + (x[2] if x[0] == "w" else 0))
+    inside = sum(x[2] for x in out if x[0] == "w" and x[3] == "A")
+    kept, at = [], 0
+    for start, end, what, in_content in spans:
+        if start < at:
+            continue                                       # within one that is cut
+        held, total = words[end] - words[start], inside if in_content else words[-1]
+        if held == total or what != "reader" and (in_content or not marked) and 2 * held > total:
+            continue                                       # the wrapper
+        kept += [*out[at:start], ("t", "cut", True), ("t", "/cut", True)]
+        at = end
+    return kept + out[at:]
 
 
 # Items of a page: ("t", key, is block) for tags, ("w", raw text, words, state, surroundings) for text.
@@ -123,6 +170,8 @@ def items(html: str) -> list[tuple]:
     marked = "<article" in low or "<main" in low
     out: list[tuple] = []
     stack: list[tuple[str, str]] = []                      # (tag, key) of open elements
+    named: list[tuple[int, int, str, bool]] = []           # open elements that may be cut by name: depth, start, what, in content
+    spans: list[tuple[int, int, str, bool]] = []           # the closed ones: start, end, what, in content
     content, cut_at, at, n = 0, -1, 0, len(html)           # open content elements; depth of the cut element, if any
 
     def close(depth: int) -> None:
@@ -136,6 +185,9 @@ def items(html: str) -> list[tuple]:
                     out.append(("t", "/cut", True))
             elif cut_at < 0:
                 out.append(("t", "/" + key, tag in BLOCK))
+            if named and named[-1][0] == len(stack):
+                _, start, what, in_content = named.pop()
+                spans.append((start, len(out), what, in_content))
 
     def text(raw: str) -> None:
         if raw and cut_at < 0:
@@ -158,7 +210,8 @@ def items(html: str) -> list[tuple]:
         tag, closing, raw = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and not (cut_at >= 0 and depth < cut_at and tag not in BLOCK):
+            top = cut_at if cut_at >= 0 else named[-1][0] if named else -1
+            if depth >= 0 and not (0 <= top and depth < top and tag not in BLOCK):
                 close(depth)
             continue
         if tag in BLOCK and stack:                         # end tags that may be left out
@@ -170,7 +223,9 @@ def items(html: str) -> list[tuple]:
                 close(len(stack) - 1)
         if tag in CONTENT and cut_at >= 0 and stack[cut_at][0] not in CONTENT:
             close(cut_at)                                  # something cut out was never closed
-        first, names, role, hidden = _attributes(raw)
+        if tag in CONTENT and named and stack[named[0][0]][0] not in CONTENT and not content:
+            close(named[0][0])
+        first, classes, ids, role, hidden = _attributes(raw)
         key = f"{tag}.{first}" if first else tag
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             if cut_at < 0:
@@ -185,16 +240,19 @@ def items(html: str) -> list[tuple]:
             if cut_at < 0 and tag not in INLINE_CUT:
                 out.append(("t", "/cut", True))
             continue
-        cut = cut_at < 0 and _is_cut(tag, names, role, hidden, content > 0)
-        if cut:
+        what = _named(tag, classes, ids, content > 0) if cut_at < 0 and (classes or ids) else ""
+        if cut_at < 0 and _is_cut(tag, role, hidden, content > 0):
             cut_at = len(stack)
             if tag not in INLINE_CUT:
                 out.append(("t", "cut", True))
         elif cut_at < 0:
+            if what:
+                named.append((len(stack), len(out), what, content > 0))
             out.append(("t", key, tag in BLOCK))
         stack.append((tag, key))
         content += tag in CONTENT
-    return out
+    spans += [(start, len(out), what, in_content) for _, start, what, in_content in named]
+    return _without_named(out, sorted(spans, key=lambda s: (s[0], -s[1])), marked)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

@@ -76,3 +76,25 @@ def test_letters_whose_lower_case_is_longer():
     dotted = "\u0130" * 9
     page = f"<p>{dotted} one</p><script>a</SCRIPT ><p>two</p><style>b</Style><b>three</b><title>c</title><p>four</p><script>"
     assert op.extract(page, PLAIN) == f"{dotted} one\ntwo\nthree\nfour"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='menu-open'><div class='page no-sidebar'>{BODY}</div></body>",
+    f"<div class='ad-free no-header' id=search-results>{BODY}</div>",
+    f"<div class=social>{BODY}</div>",
+    f"<div id=page class='site widget'><div class='sidebar'>a b</div><div class=promo>{BODY}</div></div>",
+    f"<div class=header><h2>Site</h2></div><div class='left-sidebar'>a b c</div>{BODY}<div class='social-links'>x y</div>",
+    f"<main><div class=banner>{BODY}</div></main><div id=comments>{'me too ' * 40}</div>",
+    f"<div class='post'>{BODY}</div><div class='comments-area'>{'me too ' * 40}</div>",
+    f"<article>{BODY}<div class=ad>buy <b>now</b></div><div class='comments'>me too</div></article>",
+])
+def test_wrappers_and_named_parts(page):
+    assert op.extract(page, PLAIN) == TEXT
+
+
+def test_sections_of_the_content_stay():
+    page = ("<article><h1>One of these</h1><section id='discussion'><h2 id='search'>Two of these</h2><p>three three three four</p></section>"
+            "<div class='related-work'><p>five five five six</p></div><div class='discussion'><p>seven seven seven</p></div>"
+            "<p class='notice'>eight eight eight</p></article>")
+    assert op.extract(page, PLAIN) == ("One of these\nTwo of these\nthree three three four\nfive five five six\nseven seven seven\n"
+                                       "eight eight eight")
