@@ -40,6 +40,7 @@ MAX_TERMS = 2_000              # learned terms
 MIN_SUPPORT = 5                # toxic texts that a learned term must occur in
 MIN_LOG_ODDS = 3.0
 STEMS = (4, 5, 6)              # lengths of learned stems
+NEAR_WORDS, NEAR_HASHES = 3, 6  # near copies among labelled rows: words of a shingle, hashes whose minima agree
 HELD_OUT = 5                   # rows whose crc32(id) is divisible by this are never learned from
 THRESHOLD = 0.5
 
@@ -262,7 +263,8 @@ def held_out(id_col: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """text, toxic of at most about ``sample_rows`` labelled rows outside the held-out part, near copies thinned.
 
-    Texts with the same two smallest word hashes count as near copies.
+    Texts whose shingles of ``NEAR_WORDS`` words have equal minima under ``NEAR_HASHES`` independent hashes count as near copies:
+    copies always do, texts that share a tenth of their shingles one time in a million.
     """
     usable = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
               .filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).dropDuplicates(["id"]))
@@ -271,9 +273,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         usable = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(usable, "id")
-    words = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w))
-    smallest = F.slice(F.array_sort(F.array_distinct(words)), 1, 2)
-    return joined.withColumn("_near", smallest).groupBy("_near", "toxic").agg(
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (NEAR_WORDS - 1), F.lit(1)))
+    shingles = F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, NEAR_WORDS)))
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform("_shingles", lambda h: F.xxhash64(F.lit(k), h)))
+
+    minima = F.array(*map(least, range(NEAR_HASHES)))
+    hashed = joined.withColumn("_words", F.split(F.lower(F.trim("text")), r"\s+")).withColumn("_shingles", shingles)
+    return hashed.withColumn("_near", minima).groupBy("_near", "toxic").agg(
         F.min_by("text", F.struct("id", "text")).alias("text")).select("text", "toxic")
 
 

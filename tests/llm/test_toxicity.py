@@ -83,3 +83,17 @@ def test_nulls_empty_tables_and_clashing_names(spark):
     got = [tuple(np.round(r, 6)) for r in docs.select(tox.score_udf(g)("text"), tox.score_udf(g)("text")).collect()]
     assert got[0] == got[1] == got[3] and got[2][0] > 0.5 > got[0][0]
     assert tox.learn(docs.limit(0), labels).words
+
+
+def test_only_near_copies_are_thinned(spark):
+    common = "the of and to in is it for on with as at by from this that are was be have or an not but they we his her she you".split()
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:60]
+    rng = np.random.default_rng(1)
+    texts = {i: " ".join(rng.permutation([*common, *(f"own{i}x{k}" for k in range(6))])) for i in ids}
+    long = " ".join(f"w{k * k % 997}" for k in range(400))
+    copies = {i: t for i, t in zip((100, 101, 102, 103, 104), (long, long, "  " + long.upper(), long, long.replace(" ", "  ")), strict=True)}
+    docs = spark.createDataFrame([*texts.items(), *copies.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in (*texts, *copies)], "doc_id long, toxic int")
+    got = [r.text for r in tox.training_rows(docs, labels).collect()]
+    assert set(texts.values()) <= set(got)                 # texts that share common words all stay
+    assert len(got) == len(texts) + 1
