@@ -38,6 +38,7 @@ from pulse.llm.common import read_table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
+DELTA_CHARS = 64               # text of one streamed event in the log of a finished turn, at most
 # Strings that chat templates use as control marks; every "<|" counts as one.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _MARKS = "|".join(f"{re.escape(c[0])}(?=\\\\*{re.escape(c[1:])})" for c in sorted(CONTROLS, key=len, reverse=True))
@@ -190,8 +191,19 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def log_of(turns: DataFrame) -> DataFrame:
-    """A log with one ``start`` event per row of a table of finished turns."""
-    return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("start").alias("event"), "turn", "role", "text")
+    """A log of a table of finished turns: each row's ``start``, then its text as streamed ``delta`` events; ``seq`` counts a conversation's events.
+
+    Rows of one turn follow each other by role and text, so that each one's deltas come before the next one's start.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text")).select(
+        "*", F.ceil(F.char_length("text") / DELTA_CHARS).alias("_deltas"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_first", F.coalesce(F.sum(F.col("_deltas") + 1).over(before), F.lit(0)))
+    events = numbered.select("conv_id", "turn", "role", "_first", F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("_place", "text"))
+    return events.select("conv_id", (F.col("_first") + F.col("_place")).cast("long").alias("seq"),
+                         F.when(F.col("_place") == 0, "start").otherwise("delta").alias("event"), "turn", "role", "text")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,31 @@ def test_nulls_ties_repeats_long_texts_and_clashing_names(spark):
                    2: [("assistant", long)]}
     assert {r.conv_id: r.n_turns for r in chat.digests(chat.segments(chat.log_of(turns))).collect()} == {1: 5, None: 1, 2: 1}
     assert chat.segments(chat.log_of(spark.createDataFrame([], schema))).collect() == []
+
+
+def test_the_log_of_finished_turns_is_streamed(spark):
+    turns = [(1, 0, "user", "a😀\n" * 100), (1, 1, "assistant", "x" * 130), (1, 1, "assistant", "w" * 70), (1, 1, "assistant", "w" * 70),
+             (1, 2, None, None), (2, None, "user", "é" * 64)]
+    log = chat.log_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    by = {}
+    for r in log.collect():
+        by.setdefault(r.conv_id, []).append(r)
+    texts = {}
+    for conv, events in by.items():
+        events.sort(key=lambda r: r.seq)
+        assert [r.seq for r in events] == list(range(len(events)))
+        for r in events:
+            if r.event == "start":
+                texts.setdefault(conv, []).append((r.turn, r.role, r.text))
+            else:
+                assert r.event == "delta" and 0 < len(r.text) <= chat.DELTA_CHARS
+                turn, role, text = texts[conv][-1]
+                assert (r.turn, r.role) == (turn, role)
+                texts[conv][-1] = (turn, role, text + r.text)
+    want = {1: [(0, "user", "a😀\n" * 100), (1, "assistant", "w" * 70), (1, "assistant", "w" * 70), (1, "assistant", "x" * 130), (2, "", "")],
+            2: [(None, "user", "é" * 64)]}
+    assert texts == want and sum(r.event == "delta" for events in by.values() for r in events) == 5 + 2 + 2 + 3 + 1
+    got = {}
+    for r in chat.segments(log).collect():
+        got.setdefault(r.conv_id, []).append((r.position, chat.read_segment(r.segment)))
+    assert {c: [m for _, m in sorted(ms)] for c, ms in got.items()} == {c: [m[1:] for m in ms] for c, ms in want.items()}
