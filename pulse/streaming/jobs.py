@@ -37,7 +37,6 @@ TRIGGER_INTERVAL = "10 seconds"
 WATERMARK_DELAY = "10 minutes"
 HOURLY_WINDOW = "1 hour"
 LIVE_WINDOW_MS, LIVE_BUCKET_FORMAT = 10_000, "yyyyMMddHHmmss"
-REPEAT_BATCHES = 60            # a redelivered post is recognised in this many earlier batches
 RAW_TOPIC = "raw-tweets"
 ENRICHED_TOPIC = "processed-tweets"
 ALERT_TOPIC = "trending-alerts"
@@ -147,7 +146,8 @@ def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str
     The batch is persisted once and read by every write; each write replaces
     the (query id, batch id) partition, so a replayed batch is idempotent.  The query's id
     is kept in its checkpoint: a query started on a new checkpoint has another.  Posts that
-    one of the last ``REPEAT_BATCHES`` batches of the query wrote are redeliveries and left out.
+    any earlier batch of the query wrote are redeliveries and left out, however late they come: each batch
+    reads the keys written so far and only shuffles those that it holds itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -155,9 +155,8 @@ def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str
         batch = batch.dropDuplicates(["tweet_id"])
         if batch_id and _has_files(spark, payload_path):
             written = spark.read.schema("key string, value string, query_id string, batch_id long").parquet(payload_path)
-            recent = written.filter((F.col("query_id") == own) & (F.col("batch_id") < batch_id)
-                                    & (F.col("batch_id") >= batch_id - REPEAT_BATCHES))
-            batch = batch.join(recent.select(F.col("key").alias("tweet_id")), "tweet_id", "left_anti")
+            earlier = written.filter((F.col("query_id") == own) & (F.col("batch_id") < batch_id)).select(F.col("key").alias("tweet_id"))
+            batch = batch.join(earlier.join(batch.select("tweet_id"), "tweet_id", "left_semi"), "tweet_id", "left_anti")
         batch = batch.persist()
 
         def put(df: DataFrame, path: str) -> None:

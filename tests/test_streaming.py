@@ -119,6 +119,18 @@ def test_live_job_keeps_late_posts_and_drops_redelivered_ones(spark, tmp_dir):
     assert [r.bucket for r in newest] == ["20240101110000"]
 
 
+def test_posts_redelivered_hundreds_of_batches_later_are_dropped(spark, tmp_dir):
+    t0, metrics, payload = 1_704_067_200_000, os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "p")
+    write = jobs.make_batch_writer(metrics, payload)
+    for batch_id, names in ((0, "ab"), (1, "c"), (500, "acd"), (100_000, "bd")):
+        src = os.path.join(tmp_dir, f"in{batch_id}")
+        _write_lines(src, "f.json", [_post(n, t0 + 1000 * ord(n)) for n in names])
+        posts, _ = jobs.parse_stream(spark.read.text(src))
+        write(jobs.live_posts(posts), batch_id)
+    assert sorted(r.key for r in spark.read.parquet(payload).collect()) == list("abcd")
+    assert jobs.read_live_metrics(spark, metrics).filter("metric = 'sentiment'").agg(F.sum("value")).first()[0] == 4
+
+
 def test_latest_metrics_merged_keeps_older_keys(spark):
     rows = spark.createDataFrame([("geo", "2024010100", "A", 1), ("geo", "2024010100", "B", 2), ("geo", "2024010101", "A", 5)],
                                  "metric string, bucket string, key string, value long")
