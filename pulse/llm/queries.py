@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulse.llm.ann import op2_ann
+from pulse.llm.byte_bpe import op12_byte_bpe
 from pulse.llm.chat import op9_chat
 from pulse.llm.common import with_package
 from pulse.llm.html_text import op3_html_text
@@ -31,6 +32,7 @@ def _query(fn):
 
 
 QUERIES = {fn.__name__: _query(fn) for fn in (
-    op1_packing, op2_ann, op3_html_text, op4_line_dedup, op5_sentencepiece, op6_sharding, op7_toxicity, op8_near_vectors, op9_chat, op10_ngram_join)}
+    op1_packing, op2_ann, op3_html_text, op4_line_dedup, op5_sentencepiece, op6_sharding, op7_toxicity, op8_near_vectors, op9_chat, op10_ngram_join,
+    op12_byte_bpe)}
 
 __all__ = ["ORACLE", "QUERIES"]
