@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulse.llm import chat, line_dedup, near_vectors, ngram_join
+from pulse.llm import chat, conversation_trie, line_dedup, near_vectors, ngram_join
 
 # Every node with every node that links lead to; groups are small next to the table.
 _REACH = """
@@ -60,9 +60,38 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum({_FRAME} + length(role) + length(text) + {_controls('text')}) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
+# CRC-32 of a number's decimal digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+  lambda c, d: list_reduce(list_prepend(xor(c, d), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+CONVERSATION_TRIE = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t) - 1 AS place, t, length(text) AS chars FROM said),
+convs AS (SELECT conv_id, {_CRC.format('conv_id')} % {conversation_trie.SHARED} AS h FROM (SELECT DISTINCT conv_id FROM said)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, b.place, b.t, b.chars FROM convs c JOIN turns b
+    ON b.conv_id = c.conv_id - c.conv_id % {conversation_trie.BASES} AND b.place < c.h
+  UNION ALL SELECT c.conv_id, 1, o.place, o.t, o.chars FROM convs c JOIN turns o ON o.conv_id = c.conv_id AND o.place >= c.h),
+steps AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(t, '') OVER w AS node, chars FROM rebuilt
+          WINDOW w AS (PARTITION BY conv_id ORDER BY part, place ROWS UNBOUNDED PRECEDING)),
+paths AS (SELECT conv_id, depth, node, left(node, length(node) - 64) AS parent, chars FROM steps
+          UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM convs),
+nodes AS (SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, min(parent) AS parent, count(*) AS n_convs, min(chars) AS chars FROM paths GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (SELECT p.node, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.chars) AS saved
+         FROM nodes u LEFT JOIN children c USING (node) JOIN paths p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY p.node),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+         FROM (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id) JOIN paths USING (conv_id, depth) GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s USING (node) LEFT JOIN children c USING (node) LEFT JOIN ends e USING (node) LEFT JOIN nodes p ON p.node = n.parent"""
+
 ORACLE: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op8_near_vectors": NEAR_VECTORS,
     "op9_chat": CHAT,
     "op10_ngram_join": NGRAM_JOIN,
+    "op13_conversation_trie": CONVERSATION_TRIE,
 }

@@ -13,6 +13,7 @@ from pulse.llm.ann import op2_ann
 from pulse.llm.byte_bpe import op12_byte_bpe
 from pulse.llm.chat import op9_chat
 from pulse.llm.common import with_package
+from pulse.llm.conversation_trie import op13_conversation_trie
 from pulse.llm.html_text import op3_html_text
 from pulse.llm.line_dedup import op4_line_dedup
 from pulse.llm.near_vectors import op8_near_vectors
@@ -33,6 +34,6 @@ def _query(fn):
 
 QUERIES = {fn.__name__: _query(fn) for fn in (
     op1_packing, op2_ann, op3_html_text, op4_line_dedup, op5_sentencepiece, op6_sharding, op7_toxicity, op8_near_vectors, op9_chat, op10_ngram_join,
-    op12_byte_bpe)}
+    op12_byte_bpe, op13_conversation_trie)}
 
 __all__ = ["ORACLE", "QUERIES"]
