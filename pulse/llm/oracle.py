@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulse.llm import chat, conversation_trie, line_dedup, near_vectors, ngram_join
+from pulse.llm import chat, conversation_trie, line_dedup, near_vectors, ngram_join, ranked_search
 
 # Every node with every node that links lead to; groups are small next to the table.
 _REACH = """
@@ -60,6 +60,21 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum({_FRAME} + length(role) + length(text) + {_controls('text')}) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{ranked_search.TERM}')"
+
+RANKED_SEARCH = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+sizes AS (SELECT row, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0),
+stats AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_all FROM sizes),
+wanted AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+counts AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY row, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, stats GROUP BY term),
+impacts AS (SELECT c.row, s.doc_id, c.term, w.w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * s.n * n_docs) // n_all))) AS x
+            FROM counts c JOIN sizes s USING (row) JOIN weights w USING (term), stats),
+scores AS (SELECT i.item_id, x.doc_id, x.row, CAST(sum(i.n * x.x) AS BIGINT) AS score FROM wanted i JOIN impacts x USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {ranked_search.TOP}"""
+
 # CRC-32 of a number's decimal digits, bit by bit.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
   lambda c, d: list_reduce(list_prepend(xor(c, d), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
@@ -93,5 +108,6 @@ ORACLE: dict[str, str] = {
     "op8_near_vectors": NEAR_VECTORS,
     "op9_chat": CHAT,
     "op10_ngram_join": NGRAM_JOIN,
+    "op11_ranked_search": RANKED_SEARCH,
     "op13_conversation_trie": CONVERSATION_TRIE,
 }

@@ -20,6 +20,7 @@ from pulse.llm.near_vectors import op8_near_vectors
 from pulse.llm.ngram_join import op10_ngram_join
 from pulse.llm.oracle import ORACLE
 from pulse.llm.packing import op1_packing
+from pulse.llm.ranked_search import op11_ranked_search
 from pulse.llm.sentencepieces import op5_sentencepiece
 from pulse.llm.sharding import op6_sharding
 from pulse.llm.toxicity import op7_toxicity
@@ -34,6 +35,6 @@ def _query(fn):
 
 QUERIES = {fn.__name__: _query(fn) for fn in (
     op1_packing, op2_ann, op3_html_text, op4_line_dedup, op5_sentencepiece, op6_sharding, op7_toxicity, op8_near_vectors, op9_chat, op10_ngram_join,
-    op12_byte_bpe, op13_conversation_trie)}
+    op11_ranked_search, op12_byte_bpe, op13_conversation_trie)}
 
 __all__ = ["ORACLE", "QUERIES"]

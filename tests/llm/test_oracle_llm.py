@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, name):
-    for table in ("documents", "embeddings", "conversations"):
+    for table in ("documents", "embeddings", "conversations", "benchmark"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = duckdb.sql(ORACLE[name])
     got = QUERIES[name](spark, SF)
