@@ -465,6 +465,7 @@ QUERIES.update({
     "stream_json_ingest": _streaming("stream_json_ingest"),
     "stream_metric_rows": _streaming("stream_metric_rows"),
     "stream_post_table": _streaming("stream_post_table"),
+    "stream_rejects": _streaming("stream_rejects"),
 })
 
 FLAGSHIP = "top_hashtags"

@@ -469,6 +469,7 @@ FROM posts WHERE likes > 1000"""),
     "stream_post_table": with_ctes("""
 SELECT row_key, salt, user_id, rev_ts, tweet_id, text, hashtags, likes, retweets, location,
        sentiment, sentiment_score, "timestamp", day FROM posts"""),
+    "stream_rejects": with_ctes("SELECT '{broken ' || tweet_id AS value, count(*) AS cnt FROM tweets WHERE text IS NULL GROUP BY tweet_id"),
     "stream_sentiment_counts": with_ctes("SELECT sentiment, count(*) AS cnt FROM posts GROUP BY sentiment"),
     "stream_alerts": with_ctes("""
 SELECT tweet_id, user_id, likes, "timestamp" FROM posts WHERE likes > 1000"""),

@@ -18,19 +18,18 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.functions.keys import HOUR_BUCKET_FORMAT
+from pulse.functions.keys import HOUR_BUCKET_FORMAT, day_partition, hour_bucket
 from pulse.plans import store
 from pulse.operators.aggregates import exploded_tags
 from pulse.operators.sentiment import score_sentiment
 from pulse.plans.serving import VIRAL_LIKES_ABOVE
-from pulse.schemas import ENRICHED_POST, RAW_POST
+from pulse.schemas import ENRICHED_POST, RAW_POST, STORED_POST
 from pulse.session import scratch_path
-from pulse.sources import fixture
-from pulse.sources.posts import parse_posts, to_payload
+from pulse.sources import files, fixture
+from pulse.sources.posts import decode, parse_posts, to_payload
 
 # Fixed values of the live job.
 TRIGGER_INTERVAL = "10 seconds"
@@ -116,74 +115,190 @@ def batch_metric_rows(batch: DataFrame) -> DataFrame:
     tags = exploded_tags(batch, "timestamp").groupBy(bucket, F.col("hashtag").alias("key")).agg(F.count("*").alias("value"))
     labels = batch.groupBy(bucket, F.col("sentiment").alias("key")).agg(F.count("*").alias("value"))
     viral = batch.filter(F.col("likes") > VIRAL_LIKES_ABOVE)
-    return (tags.select(F.lit("hashtag").alias("metric"), "bucket", "key", "value", none.alias("text"), none.alias("user_id"))
+    rows = (tags.select(F.lit("hashtag").alias("metric"), "bucket", "key", "value", none.alias("text"), none.alias("user_id"))
             .union(labels.select(F.lit("sentiment"), "bucket", "key", "value", none, none))
             .union(viral.select(F.lit("viral"), bucket, "tweet_id", F.col("likes").cast("long"),
                                 F.coalesce("text", F.lit("")), "user_id")))
+    return rows.withColumn("day", F.concat_ws("-", *[F.substring("bucket", at, n) for at, n in ((1, 4), (5, 2), (7, 2))]))
 
 
 LIVE_ROW = ("metric string, bucket string, key string, value long, text string, user_id string, "
-            "query_id string, batch_id long")
+            "day string, query_id string, batch_id long")
+KEY_ROW = "tweet_id string, day string, slot string, query_id string, batch_id long"
+REJECT_ROW = "value string, query_id string, batch_id long"
+BATCH_ROW = "messages long, rejects long, posts long, query_id string, batch_id long"
+SLOTS_APART = 4                # hours of a day up to which their folders are read one by one
+KEYS_PER_FILE = 1_000_000
+LIVE_FILES = 4                 # files, and batches, of a registered run over messages
 
 
-def read_live_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """The live metric rows of all queries and batches, one per (metric, bucket, key): counts of one window add up."""
+def beside(path: str, name: str) -> str:
+    """The folder of a table that belongs to the table at ``path``."""
+    return f"{path.rstrip('/')}-{name}"
+
+
+def read_live_metrics(spark: SparkSession, path: str, since_day: str | None = None) -> DataFrame:
+    """The live metric rows of all finished batches, one per (metric, bucket, key): counts of one window add up.
+
+    A batch that its query never finished is left out: its posts come again.  ``since_day`` prunes days.
+    """
     rows = spark.read.schema(LIVE_ROW).parquet(path)
+    if since_day is not None:
+        rows = rows.filter(F.col("day") >= since_day)
+    rows = rows.join(read_batches(spark, path).select("query_id", "batch_id"), ["query_id", "batch_id"], "left_semi")
     value = F.when(F.col("metric") == "viral", F.max("value")).otherwise(F.sum("value"))
     return rows.groupBy("metric", "bucket", "key").agg(value.alias("value"), F.max("text").alias("text"), F.max("user_id").alias("user_id"))
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).limit(1).select("path").count())
-    except AnalysisException:
-        return False
+def read_batches(spark: SparkSession, metrics_path: str) -> DataFrame:
+    """The log of finished batches: messages read, of them rejected, posts that were new."""
+    return spark.read.schema(BATCH_ROW).parquet(beside(metrics_path, "batches"))
+
+
+def read_rejects(spark: SparkSession, metrics_path: str) -> DataFrame:
+    """The dead letters of the live job: messages that are no posts, as they came."""
+    path = beside(metrics_path, "rejects")
+    return spark.read.schema(REJECT_ROW).parquet(path) if files.exists(spark, path) else spark.createDataFrame([], REJECT_ROW)
+
+
+def event_slot(ts_millis="timestamp"):
+    """The hour of event time under which a post's key is kept."""
+    return hour_bucket(ts_millis)
+
+
+def _day(slot: str) -> str:
+    return f"{slot[:4]}-{slot[4:6]}-{slot[6:8]}"
+
+
+def unfinished_batches(spark: SparkSession, log_path: str) -> list[tuple[str, int]]:
+    """Batches that were begun and are not in the log: at most one a query, as a query works on one at a time."""
+    begun = beside(log_path, "begun")
+    last = [(q, max(map(int, files.values(spark, f"{begun}/query_id={q}", "batch_id")), default=-1)) for q in files.values(spark, begun, "query_id")]
+    return [(q, b) for q, b in last if b >= 0 and not files.exists(spark, f"{log_path}/query_id={q}/batch_id={b}")]
+
+
+def _begin(spark: SparkSession, log_path: str, own: str, batch_id: int) -> None:
+    """Mark a batch as begun; the mark of the query's batch before is finished and goes."""
+    mine = f"{beside(log_path, 'begun')}/query_id={own}"
+    files.make_folder(spark, f"{mine}/batch_id={batch_id}")
+    for b in files.values(spark, mine, "batch_id"):
+        if int(b) < batch_id:
+            files.delete(spark, f"{mine}/batch_id={b}")
+
+
+def written_keys(spark: SparkSession, keys_path: str, log_path: str, slots: list[str], own: str, batch_id: int) -> DataFrame | None:
+    """Keys that earlier batches of any query have written for some slots of event time.
+
+    Only these slots' folders are listed and read (the day's folder, where a batch spreads over most of a
+    day), so a live batch costs the same however many there were before.  Unfinished batches of other queries are left out, and
+    this query's own from ``batch_id`` on: a batch done again is held against those before it.
+    """
+    by_day: dict[str, list[str]] = {}
+    for slot in slots:
+        by_day.setdefault(f"{keys_path}/day={_day(slot)}", []).append(slot)
+    folders = [f for day, inside in by_day.items() for f in ([day] if len(inside) > SLOTS_APART else [f"{day}/slot={x}" for x in inside])]
+    folders = [f for f in folders if files.exists(spark, f)]
+    if not folders:
+        return None
+    keys = files.read_partitions(spark, keys_path, folders, KEY_ROW).filter(F.col("slot").isin(slots))
+    keys = keys.filter(~((F.col("query_id") == own) & (F.col("batch_id") >= batch_id)))
+    for q, b in unfinished_batches(spark, log_path):
+        if q != own:
+            keys = keys.filter(~((F.col("query_id") == q) & (F.col("batch_id") == b)))
+    return keys
+
+
+def _put(df: DataFrame, path: str, own: str, batch_id: int, by: tuple[str, ...] = (), rebalance: bool = True) -> None:
+    """Replace this batch's partition of a table: files of about the advisory size, whatever the batch's partitions were."""
+    ((df.hint("rebalance", *by) if rebalance else df).withColumn("query_id", F.lit(own)).withColumn("batch_id", F.lit(batch_id))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "query_id", "batch_id").parquet(path))
+
+
+def _log(spark: SparkSession, path: str, own: str, batch_id: int, messages: int, rejects: int, posts: int) -> None:
+    """The batch's row in a log of finished batches, its last write."""
+    _put(spark.createDataFrame([(messages, rejects, posts)], "messages long, rejects long, posts long"), path, own, batch_id)
+
+
+def _clear(spark: SparkSession, own: str, batch_id: int, tables: list[str]) -> None:
+    """Remove what an earlier try of a batch has left, its log row (the first of ``tables``) first; nothing, if there was none."""
+    at = f"query_id={own}/batch_id={batch_id}"
+    if any(files.exists(spark, f"{t}/{at}") for t in tables[:3]):
+        for t in tables:
+            files.delete(spark, f"{t}/{at}")
+
+
+def _query_id(spark: SparkSession) -> str:
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
 def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str | None = None, query_id: str | None = None):
-    """``foreachBatch`` function writing metric rows and the enriched payload.
+    """``foreachBatch`` function for raw messages (a ``value`` column) or posts: metric rows, enriched payload, rejects, keys.
 
-    The batch is persisted once and read by every write; each write replaces
+    The batch is decoded and scored once, persisted, and read by every write; each write replaces
     the (query id, batch id) partition, so a replayed batch is idempotent.  The query's id
-    is kept in its checkpoint: a query started on a new checkpoint has another.  Posts that
-    any earlier batch of the query wrote are redeliveries and left out, however late they come: each batch
-    reads the keys written so far and only shuffles those that it holds itself.
+    is kept in its checkpoint: a query started on a new checkpoint has another.
+
+    Posts that any finished batch of any query has written are redeliveries and left out, however late
+    they come and whatever checkpoint they come through.  Keys lie under their slot of event time (a
+    post sent again has its time still), so a batch looks at its own slots only (:func:`written_keys`).
+    The last write is the batch's row in the log, with the numbers of messages, rejects and new posts: without
+    it the batch's rows and keys do not count.  One query writes at a time.
     """
+    keys_path, log_path, rejects_path = beside(payload_path, "keys"), beside(metrics_path, "batches"), beside(metrics_path, "rejects")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        own = query_id or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
-        batch = batch.dropDuplicates(["tweet_id"])
-        if batch_id and _has_files(spark, payload_path):
-            written = spark.read.schema("key string, value string, query_id string, batch_id long").parquet(payload_path)
-            earlier = written.filter((F.col("query_id") == own) & (F.col("batch_id") < batch_id)).select(F.col("key").alias("tweet_id"))
-            batch = batch.join(earlier.join(batch.select("tweet_id"), "tweet_id", "left_semi"), "tweet_id", "left_anti")
-        batch = batch.persist()
-
-        def put(df: DataFrame, path: str) -> None:
-            (df.withColumn("query_id", F.lit(own)).withColumn("batch_id", F.lit(batch_id))
-               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("query_id", "batch_id").parquet(path))
-
+        own = query_id or _query_id(spark)
+        if "value" in batch.columns:
+            decoded = decode(batch)
+        else:
+            decoded = batch.select("*", F.lit(None).cast("string").alias("_raw"), F.lit(True).alias("_valid"))
+        decoded = decoded.persist()
+        fresh = None
         try:
-            if batch.isEmpty():          # an empty micro-batch writes nothing
+            # one pass over the batch: its numbers, and its slots of event time (24 a day)
+            came = decoded.groupBy("_valid", event_slot().alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
+            messages, rejects = sum(r.n for r in came), sum(r.n for r in came if not r["_valid"])
+            slots = sorted(r.slot for r in came if r["_valid"])
+            if not messages:                     # an empty micro-batch writes nothing
                 return
-            put(batch_metric_rows(batch), metrics_path)
-            payload = to_payload(batch)
-            # A topic has no overwrite: a replayed batch republishes (at-least-once), and
-            # consumers key their tables by post, so a repeat changes nothing.
-            if kafka_bootstrap:
-                (payload.write.format("kafka").option("kafka.bootstrap.servers", kafka_bootstrap)
+            _clear(spark, own, batch_id, [log_path, rejects_path, payload_path, *(f"{keys_path}/day={_day(x)}/slot={x}" for x in slots),
+                                          *sorted({f"{metrics_path}/day={_day(x)}" for x in slots})])
+            _begin(spark, log_path, own, batch_id)
+            if rejects:
+                _put(decoded.filter(~F.col("_valid")).select(F.col("_raw").alias("value")), rejects_path, own, batch_id)
+            posts = decoded.filter("_valid").drop("_raw", "_valid").dropDuplicates(["tweet_id"])
+            earlier = written_keys(spark, keys_path, log_path, slots, own, batch_id)
+            if earlier is not None:
+                posts = posts.join(earlier.select("tweet_id"), "tweet_id", "left_anti")
+            fresh = (posts if "sentiment" in posts.columns else live_posts(posts)).persist()
+            n_posts = fresh.count() if slots else 0
+            if n_posts:
+                _put(to_payload(fresh), payload_path, own, batch_id)
+                # A topic has no overwrite: a replayed batch republishes (at-least-once), and
+                # consumers key their tables by post, so a repeat changes nothing.
+                if kafka_bootstrap:
+                    (to_payload(fresh).write.format("kafka").option("kafka.bootstrap.servers", kafka_bootstrap)
                         .option("topic", ENRICHED_TOPIC).save())
-            put(payload, payload_path)
+                _put(batch_metric_rows(fresh), metrics_path, own, batch_id, ("day",))
+                # a file per slot, more for one that holds much of a large batch
+                salt = F.pmod(F.xxhash64("tweet_id"), F.lit(1 + max(r.n for r in came) // KEYS_PER_FILE))
+                keys = fresh.select("tweet_id", day_partition().alias("day"), event_slot().alias("slot"))
+                _put(keys.repartition(min(len(slots), spark.sparkContext.defaultParallelism), "slot", salt), keys_path, own, batch_id,
+                     ("day", "slot"), False)
+            _log(spark, log_path, own, batch_id, messages, rejects, n_posts)
         finally:
-            batch.unpersist()
+            decoded.unpersist()
+            if fresh is not None:
+                fresh.unpersist()
     return write
 
 
-def start_live_job(posts: DataFrame, metrics_path: str, checkpoint: str,
+def start_live_job(stream: DataFrame, metrics_path: str, checkpoint: str,
                    payload_path: str, kafka_bootstrap: str | None = None,
                    available_now: bool = False):
-    """Start the live job; 10-second trigger, or ``availableNow`` for a bounded run."""
-    writer = (live_posts(posts).writeStream
+    """Start the live job on raw messages or posts; 10-second trigger, or ``availableNow`` for a bounded run."""
+    writer = (stream.writeStream
               .foreachBatch(make_batch_writer(metrics_path, payload_path, kafka_bootstrap))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \
@@ -193,34 +308,63 @@ def start_live_job(posts: DataFrame, metrics_path: str, checkpoint: str,
 
 def run_from_topics(spark: SparkSession, bootstrap: str, metrics_path: str, payload_path: str, inbox: str, checkpoint: str):
     """The deployed wiring: raw topic -> live job -> enriched topic -> post-table inbox (two queries)."""
-    posts, _rejects = parse_stream(kafka_messages(spark, bootstrap))
-    live = start_live_job(posts, metrics_path, f"{checkpoint}/live", payload_path, kafka_bootstrap=bootstrap)
-    enriched, _ = parse_posts(kafka_messages(spark, bootstrap, ENRICHED_TOPIC), "value", ENRICHED_POST)
-    return live, start_post_table_writer(enriched, inbox, f"{checkpoint}/posts")
+    live = start_live_job(kafka_messages(spark, bootstrap), metrics_path, f"{checkpoint}/live", payload_path, kafka_bootstrap=bootstrap)
+    return live, start_post_table_writer(kafka_messages(spark, bootstrap, ENRICHED_TOPIC), inbox, f"{checkpoint}/posts")
+
+
+def make_inbox_writer(inbox: str, query_id: str | None = None):
+    """``foreachBatch`` function of the second consumer: post-table rows by day, rejects beside them, a log of finished batches."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = query_id or _query_id(spark)
+        decoded = decode(batch, schema=ENRICHED_POST) if "value" in batch.columns else \
+            batch.select("*", F.lit(None).cast("string").alias("_raw"), F.lit(True).alias("_valid"))
+        decoded = decoded.persist()
+        try:
+            came = dict(decoded.groupBy("_valid").agg(F.count(F.lit(1))).collect())
+            good, rejects = came.get(True, 0), came.get(False, 0)
+            if good:
+                _put(store.stored_posts(decoded.filter("_valid")), inbox, own, batch_id)
+            if rejects:
+                _put(decoded.filter(~F.col("_valid")).select(F.col("_raw").alias("value")), beside(inbox, "rejects"), own, batch_id)
+            if good + rejects:
+                _log(spark, beside(inbox, "batches"), own, batch_id, good + rejects, rejects, good)
+        finally:
+            decoded.unpersist()
+    return write
 
 
 def start_post_table_writer(enriched: DataFrame, inbox: str, checkpoint: str,
                             available_now: bool = False):
-    """Second consumer of the enriched stream: append post-table rows by ``day`` to the table's inbox.
+    """Second consumer of the enriched stream (messages or posts): batches of post-table rows in the table's inbox.
 
-    Its own checkpoint, so it progresses independently of the live job; the
-    file sink's commit log makes the appends exactly-once.  The inbox holds
-    small unsorted files; :func:`store_inbox` puts them into the table.
+    Its own checkpoint, so it progresses independently of the live job.  A batch replaces its own folder
+    and is logged when it is complete; :func:`store_inbox` puts finished batches into the table.
     """
-    rows = store.stored_posts(enriched)
-    w = (rows.writeStream.outputMode("append").format("parquet").partitionBy("day")
-         .option("path", inbox).option("checkpointLocation", checkpoint))
+    w = (enriched.writeStream.foreachBatch(make_inbox_writer(inbox)).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=TRIGGER_INTERVAL)
     return w.start()
 
 
-def store_inbox(spark: SparkSession, inbox: str, table: str) -> None:
-    """Compaction: upsert the inbox into the post table by key, leaving large sorted files and no repeats."""
-    rows = store.read_post_table(spark, inbox).dropDuplicates(["row_key", "tweet_id"])
-    if _has_files(spark, table):
-        store.upsert_post_table(spark, rows, table)
-    else:
-        store.write_post_table(rows, table)
+def store_inbox(spark: SparkSession, inbox: str, table: str) -> int:
+    """Compaction: upsert the inbox's finished batches into the post table by key; returns how many.
+
+    Only what has come since the last run is read, and only the days of those posts are rewritten: a batch leaves the
+    inbox when it is in the table.  A run that breaks off before that is done again, which changes nothing.
+    """
+    finished = [f"query_id={q}/batch_id={b}" for q in files.values(spark, inbox, "query_id")
+                for b in files.values(spark, f"{inbox}/query_id={q}", "batch_id")
+                if files.exists(spark, f"{beside(inbox, 'batches')}/query_id={q}/batch_id={b}")]
+    if finished:
+        rows = files.read_partitions(spark, inbox, [f"{inbox}/{f}" for f in finished], STORED_POST)
+        rows = rows.select(*STORED_POST.names).dropDuplicates(["row_key", "tweet_id"])
+        if files.exists(spark, table):
+            store.upsert_post_table(spark, rows, table)
+        else:
+            store.write_post_table(rows, table)
+        for f in finished:
+            files.delete(spark, f"{inbox}/{f}")
+    return len(finished)
 
 
 def start_alerts(posts: DataFrame, checkpoint: str, kafka_bootstrap: str | None = None,
@@ -261,12 +405,27 @@ def stream_hourly_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_append(spark, hourly_hashtag_counts(posts), "stream_hourly_hashtags")
 
 
-def _run_live(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
-    """A bounded run of the live job; the paths of its metric rows and payload, and a folder beside them."""
+def write_messages(spark: SparkSession, sf_dir: str, folder: str, n_files: int) -> None:
+    """The posts view as JSON lines in ``n_files`` files by time: a message per post, and beside those of posts without text a malformed one."""
+    posts = fixture.tweets(spark, sf_dir)
+    good = F.to_json(F.struct(*[F.col(f.name) for f in RAW_POST.fields]))
+    broken = F.when(F.col("text").isNull(), F.concat(F.lit("{broken "), F.col("tweet_id")))
+    messages = posts.select("timestamp", F.explode(F.array_compact(F.array(good, broken))).alias("value"))
+    messages.repartitionByRange(n_files, "timestamp").select("value").write.mode("overwrite").text(folder)
+
+
+def _run_live(spark: SparkSession, sf_dir: str, again: bool = True) -> tuple[str, str, str]:
+    """A bounded run of the live job over messages, in several batches; the paths of its metric rows and payload, and a folder beside them.
+
+    ``again``: then the job is started anew on another checkpoint, to which every message comes a second time.
+    """
     base = scratch_path(spark, "stream_live")
-    metrics, payload = os.path.join(base, "metrics"), os.path.join(base, "payload")
-    start_live_job(event_posts_stream(spark, sf_dir), metrics, os.path.join(base, "checkpoint"), payload,
+    inbox, metrics, payload = (os.path.join(base, x) for x in ("messages", "metrics", "payload"))
+    write_messages(spark, sf_dir, inbox, LIVE_FILES)
+    start_live_job(file_messages(spark, inbox, max_files_per_trigger=1), metrics, os.path.join(base, "checkpoint"), payload,
                    available_now=True).awaitTermination()
+    if again:
+        start_live_job(file_messages(spark, inbox), metrics, os.path.join(base, "checkpoint-2"), payload, available_now=True).awaitTermination()
     return metrics, payload, base
 
 
@@ -286,9 +445,8 @@ def stream_post_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live job -> enriched payload -> second consumer -> inbox -> post table, read back."""
     _, payload, base = _run_live(spark, sf_dir)
     messages = spark.readStream.schema("key string, value string, query_id string, batch_id long").parquet(payload)
-    enriched, _rejects = parse_posts(messages, "value", ENRICHED_POST)
     inbox, table = os.path.join(base, "inbox"), os.path.join(base, "posts")
-    start_post_table_writer(enriched, inbox, os.path.join(base, "checkpoint-posts"), available_now=True).awaitTermination()
+    start_post_table_writer(messages.select("value"), inbox, os.path.join(base, "checkpoint-posts"), available_now=True).awaitTermination()
     store_inbox(spark, inbox, table)
     return store.read_post_table(spark, table)
 
@@ -299,20 +457,24 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_append(spark, viral_alerts(posts), "stream_alerts")
 
 
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live job's dead letters."""
+    rejects = read_rejects(spark, _run_live(spark, sf_dir, again=False)[0])
+    return rejects.groupBy("value").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def stream_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ingest path end to end: JSON messages -> parse + quarantine -> hourly counts.
+    """The ingest path end to end: JSON messages -> parse -> hourly counts; malformed messages go to a folder of their own.
 
-    The posts view is written once as JSON lines (a message per post, and beside those of posts
-    without text a malformed one), then read back by a file stream: rejects are
-    split off, valid posts are watermarked, de-duplicated and counted per event-time hour.
+    The posts view is written once as JSON lines, then read back by file streams: one appends the rejects,
+    one watermarks, de-duplicates and counts valid posts per event-time hour.
     """
     base = scratch_path(spark, "stream_json")
     inbox = os.path.join(base, "in")
-    posts = fixture.tweets(spark, sf_dir)
-    good = F.to_json(F.struct(*[F.col(f.name) for f in RAW_POST.fields]))
-    broken = F.when(F.col("text").isNull(), F.concat(F.lit("{broken "), F.col("tweet_id")))
-    messages = posts.select(F.explode(F.array_compact(F.array(good, broken))).alias("value"))
-    messages.write.mode("overwrite").text(inbox)
-    parsed, _rejects = parse_stream(file_messages(spark, inbox))
+    write_messages(spark, sf_dir, inbox, LIVE_FILES)
+    parsed, rejects = parse_stream(file_messages(spark, inbox))
+    dead = start_append(rejects, os.path.join(base, "rejects"), os.path.join(base, "checkpoint-rejects"))
     live = with_event_time(parsed).dropDuplicatesWithinWatermark(["tweet_id"])
-    return _run_append(spark, hourly_hashtag_counts(live), "stream_json_counts")
+    counts = _run_append(spark, hourly_hashtag_counts(live), "stream_json_counts")
+    dead.awaitTermination()
+    return counts

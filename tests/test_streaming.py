@@ -164,3 +164,98 @@ def test_second_consumer_and_alerts(spark, tmp_dir):
     q2 = jobs.start_alerts(live, os.path.join(tmp_dir, "ck2"), path=alerts, available_now=True)
     q2.awaitTermination()
     assert [(r.tweet_id, r.likes) for r in spark.read.parquet(alerts).collect()] == [("1", 3000)]
+
+
+def _live(spark, src, tables, checkpoint, **options):
+    jobs.start_live_job(jobs.file_messages(spark, src, **options), tables[0], checkpoint, tables[1], available_now=True).awaitTermination()
+
+
+def _n(spark, metrics):
+    return jobs.read_live_metrics(spark, metrics).filter("metric = 'sentiment'").agg(F.sum("value")).first()[0]
+
+
+def test_a_new_checkpoint_over_the_same_messages_adds_nothing(spark, tmp_dir):
+    src, t0, tables = os.path.join(tmp_dir, "in"), 1_704_067_200_000, (os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "p"))
+    for i in range(5):
+        _write_lines(src, f"f{i}.json", [_post(f"{i}-{k}", t0 + i * HOUR + k * 60_000) for k in range(20)], time.time() + i)
+    _live(spark, src, tables, os.path.join(tmp_dir, "ck"), max_files_per_trigger=1)
+    assert _n(spark, tables[0]) == 100
+    for n in (2, 3):
+        _live(spark, src, tables, os.path.join(tmp_dir, f"ck{n}"), max_files_per_trigger=n)
+        assert _n(spark, tables[0]) == 100 and spark.read.parquet(tables[1]).count() == 100
+    _write_lines(src, "f9.json", [_post("new", t0), _post("0-0", t0)], time.time() + 100)
+    _live(spark, src, tables, os.path.join(tmp_dir, "ck"))
+    assert _n(spark, tables[0]) == 101
+    log = jobs.read_batches(spark, tables[0])
+    assert log.select("query_id").distinct().count() == 3
+    assert log.agg(F.sum("posts"), F.sum("messages")).first()[:] == (101, 302)
+
+
+def test_a_batch_reads_the_keys_of_its_own_slots_only(spark, tmp_dir):
+    t0, tables = 1_704_067_200_000, (os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "p"))
+    write = jobs.make_batch_writer(*tables, query_id="one")
+    for i in range(12):
+        posts = spark.createDataFrame([_post(f"{i}-{k}", t0 + i * HOUR + k) for k in range(3)], RAW_POST)
+        write(posts, i)
+    keys, log = jobs.beside(tables[1], "keys"), jobs.beside(tables[0], "batches")
+    slots = ["2024010103", "2024010106"]
+    found = jobs.written_keys(spark, keys, log, slots, "two", 0)
+    assert sorted(r.tweet_id for r in found.collect()) == [f"{i}-{k}" for i in (3, 6) for k in range(3)]
+    assert len(found.inputFiles()) == 2 and all(any(f"slot={s}/" in f for s in slots) for f in found.inputFiles())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "slot#" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert jobs.written_keys(spark, keys, log, ["2024030100"], "two", 0) is None
+    # a batch done again is held against those before it only
+    assert jobs.written_keys(spark, keys, log, ["2024010103"], "one", 3).count() == 0
+    assert jobs.written_keys(spark, keys, log, ["2024010103"], "one", 4).count() == 3
+
+
+def test_a_batch_that_was_never_finished_does_not_count(spark, tmp_dir):
+    from pulse.sources import files
+    t0, tables = 1_704_067_200_000, (os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "p"))
+    posts = spark.createDataFrame([_post("a", t0), _post("b", t0 + 1)], RAW_POST)
+    jobs.make_batch_writer(*tables, query_id="one")(posts, 0)
+    jobs.make_batch_writer(*tables, query_id="one")(posts.limit(0).union(spark.createDataFrame([_post("c", t0 + 2)], RAW_POST)), 1)
+    files.delete(spark, f"{jobs.beside(tables[0], 'batches')}/query_id=one/batch_id=1")     # as if it had broken off before its last write
+    assert _n(spark, tables[0]) == 2
+    again = spark.createDataFrame([_post("a", t0), _post("c", t0 + 2)], RAW_POST)
+    jobs.make_batch_writer(*tables, query_id="two")(again, 0)
+    assert _n(spark, tables[0]) == 3
+    # the broken batch done again finds its post written by the other query
+    jobs.make_batch_writer(*tables, query_id="one")(spark.createDataFrame([_post("c", t0 + 2)], RAW_POST), 1)
+    assert _n(spark, tables[0]) == 3
+    assert jobs.read_batches(spark, tables[0]).filter("query_id = 'one' AND batch_id = 1").first().posts == 0
+
+
+def test_dead_letters_and_good_posts_are_all_messages_of_every_batch(spark, tmp_dir):
+    src, t0, tables = os.path.join(tmp_dir, "in"), 1_704_067_200_000, (os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "p"))
+    keyless = {k: v for k, v in _post("x", t0).items() if k != "user_id"}
+    _write_lines(src, "f0.json", [_post("1", t0), "{broken", _post("2", t0), json.dumps(keyless)], time.time())
+    _write_lines(src, "f1.json", ["{broken", "", "not json"], time.time() + 5)
+    _write_lines(src, "f2.json", [_post("1", t0), _post("3", t0)], time.time() + 10)
+    _live(spark, src, tables, os.path.join(tmp_dir, "ck"), max_files_per_trigger=1)
+    log = [tuple(r) for r in jobs.read_batches(spark, tables[0]).orderBy("batch_id").select("messages", "rejects", "posts").collect()]
+    assert log == [(4, 2, 2), (3, 3, 0), (2, 0, 1)]
+    rejects = sorted((r.batch_id, r.value) for r in jobs.read_rejects(spark, tables[0]).collect())
+    assert rejects == sorted([(0, "{broken"), (0, json.dumps(keyless)), (1, "{broken"), (1, ""), (1, "not json")])
+
+
+def test_compaction_reads_new_batches_and_rewrites_their_days_only(spark, tmp_dir):
+    from pulse.sources import files
+    inbox, table, t0 = os.path.join(tmp_dir, "inbox"), os.path.join(tmp_dir, "table"), 1_704_067_200_000
+    write = jobs.make_inbox_writer(inbox, query_id="q")
+    days = spark.createDataFrame([_post(str(d), t0 + d * DAY_MS) for d in range(6)], RAW_POST)
+    write(jobs.live_posts(days), 0)
+    write(jobs.live_posts(days.limit(1)), 1)
+    assert jobs.store_inbox(spark, inbox, table) == 2 and jobs.store_inbox(spark, inbox, table) == 0
+    before = set(files.data_files(spark, table))
+    write(jobs.live_posts(spark.createDataFrame([_post("new", t0 + 2 * DAY_MS + 5)], RAW_POST)), 2)
+    unfinished = jobs.live_posts(spark.createDataFrame([_post("half", t0)], RAW_POST))
+    write(unfinished, 3)
+    files.delete(spark, f"{jobs.beside(inbox, 'batches')}/query_id=q/batch_id=3")
+    assert jobs.store_inbox(spark, inbox, table) == 1
+    gone = before - set(files.data_files(spark, table))
+    assert gone and all("day=2024-01-03" in path for path, *_ in gone)
+    assert sorted(r.tweet_id for r in store.read_post_table(spark, table).collect()) == ["0", "1", "2", "3", "4", "5", "new"]
+    write(unfinished, 3)
+    assert jobs.store_inbox(spark, inbox, table) == 1 and store.read_post_table(spark, table).count() == 8
