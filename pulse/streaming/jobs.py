@@ -129,6 +129,7 @@ REJECT_ROW = "value string, query_id string, batch_id long"
 BATCH_ROW = "messages long, rejects long, posts long, query_id string, batch_id long"
 SLOTS_APART = 4                # hours of a day up to which their folders are read one by one
 KEYS_PER_FILE = 1_000_000
+SLOT_HOURS = 1                 # hours of event time in one folder of the key index: a live batch touches one or two; divides 24
 LIVE_FILES = 4                 # files, and batches, of a registered run over messages
 
 
@@ -161,9 +162,10 @@ def read_rejects(spark: SparkSession, metrics_path: str) -> DataFrame:
     return spark.read.schema(REJECT_ROW).parquet(path) if files.exists(spark, path) else spark.createDataFrame([], REJECT_ROW)
 
 
-def event_slot(ts_millis="timestamp"):
-    """The hour of event time under which a post's key is kept."""
-    return hour_bucket(ts_millis)
+def event_slot(hours: int = SLOT_HOURS, ts_millis="timestamp"):
+    """The hours of event time under which a post's key is kept, as their first one."""
+    width = hours * 3_600_000
+    return hour_bucket(F.floor(F.col(ts_millis) / width) * width)
 
 
 def _day(slot: str) -> str:
@@ -231,7 +233,8 @@ def _query_id(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
-def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str | None = None, query_id: str | None = None):
+def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str | None = None, query_id: str | None = None,
+                      slot_hours: int = SLOT_HOURS):
     """``foreachBatch`` function for raw messages (a ``value`` column) or posts: metric rows, enriched payload, rejects, keys.
 
     The batch is decoded and scored once, persisted, and read by every write; each write replaces
@@ -242,7 +245,8 @@ def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str
     they come and whatever checkpoint they come through.  Keys lie under their slot of event time (a
     post sent again has its time still), so a batch looks at its own slots only (:func:`written_keys`).
     The last write is the batch's row in the log, with the numbers of messages, rejects and new posts: without
-    it the batch's rows and keys do not count.  One query writes at a time.
+    it the batch's rows and keys do not count.  One query writes at a time, and all that share
+    tables use one ``slot_hours`` (wider for batches that span many days, as when history is loaded).
     """
     keys_path, log_path, rejects_path = beside(payload_path, "keys"), beside(metrics_path, "batches"), beside(metrics_path, "rejects")
 
@@ -257,7 +261,7 @@ def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str
         fresh = None
         try:
             # one pass over the batch: its numbers, and its slots of event time (24 a day)
-            came = decoded.groupBy("_valid", event_slot().alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
+            came = decoded.groupBy("_valid", event_slot(slot_hours).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
             messages, rejects = sum(r.n for r in came), sum(r.n for r in came if not r["_valid"])
             slots = sorted(r.slot for r in came if r["_valid"])
             if not messages:                     # an empty micro-batch writes nothing
@@ -283,7 +287,7 @@ def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str
                 _put(batch_metric_rows(fresh), metrics_path, own, batch_id, ("day",))
                 # a file per slot, more for one that holds much of a large batch
                 salt = F.pmod(F.xxhash64("tweet_id"), F.lit(1 + max(r.n for r in came) // KEYS_PER_FILE))
-                keys = fresh.select("tweet_id", day_partition().alias("day"), event_slot().alias("slot"))
+                keys = fresh.select("tweet_id", day_partition().alias("day"), event_slot(slot_hours).alias("slot"))
                 _put(keys.repartition(min(len(slots), spark.sparkContext.defaultParallelism), "slot", salt), keys_path, own, batch_id,
                      ("day", "slot"), False)
             _log(spark, log_path, own, batch_id, messages, rejects, n_posts)
@@ -296,10 +300,10 @@ def make_batch_writer(metrics_path: str, payload_path: str, kafka_bootstrap: str
 
 def start_live_job(stream: DataFrame, metrics_path: str, checkpoint: str,
                    payload_path: str, kafka_bootstrap: str | None = None,
-                   available_now: bool = False):
+                   available_now: bool = False, slot_hours: int = SLOT_HOURS):
     """Start the live job on raw messages or posts; 10-second trigger, or ``availableNow`` for a bounded run."""
     writer = (stream.writeStream
-              .foreachBatch(make_batch_writer(metrics_path, payload_path, kafka_bootstrap))
+              .foreachBatch(make_batch_writer(metrics_path, payload_path, kafka_bootstrap, slot_hours=slot_hours))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime=TRIGGER_INTERVAL)
@@ -423,9 +427,10 @@ def _run_live(spark: SparkSession, sf_dir: str, again: bool = True) -> tuple[str
     inbox, metrics, payload = (os.path.join(base, x) for x in ("messages", "metrics", "payload"))
     write_messages(spark, sf_dir, inbox, LIVE_FILES)
     start_live_job(file_messages(spark, inbox, max_files_per_trigger=1), metrics, os.path.join(base, "checkpoint"), payload,
-                   available_now=True).awaitTermination()
+                   available_now=True, slot_hours=24).awaitTermination()
     if again:
-        start_live_job(file_messages(spark, inbox), metrics, os.path.join(base, "checkpoint-2"), payload, available_now=True).awaitTermination()
+        start_live_job(file_messages(spark, inbox), metrics, os.path.join(base, "checkpoint-2"), payload, available_now=True,
+                       slot_hours=24).awaitTermination()
     return metrics, payload, base
 
 
