@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulse.functions.keys import hour_bucket
 from pulse.operators.sentiment import score_sentiment
-from pulse.plans import store
+from pulse.plans import store, user_tiers
 from pulse.schemas import ENRICHED_POST
 from pulse.sources import fixture
 
@@ -47,11 +47,14 @@ def hourly_job(spark: SparkSession, posts: DataFrame, as_of_ms: int, metrics_pat
     window = store.posts_in_hours(posts, as_of_ms, lookback_ms)
     store.write_metric_rows(store.metric_rows(window), metrics_path)
     hours = window.withColumn("bucket", hour_bucket("timestamp"))
-    store.write_user_counts(store.user_counts(hours, by=("bucket",)), users_path)
+    user_tiers.write_hours(spark, store.user_counts(hours, by=("bucket",)), users_path)
 
 
 def read_users(spark: SparkSession, users_path: str, top_tags: int | None = None) -> DataFrame:
-    """The users table that the hourly runs have written: totals over all hours."""
+    """The users table that the hourly runs have written: totals over all hours, each read as it is.
+
+    :func:`pulse.plans.user_tiers.users` gives the same from folded days.
+    """
     return store.users_from_counts(store.read_user_counts(spark, users_path), top_tags)
 
 

@@ -43,6 +43,10 @@ def _as_of(spark, sf) -> int:
     return fixture.max_timestamp(spark, sf)
 
 
+def _stored_as_of(spark, sf) -> int:
+    return stored.as_of(spark, sf)
+
+
 def _table(spark, sf):
     return stored.posts(spark, sf)
 
@@ -52,7 +56,7 @@ def _top10(spark, sf):
 
 
 def _feed(spark, sf):
-    return serving.recent_posts(_table(spark, sf), 50)
+    return serving.recent_posts(store.newest_days(spark, stored.posts_path(spark, sf), 50), 50)
 
 
 def _all_feed(spark, sf):
@@ -258,12 +262,12 @@ def _stored_metrics(spark, sf):
 
 def _live_metrics(spark, sf):
     """The newest snapshot among the hours that have not expired (a filter on the partition column)."""
-    return store.latest_metrics(_stored_metrics(spark, sf), _as_of(spark, sf))
+    return store.latest_metrics(_stored_metrics(spark, sf), _stored_as_of(spark, sf))
 
 
 def _two_runs(spark, sf):
     """Two runs of the hourly job, 20 minutes apart, over the stored posts; the paths written."""
-    base, as_of = scratch_path(spark, "hourly"), _as_of(spark, sf)
+    base, as_of = scratch_path(spark, "hourly"), _stored_as_of(spark, sf)
     paths = (f"{base}/metrics", f"{base}/users")
     for now in (as_of - 20 * 60_000, as_of):
         batch.hourly_job(spark, _table(spark, sf), now, *paths)
@@ -287,7 +291,7 @@ def q_latest_metrics_merged(spark, sf):
 
 
 def q_retention_metrics(spark, sf):
-    return store.apply_metric_retention(_stored_metrics(spark, sf), _as_of(spark, sf))
+    return store.apply_metric_retention(_stored_metrics(spark, sf), _stored_as_of(spark, sf))
 
 
 def q_retention_posts(spark, sf):
@@ -354,11 +358,11 @@ def q_hashtag_history_from_metrics(spark, sf):
 
 
 def q_sentiment_timeline_from_metrics(spark, sf):
-    return serving.sentiment_timeline_from_metrics(_stored_metrics(spark, sf), _as_of(spark, sf), 24)
+    return serving.sentiment_timeline_from_metrics(_stored_metrics(spark, sf), _stored_as_of(spark, sf), 24)
 
 
 def q_trending_latest(spark, sf):
-    return serving.trending_latest(_table(spark, sf), 10, _as_of(spark, sf))
+    return serving.trending_latest(_table(spark, sf), 10, _stored_as_of(spark, sf))
 
 
 def q_trending_from_metrics(spark, sf):
@@ -387,15 +391,15 @@ def q_trending_filter(spark, sf):
 
 
 def q_sentiment_timeline(spark, sf):
-    return serving.sentiment_timeline(_table(spark, sf), _as_of(spark, sf), 24)
+    return serving.sentiment_timeline(_table(spark, sf), _stored_as_of(spark, sf), 24)
 
 
 def q_sentiment_timeline_filled(spark, sf):
-    return serving.sentiment_timeline_filled(_table(spark, sf), _as_of(spark, sf), 24)
+    return serving.sentiment_timeline_filled(_table(spark, sf), _stored_as_of(spark, sf), 24)
 
 
 def q_top_users_served(spark, sf):
-    return serving.top_users(stored.users(spark, sf), 10)
+    return serving.top_users(stored.user_totals(spark, sf), 10)
 
 
 def q_user_detail(spark, sf):

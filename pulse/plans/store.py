@@ -18,6 +18,7 @@ from pulse.functions.tags import clean_tags
 from pulse.operators.aggregates import TOP_HASHTAGS, exploded_tags
 from pulse.schemas import METRIC_ROW, POST_FAMILIES, STORED_POST
 from pulse.session import scratch_path
+from pulse.sources import files
 
 # Time to live of stored cells (seconds), per the table definitions.
 ANALYSIS_TTL_S = 7_776_000     # 90 days, post sentiment cells only
@@ -89,6 +90,25 @@ def read_post_table(spark: SparkSession, path: str, since_ms: int | None = None)
     return posts_since(df, since_ms) if since_ms is not None else df
 
 
+def newest_days(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """Posts of the newest ``day`` partitions that hold ``n`` posts together; older days are neither listed nor read.
+
+    Days are walked from the newest; a day's posts are counted in its files' footers.
+    """
+    folders, found = [], 0
+    for day in sorted(files.values(spark, path, "day"), reverse=True):
+        if found >= n:
+            break
+        folders.append(f"{path}/day={day}")
+        found += files.read_partitions(spark, path, folders[-1:], STORED_POST).count()
+    return files.read_partitions(spark, path, folders, STORED_POST)
+
+
+def newest_post_ms(spark: SparkSession, path: str) -> int | None:
+    """Epoch millis of the newest post, from the ``timestamp`` column of the newest day."""
+    return newest_days(spark, path, 1).agg(F.max("timestamp")).first()[0]
+
+
 def posts_since(posts: DataFrame, since_ms: int) -> DataFrame:
     """Rows with ``timestamp >= since_ms``; also prunes ``day`` partitions when present."""
     out = posts.filter(F.col("timestamp") >= F.lit(int(since_ms)))
@@ -156,12 +176,11 @@ def metric_rows(posts: DataFrame, top_k: int = TOP_HASHTAGS) -> DataFrame:
     * ``geo``       : posts per country in the hour
     * ``geo_{country}`` : posts per label for one country in the hour
 
-    One pass over the posts: each post becomes one row per tag (or one row
-    without a tag), and a single GROUPING SETS aggregate counts tag uses per
-    (hour, tag) and posts per (hour, label), (hour, country) and (hour,
-    country, label).  The plan is one Expand feeding a partial aggregate and one
-    shuffle of partial counts, which the top tags reuse: a window limited to
-    ``top_k`` ranks, so each task passes on at most that many tags of an hour.
+    Each post becomes one row per tag (or one row without a tag), and a GROUPING
+    SETS aggregate counts tag uses per (hour, tag) and posts per (hour, label),
+    (hour, country) and (hour, country, label): one Expand feeding a partial aggregate and one
+    shuffle of partial counts.  The top tags are ranked over a second, narrower pass (only the (hour, tag)
+    set is expanded): a window limited to ``top_k`` ranks, so each task passes on at most that many tags of an hour.
     """
     rows = posts.select(hour_bucket("timestamp").alias("bucket"), "location", "sentiment",
                         F.posexplode_outer(clean_tags("hashtags")).alias("pos", "hashtag"))

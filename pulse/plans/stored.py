@@ -11,22 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.keys import hour_bucket
-from pulse.plans import batch, store
+from pulse.plans import batch, store, user_tiers
 from pulse.session import scratch_path
-from pulse.sources import fixture
+from pulse.sources import files, fixture
 
 INPUTS = ("events", "nation")
 _WRITTEN: dict[tuple, str] = {}   # (application, folder, version, table) -> path
 
 
-def version(spark: SparkSession, sf_dir: str) -> int:
-    """A hash of the input files' names, sizes and modification times (no data is read)."""
-    parts = []
-    for name in INPUTS:
-        meta = fixture.read_table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size",
-                                                              "_metadata.file_modification_time").distinct()
-        parts.append(meta.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0])
-    return hash(tuple(parts))
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """The input files' names, sizes and modification times (a listing; no job runs)."""
+    return tuple(tuple(files.data_files(spark, fixture.table_path(sf_dir, name))) for name in INPUTS)
 
 
 def _path(spark: SparkSession, sf_dir: str, table: str, write) -> str:
@@ -38,9 +33,17 @@ def _path(spark: SparkSession, sf_dir: str, table: str, write) -> str:
     return _WRITTEN[key]
 
 
+def posts_path(spark: SparkSession, sf_dir: str) -> str:
+    return _path(spark, sf_dir, "posts", lambda p: store.write_post_table(batch.stored_posts(spark, sf_dir), p))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _path(spark, sf_dir, "posts", lambda p: store.write_post_table(batch.stored_posts(spark, sf_dir), p))
-    return store.read_post_table(spark, path)
+    return store.read_post_table(spark, posts_path(spark, sf_dir))
+
+
+def as_of(spark: SparkSession, sf_dir: str) -> int:
+    """Time of the newest stored post: one column of the newest day."""
+    return store.newest_post_ms(spark, posts_path(spark, sf_dir))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +51,23 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_metric_rows(spark, path)
 
 
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users table, folded from the hours' counts."""
+def users_path(spark: SparkSession, sf_dir: str) -> str:
+    """Hour counts, folded up to the day before the newest post's: that day stays in hours, as between two folds."""
     def write(p):
         hours = posts(spark, sf_dir).withColumn("bucket", hour_bucket("timestamp"))
-        store.write_user_counts(store.user_counts(hours, by=("bucket",)), p)
-    return batch.read_users(spark, _path(spark, sf_dir, "users", write))
+        early, last = hours.filter(F.col("day") < newest), hours.filter(F.col("day") >= newest)
+        user_tiers.write_hours(spark, store.user_counts(early, by=("bucket",)), p)
+        user_tiers.fold(spark, p, newest)
+        user_tiers.write_hours(spark, store.user_counts(last, by=("bucket",)), p)
+    newest = max(files.values(spark, posts_path(spark, sf_dir), "day"), default="")
+    return _path(spark, sf_dir, "users", write)
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users table, from a snapshot and the newest hours."""
+    return user_tiers.users(spark, users_path(spark, sf_dir))
+
+
+def user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users table without tags."""
+    return user_tiers.totals(spark, users_path(spark, sf_dir))

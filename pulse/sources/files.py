@@ -30,6 +30,12 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    fs, where = _open(spark, path)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"cannot move {path} to {to}")
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, where = _open(spark, path)
     fs.mkdirs(where)
