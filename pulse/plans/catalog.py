@@ -19,7 +19,7 @@ from pulse.operators import aggregates as agg
 from pulse.operators.lookups import COUNTRY_COORDS, attach, coords_frame
 from pulse.operators.rankings import shares_of_total
 from pulse.operators.sentiment import score_sentiment
-from pulse.plans import batch, serving, store, stored
+from pulse.plans import batch, search_index, serving, store, stored
 from pulse.schemas import HASHTAG_ROW, RAW_POST
 from pulse.session import scratch_path
 from pulse.sources import fixture
@@ -342,11 +342,11 @@ def q_viral_filter(spark, sf):
 
 
 def q_hashtag_search(spark, sf):
-    return serving.hashtag_search(_table(spark, sf), "#SIGN")
+    return search_index.hashtag_search(spark, stored.tag_index(spark, sf), _table(spark, sf), "#SIGN")
 
 
 def q_hashtag_search_exact(spark, sf):
-    return serving.hashtag_search(_table(spark, sf), "#k1", exact=True)
+    return search_index.hashtag_search(spark, stored.tag_index(spark, sf), _table(spark, sf), "#k1", exact=True)
 
 
 def q_hashtag_history(spark, sf):
@@ -418,6 +418,10 @@ def q_feed_search(spark, sf):
     return serving.feed_search(_all_feed(spark, sf), "NATION_1")
 
 
+def q_text_search(spark, sf):
+    return search_index.text_search(spark, stored.text_index(spark, sf), _table(spark, sf), "User 77")
+
+
 def q_feed_filter(spark, sf):
     return serving.feed_filter(_all_feed(spark, sf), "click", "negative")
 

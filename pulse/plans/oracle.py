@@ -404,6 +404,12 @@ WHERE coalesce(contains(lower(text), 'nation_1'), false)
    OR contains(lower('User ' || string_split(row_key, '_')[3]), 'nation_1')
    OR coalesce(contains(lower(location), 'nation_1'), false)
    OR coalesce(list_bool_or(list_transform(hashtags, lambda h: contains(lower(h), 'nation_1'))), false)"""),
+    "text_search": with_ctes("""
+SELECT row_key AS tweet_id, text, hashtags, likes, retweets, location, sentiment FROM posts
+WHERE coalesce(contains(lower(text), 'user 77'), false)
+   OR contains(lower('User ' || string_split(row_key, '_')[3]), 'user 77')
+   OR coalesce(contains(lower(location), 'user 77'), false)
+   OR coalesce(list_bool_or(list_transform(hashtags, lambda h: contains(lower(h), 'user 77'))), false)"""),
     "feed_filter": with_ctes("""
 SELECT row_key AS tweet_id, text, hashtags, likes, retweets, location, sentiment FROM posts
 WHERE (coalesce(contains(lower(text), 'click'), false)

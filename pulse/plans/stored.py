@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.keys import hour_bucket
-from pulse.plans import batch, store, user_tiers
+from pulse.plans import batch, search_index, store, user_tiers
 from pulse.session import scratch_path
 from pulse.sources import files, fixture
 
@@ -71,3 +71,11 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users table without tags."""
     return user_tiers.totals(spark, users_path(spark, sf_dir))
+
+
+def tag_index(spark: SparkSession, sf_dir: str) -> str:
+    return _path(spark, sf_dir, "tag-index", lambda p: search_index.write_tag_index(posts(spark, sf_dir), p))
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> str:
+    return _path(spark, sf_dir, "text-index", lambda p: search_index.write_text_index(posts(spark, sf_dir), p))
