@@ -323,6 +323,24 @@ def q_post_table_two_steps(spark, sf):
     return store.read_post_table(spark, path)
 
 
+def q_delete_two_steps(spark, sf):
+    # posts without a country go, then those of one user; read back from the table
+    path = scratch_path(spark, "posts-deleted")
+    store.write_post_table(_table(spark, sf), path)
+    for doomed in (F.col("location") == "", F.col("user_id") == "user_7"):
+        store.delete_from_table(spark, path, store.read_post_table(spark, path).filter(doomed).select("row_key"))
+    return store.read_post_table(spark, path).select("row_key", "tweet_id")
+
+
+def q_expire_posts(spark, sf):
+    # the table 75 days after the newest post, and again a day later
+    path, as_of = scratch_path(spark, "posts-expired"), _stored_as_of(spark, sf)
+    store.write_post_table(_table(spark, sf), path)
+    for days in (75, 76):
+        store.expire_posts(spark, path, as_of + days * DAY_MS)
+    return store.read_post_table(spark, path).select("row_key", "tweet_id", "text", "sentiment", "sentiment_score")
+
+
 # ---- serving ----------------------------------------------------------------------------
 
 def q_recent_posts(spark, sf):

@@ -262,6 +262,15 @@ FROM posts WHERE "timestamp" >= {AS_OF} - {HOUR}"""),
     "user_posts": with_ctes("""
 SELECT row_key, tweet_id, "timestamp" FROM posts WHERE user_id = 'user_7'"""),
     "bounded_scan": with_ctes("SELECT row_key, tweet_id FROM posts ORDER BY row_key LIMIT 100"),
+    "delete_two_steps": with_ctes("""
+SELECT row_key, tweet_id FROM posts
+WHERE row_key NOT IN (SELECT row_key FROM posts WHERE location = '' OR user_id = 'user_7')"""),
+    "expire_posts": with_ctes(f"""
+SELECT row_key, tweet_id, text,
+       CASE WHEN {AS_OF} + CAST(76 AS BIGINT) * {DAY} - "timestamp" > 7776000000 THEN NULL ELSE sentiment END AS sentiment,
+       CASE WHEN {AS_OF} + CAST(76 AS BIGINT) * {DAY} - "timestamp" > 7776000000 THEN NULL ELSE sentiment_score END
+         AS sentiment_score
+FROM posts"""),
     "delete_keys": with_ctes("""
 SELECT row_key, tweet_id FROM posts
 WHERE row_key NOT IN (SELECT row_key FROM posts WHERE location = '')"""),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulse.functions.keys import day_partition, hour_bucket, reversed_ts, row_key, salt
+from pulse.functions.keys import REVERSED_TS_BASE, day_partition, hour_bucket, parse_row_key, reversed_ts, row_key, salt
 from pulse.functions.tags import clean_tags
 from pulse.operators.aggregates import TOP_HASHTAGS, exploded_tags
 from pulse.schemas import METRIC_ROW, POST_FAMILIES, STORED_POST
@@ -154,6 +154,61 @@ def delete_keys(df: DataFrame, keys: DataFrame, key_col: str = "row_key") -> Dat
     return df.join(keys.select(key_col), key_col, "left_anti")
 
 
+def _rewrite_days(spark: SparkSession, path: str, days: list[str], change) -> None:
+    """Rewrite some days of the post table as ``change`` makes them; a day without rows left goes, other days keep their files."""
+    if not days:
+        return
+    old = files.read_partitions(spark, path, [f"{path}/day={d}" for d in days], STORED_POST)
+    staged = scratch_path(spark, "post-days")
+    write_post_table(change(old).select(*STORED_POST.names), staged, bloom_filter=False)
+    left = set(files.values(spark, staged, "day"))
+    if left:
+        write_post_table(read_post_table(spark, staged), path)
+    for d in set(days) - left:
+        files.delete(spark, f"{path}/day={d}")
+    files.delete(spark, staged)
+
+
+def delete_from_table(spark: SparkSession, path: str, keys: DataFrame) -> list[str]:
+    """Remove the posts with these row keys from the stored table; returns the days rewritten.
+
+    A key holds its time, so it names the day that it can lie in; of those days the key column is
+    read, and only the ones that hold a doomed key are rewritten.
+    """
+    doomed = keys.select("row_key").distinct()
+    named = doomed.select(day_partition(F.lit(REVERSED_TS_BASE) - parse_row_key("row_key")["rev_ts"]).alias("day")).distinct()
+    there = set(files.values(spark, path, "day"))
+    folders = [f"{path}/day={r.day}" for r in named.collect() if r.day in there]            # one row per day
+    held = files.read_partitions(spark, path, folders, STORED_POST).join(doomed, "row_key", "left_semi").select("day").distinct()
+    days = sorted(r.day for r in held.collect())
+    _rewrite_days(spark, path, days, lambda old: delete_keys(old, doomed))
+    return days
+
+
+def expire_posts(spark: SparkSession, path: str, as_of_ms: int, ttl_s: int = ANALYSIS_TTL_S, family: str = "analysis") -> list[str]:
+    """Empty the cells of ``family`` older than the time to live in the stored table; returns the days rewritten.
+
+    Only days that can hold expired cells are looked at, and only those that still do are rewritten.
+    """
+    columns = POST_FAMILIES[family]
+    oldest = as_of_ms - ttl_s * 1000
+    last = spark.range(1).select(_day_literal(oldest)).first()[0]
+    folders = [f"{path}/day={d}" for d in files.values(spark, path, "day") if d <= last]
+    held = files.read_partitions(spark, path, folders, STORED_POST).filter(
+        (F.col("timestamp") < F.lit(int(oldest))) & F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+    days = sorted(r.day for r in held.select("day").distinct().collect())
+    _rewrite_days(spark, path, days, lambda old: apply_post_retention(old, as_of_ms, ttl_s, family))
+    return days
+
+
+def expire_metrics(spark: SparkSession, path: str, as_of_ms: int, ttl_s: int = METRICS_TTL_S) -> list[str]:
+    """Remove the expired hours of the metric table: their partitions go, nothing is read; returns them."""
+    gone = [b for b in files.values(spark, path, "bucket") if b < metric_retention_cutoff(as_of_ms, ttl_s)]
+    for b in gone:
+        files.delete(spark, f"{path}/bucket={b}")
+    return gone
+
+
 def apply_post_retention(posts: DataFrame, as_of_ms: int, ttl_s: int = ANALYSIS_TTL_S,
                          family: str = "analysis") -> DataFrame:
     """Cells of ``family`` older than the TTL read back as missing; the row stays."""

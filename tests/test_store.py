@@ -165,3 +165,64 @@ def test_user_counts_add_up_over_runs(spark, tmp_dir):
     for part in (posts.filter(~late), posts.filter(late), posts.filter(late)):        # the last run twice
         store.write_user_counts(store.user_counts(part, by=("bucket",)), path)
     assert _rows(batch.read_users(spark, path)) == _rows(store.user_rows(posts))
+
+
+def _files_by_day(spark, path):
+    from pulse.sources import files
+    out = {}
+    for f, *_ in files.data_files(spark, path):
+        out.setdefault(f.split("day=")[1][:10], set()).add(f)
+    return out
+
+
+def test_delete_rewrites_only_the_days_that_hold_the_keys(spark, tmp_dir):
+    path, posts = os.path.join(tmp_dir, "posts"), batch.stored_posts(spark, SF_SMALL)
+    store.write_post_table(posts, path)
+    before, table = _files_by_day(spark, path), store.read_post_table(spark, path)
+    some = table.orderBy("row_key").select("row_key", "day").limit(3).collect()
+    absent = table.filter(F.col("day") == max(before)).first().row_key[:-4] + "0000"      # of a day that is there, but no post's
+    keys = spark.createDataFrame([(r.row_key,) for r in some] * 2 + [(absent,), ("no key",), (None,)], "row_key string")
+    want = _rows(table.join(keys, "row_key", "left_anti"))
+    assert store.delete_from_table(spark, path, keys) == sorted({r.day for r in some})
+    after = _files_by_day(spark, path)
+    assert {d for d in before if before[d] != after[d]} == {r.day for r in some}
+    assert _rows(store.read_post_table(spark, path)) == want
+    # a day that loses all its posts goes; deleting again changes nothing
+    gone = min(after)
+    whole = store.read_post_table(spark, path).filter(F.col("day") == gone).select("row_key")
+    store.delete_from_table(spark, path, whole)
+    assert gone not in _files_by_day(spark, path)
+    assert store.delete_from_table(spark, path, keys) == []
+
+
+def test_expired_cells_and_hours_leave_the_stored_tables(spark, tmp_dir):
+    path, posts = os.path.join(tmp_dir, "posts"), batch.stored_posts(spark, SF_SMALL)
+    store.write_post_table(posts, path)
+    as_of = fixture.max_timestamp(spark, SF_SMALL) + 80 * 24 * HOUR
+    before = _files_by_day(spark, path)
+    done = store.expire_posts(spark, path, as_of)
+    assert _rows(store.read_post_table(spark, path)) == _rows(store.apply_post_retention(posts, as_of))
+    after = _files_by_day(spark, path)
+    assert done and {d for d in before if before[d] != after[d]} == set(done)
+    assert store.expire_posts(spark, path, as_of) == []
+    metrics = os.path.join(tmp_dir, "metrics")
+    store.write_metric_rows(store.metric_rows(posts), metrics)
+    now, whole = fixture.max_timestamp(spark, SF_SMALL), store.metric_rows(posts)
+    assert store.expire_metrics(spark, metrics, now)
+    assert _rows(store.read_metric_rows(spark, metrics)) == _rows(store.apply_metric_retention(whole, now))
+    assert store.expire_metrics(spark, metrics, now) == []
+
+
+def test_newest_days_first(spark, tmp_dir):
+    from pulse.plans import serving
+    path, t0, day = os.path.join(tmp_dir, "posts"), 1_704_067_200_000, 86_400_000
+    rows = [(str(i), f"u{i % 3}", t0 + d * day + i % 5) for i, d in enumerate([0] * 40 + [1] * 6 + [2] * 4 + [5] * 3)]
+    posts = spark.createDataFrame(rows, "tweet_id string, user_id string, timestamp long").selectExpr(
+        "*", "'t' AS text", "array('#a') AS hashtags", "'X' AS location", "1 AS likes", "2 AS retweets")
+    store.write_post_table(store.stored_posts(batch.enrich(posts)), path)
+    for n, days in ((1, 1), (3, 1), (4, 2), (7, 2), (8, 3), (13, 3), (50, 4), (200, 4)):
+        found = store.newest_days(spark, path, n)
+        assert len({f.split("day=")[1][:10] for f in found.inputFiles()}) == days, n
+        assert _rows(serving.recent_posts(found, n)) == _rows(serving.recent_posts(store.read_post_table(spark, path), n))
+    assert store.newest_post_ms(spark, path) == t0 + 5 * day + max(i % 5 for i in range(50, 53))
+    assert store.newest_days(spark, os.path.join(tmp_dir, "none"), 5).collect() == []
