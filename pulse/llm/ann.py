@@ -13,17 +13,17 @@ radius is passed.
 * *Round 1.* A query is answered in its own cell, which gives a first d_k.
 * *Round 2.* It visits the other cells whose box comes within its radius, with that d_k.
 
-Each block builds its own kd-tree and searches it best-first.  Scores are the measure
+Each block builds its own kd-tree and verifies its leaves in the order of their distance, in growing rounds.  Scores are the measure
 itself, in double precision, on the original vectors; ties go to the smaller id.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-rows without an id or vectors whose length is not the most frequent one; a query's own id is never its neighbour; of several query rows
-with one id one is asked.  Fewer candidates than ``k`` are all returned.  Other columns are not read.
+rows without an id.  Vectors of different lengths have no cosine: each length is searched for itself, one
+after the other.  Components of any size keep their scores (rows are scaled by powers of two).  A query's own id is never its neighbour; of
+several query rows with one id one is asked.  Fewer candidates than ``k`` are all returned.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulse.llm.common import read_table, write_shared
-from pulse.llm.vectors import matrix, unit, usable
+from pulse.llm.vectors import matrix, scaled, unit, usable
 
 K, QUERY_EVERY = 5, 50
 PROJECTED, CONFIDENCE, SEED = 8, 0.97, 11      # an even number of dimensions: the chi-square law is a finite sum then
@@ -87,10 +87,17 @@ class KdTree:
             self.nodes[own] = (start, end, left, self._build(points, start + mid, end, leaf))
         return own
 
-    def gap(self, node: int, q: np.ndarray) -> float:
-        """Squared distance of ``q`` to the box of a node."""
-        out = np.maximum(0, np.maximum(self.low[node] - q, q - self.high[node]))
-        return float(out @ out)
+    def leaves(self) -> np.ndarray:
+        return np.array([i for i, (*_, left, _) in enumerate(self.nodes) if left < 0], np.int64)
+
+    def gaps(self, nodes: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Squared distance of each point (rows) to the box of each of some nodes."""
+        out = np.zeros((len(points), len(nodes)))
+        for d in range(points.shape[1]):
+            at = points[:, d:d + 1]
+            away = np.maximum(0, np.maximum(self.low[nodes, d] - at, at - self.high[nodes, d]))
+            out += away * away
+        return out
 
 
 class Cells:
@@ -138,35 +145,45 @@ class Cells:
 
 
 class Block:
-    """The vectors of one block, searched best-first in projected order."""
+    """The vectors of one block, searched in the order of projected distance, a round of kd-tree leaves at a time."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, planes: np.ndarray, factor: float):
-        self.ids, self.vectors, self.factor = ids, vectors, factor
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        self.projected = unit(vectors) @ planes
-        self.tree = KdTree(self.projected, LEAF)
-
-    def search(self, query: int, vector: np.ndarray, q: np.ndarray, k: int, bound: float) -> list[tuple[float, int]]:
-        """The best (score, id) here, as far as they may beat a k-th squared distance of ``bound``."""
-        norm, best = math.sqrt(float((vector * vector).sum())), []
-        heap = [(self.tree.gap(0, q), 0)] if len(self.ids) else []
-        while heap:
-            gap, node = heapq.heappop(heap)
-            if gap > bound * self.factor:                  # the stopping test: quantile(CONFIDENCE) reached
-                break
-            start, end, left, right = self.tree.nodes[node]
-            if left >= 0:
-                for child in (left, right):
-                    heapq.heappush(heap, (self.tree.gap(child, q), child))
-                continue
-            at = self.tree.order[start:end]
-            away = self.projected[at] - q
-            at = at[((away * away).sum(axis=1) <= bound * self.factor) & (self.ids[at] != query)]
-            scores = (self.vectors[at] * vector).sum(axis=1) / (self.norms[at] * norm)
-            best = heapq.nsmallest(k, best + [(-s, i) for s, i in zip(scores.tolist(), self.ids[at].tolist(), strict=True)])
-            if len(best) == k:
-                bound = min(bound, max(0.0, 2 + 2 * best[-1][0]) + 1e-12)
-        return [(-s, i) for s, i in best]
+        projected = unit(vectors) @ planes
+        self.tree = KdTree(projected, LEAF)
+        order = self.tree.order                            # a leaf's vectors lie side by side
+        self.ids, self.vectors, self.projected, self.factor = ids[order], scaled(vectors)[order], projected[order], factor
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        self.leaves = self.tree.leaves()
+        self.spans = [self.tree.nodes[i][:2] for i in self.leaves]
+
+    def search(self, queries: np.ndarray, vectors: np.ndarray, projected: np.ndarray, k: int, bounds: np.ndarray) -> Iterator[list[tuple[float, int]]]:
+        """For each query the best (score, id) here, as far as they may beat a k-th squared distance of its bound.
+
+        The leaf nearest in the projection is verified first, then twice as many, and so on; the stopping test is made
+        before each round, and single vectors beyond the radius are left out.
+        """
+        gaps = self.tree.gaps(self.leaves, projected)
+        vectors = scaled(vectors)
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        for i, query in enumerate(queries):
+            bound, best = float(bounds[i]), []
+            order = np.argsort(gaps[i], kind="stable")
+            near, n, step = gaps[i][order], 0, 1
+            while n < len(order) and near[n] <= bound * self.factor:       # beyond: quantile(CONFIDENCE) is reached
+                some = order[n:n + step][near[n:n + step] <= bound * self.factor]
+                n, step = n + step, 2 * step
+                at = np.concatenate([np.arange(*self.spans[j]) for j in some])
+                away = self.projected[at] - projected[i]
+                at = at[(np.einsum("ij,ij->i", away, away) <= bound * self.factor) & (self.ids[at] != query)]
+                scores = (self.vectors[at] * vectors[i]).sum(axis=1) / (self.norms[at] * norms[i])
+                if len(best) == k:                                          # of the rest, only what may enter
+                    better = scores >= best[-1][0]
+                    at, scores = at[better], scores[better]
+                if len(at):
+                    best = sorted(best + list(zip(scores.tolist(), self.ids[at].tolist(), strict=True)), key=lambda p: (-p[0], p[1]))[:k]
+                    if len(best) == k:
+                        bound = min(bound, max(0.0, 2 - 2 * best[-1][0]) + 1e-12)
+            yield best
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -195,9 +212,8 @@ def _search(dims: int, planes: np.ndarray, factor: float, k: int):
                     continue
                 if block is None:
                     block = Block(np.concatenate(ids), np.concatenate(vectors), planes, factor)
-                q = unit(x[a:b]) @ planes
-                for i in range(a, b):
-                    rows += [(own[i], v, s) for s, v in block.search(int(own[i]), x[i], q[i - a], k, float(bounds[i]))]
+                found = block.search(own[a:b], x[a:b], unit(x[a:b]) @ planes, k, bounds[a:b])
+                rows += [(query, v, s) for query, best in zip(own[a:b].tolist(), found, strict=True) for s, v in best]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)],
                                                  schema=_FOUND)
@@ -242,13 +258,15 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"),
                        F.coalesce(is_query, F.lit(False)).alias("asked"))
     base = base.filter(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    lengths = base.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    empty = base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if lengths is None:
-        return empty
-    dims, n = lengths.dims, lengths.n
-    base = base.filter(F.size("vector") == dims)
+    lengths = base.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).orderBy("dims").collect()      # a row per length
+    out = base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dims, n in lengths:
+        out = out.union(_nearest(base.filter(F.size("vector") == dims), dims, n, k, projected, confidence, seed))
+    return out
+
 
+def _nearest(base: DataFrame, dims: int, n: int, k: int, projected: int, confidence: float, seed: int) -> DataFrame:
+    """:func:`nearest` among ``n`` vectors of one length."""
     planes, factor = projection(dims, projected, seed), chi_square_quantile(confidence, projected)
     part = base if n <= SAMPLE_ROWS else base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1e6 * SAMPLE_ROWS / n))
     sample = matrix(part.select("vector").toArrow().column("vector").combine_chunks(), dims)

@@ -21,6 +21,11 @@ def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which keeps every digit: the largest component is then below one, and no square vanishes or overflows."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length one; scaled first, so that tiny and huge components neither vanish nor overflow."""
     scaled = rows / np.abs(rows).max(axis=1, keepdims=True)

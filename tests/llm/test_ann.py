@@ -81,3 +81,20 @@ def test_nulls_odd_vectors_ties_and_empty(spark):
     assert np.allclose([s for *_, s in got], [1, 1, half, 0, half, half, half, half])
     assert op.nearest(spark.createDataFrame([], SCHEMA), F.lit(True)).collect() == []
     assert op.nearest(docs.filter("vec_id = 0"), F.lit(True)).collect() == []
+
+
+def test_every_length_is_searched_and_any_size_of_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(120)] + [(1000 + i, rng.standard_normal(6).tolist()) for i in range(12)] + [(2000, [1.0])]
+    for i, v in rows[:60]:
+        rows.append((3000 + i, [x * 1e-200 if i % 2 else x * 1e200 for x in v]))
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    got = op.nearest(spark.createDataFrame(rows, schema), F.col("vec_id") % 10 == 0).collect()
+    fair = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    want = {}
+    for dims in (8, 6, 1):
+        want |= brute([r for r in fair if len(r[1]) == dims], lambda i: i % 10 == 0)
+    assert recall(got, {q: w for q, w in want.items() if w}) >= 0.95
+    assert {r.query_id for r in got} == {q for q, w in want.items() if w} and all(np.isfinite(r.score) for r in got)
+    exact = {(q, v): s for q, w in want.items() for v, s in w}
+    assert all(abs(exact[r.query_id, r.vec_id] - r.score) < 1e-12 for r in got if (r.query_id, r.vec_id) in exact)
