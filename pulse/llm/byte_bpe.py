@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import struct
 import sys
 from bisect import bisect_right
@@ -36,9 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulse.llm.common import read_table
 
-KEPT_PIECES = 400_000          # pieces whose ids a Python worker keeps, beside those of one run of texts
+KEPT_PIECES = 800_000          # pieces whose ids a Python worker keeps, beside those of one run of texts
 RUN_CHARS = 1_000_000          # texts are cut and encoded in runs of about this many characters
 KEPT_PAIRS = 1_000_000         # pairs of tokens whose validity it keeps
+# Fixed value: the vocabulary's pattern, written with the classes of Python's ``re``.
+_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")       # white space to ``re`` alone
 SHORT = (2, 1)                 # token lengths to try where no longer token can end
 
 
@@ -148,21 +152,28 @@ class Prefixes:
 
 
 class Pieces:
-    """Cuts texts as the public encoder's pattern does."""
+    """Cuts texts as the public encoder's pattern does.
+
+    The usual pattern is matched by Python's ``re``, whose classes differ for more characters, but faster; another one by ``regex``.
+    """
 
     STAND_INS = {"letter": "x", "number": "1", "other": "!"}
 
     def __init__(self, pattern: str | None = None):
         import public_tokenizers
         import tiktoken
-        self.pattern = regex.compile(pattern or public_tokenizers.PATTERN)
+        if pattern is None:
+            self.pattern, own = _PATTERN, {"letter": r"[^\W\d_]", "number": r"\d", "other": r"[^\s\w]|_"}
+            self.own = {name: re.compile(x) for name, x in own.items()}
+        else:
+            self.pattern, own = regex.compile(pattern), {"letter": r"\p{L}", "number": r"\p{N}", "other": r"[^\s\p{L}\p{N}]"}
+            self.own = {name: regex.compile(x) for name, x in own.items()}
         # "a" and "1" merge with any byte that follows in the same piece, which shows a character's class
         ranks = {bytes([i]): i for i in range(256)}
         for head in (b"a", b"1"):
             for i in range(256):
                 ranks[head + bytes([i])] = len(ranks)
         self.probe = tiktoken.Encoding("classes", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.own = {"letter": regex.compile(r"\p{L}"), "number": regex.compile(r"\p{N}"), "other": regex.compile(r"[^\s\p{L}\p{N}]")}
         self.met: set[str] = set()
         self.table: dict[int, str] = {}
 
@@ -173,15 +184,16 @@ class Pieces:
 
     def shadow(self, text: str) -> str:
         """The text with a stand-in for each character whose class differs between the two."""
-        if text.isascii():
+        if text.isascii() and not _SEPARATORS.search(text):
             return text
-        for char in set(text) - self.met:
+        chars = set(text)
+        for char in chars - self.met:
             self.met.add(char)
-            if not char.isascii() and not char.isspace():
+            if char in "\x1c\x1d\x1e\x1f" or not (char.isascii() or char.isspace()):
                 there = self._class(char)
                 if not self.own[there].fullmatch(char):
                     self.table[ord(char)] = self.STAND_INS[there]
-        return text.translate(self.table) if self.table and any(ord(c) in self.table for c in set(text)) else text
+        return text.translate(self.table) if any(ord(c) in self.table for c in chars) else text
 
     def cut(self, text: str) -> list[str]:
         shadow = self.shadow(text)
@@ -281,7 +293,7 @@ class Encoder:
                 missing = set().union(*cut)
             self._learn(missing)
             known = self.known
-            yield from (b"".join([known[p] for p in c]) for c in cut)
+            yield from (b"".join(map(known.__getitem__, c)) for c in cut)
             i = j
 
     def decode(self, ids: bytes) -> bytes:

@@ -33,7 +33,7 @@ from pulse.llm.common import partitions_for, read_table, write_shared
 
 WINDOW, END_ID = 2048, 1
 PIECES_PER_PARTITION = 100_000
-CACHED_WORDS = 500_000         # pre-tokens whose ids a Python worker keeps, and those of one run of texts
+CACHED_WORDS = 1_000_000        # pre-tokens whose ids a Python worker keeps, and those of one run of texts
 CHUNK_CHARS = 1_000_000        # texts are tokenized in runs of about this many characters
 
 # Fixed value: the vocabulary's pre-tokenizer, written with classes of Python's ``re``.
@@ -55,7 +55,8 @@ class WordTokenizer:
             import public_tokenizers
             vocabulary = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes | None] = {}          # None: a text with it goes whole
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()                        # of these: a text with one goes whole
         self.feed = self._ids("\n")
 
     def _ids(self, text: str) -> np.ndarray:
@@ -66,7 +67,8 @@ class WordTokenizer:
         words = []
         for w in missing:
             if "<|" in w or not _OTHER.isdisjoint(w):
-                self.known[w] = None
+                self.known[w] = b""
+                self.odd.add(w)
             elif w.isspace():
                 self.known[w] = self._ids(w).tobytes()
             else:
@@ -87,16 +89,17 @@ class WordTokenizer:
                 size += len(texts[j])
                 j += 1
             words = [_WORDS.findall(t) for t in texts[i:j]]
-            missing: set[str] = set()
-            for w in words:
-                missing.update(set(w).difference(self.known))
+            missing = set().union(*words).difference(self.known)
             if len(self.known) + len(missing) > CACHED_WORDS:   # forget, and learn this run's words
                 self.known.clear()
+                self.odd.clear()
                 missing = set().union(*words)
             self._learn(sorted(missing))
             for w, text in zip(words, texts[i:j], strict=True):
-                parts = [self.known[x] for x in w]
-                yield self._ids(text).tobytes() if None in parts else b"".join(parts)
+                if self.odd and not self.odd.isdisjoint(w):
+                    yield self._ids(text).tobytes()
+                else:
+                    yield b"".join(map(self.known.__getitem__, w))
             i = j
 
 
