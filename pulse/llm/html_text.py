@@ -40,20 +40,21 @@ from pyspark.sql import functions as F
 from pulse.llm.common import read_table
 
 SAMPLE_PAGES = 5_000           # pages that the weights are counted on, at most (expected)
-MAX_KEYS = 5_000               # tags and surroundings that get a weight of their own
 WORD, TAG, PROSE_TAG = 1.0, -1.0, -0.1  # of words, tags and tags of prose that labelled pages don't show
 TAG_LEAST, TAG_OUTSIDE = -0.05, -40.0   # of tags always and never within the content
 
 # Names of the HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object xmp".split())
-CUT = frozenset("nav footer aside form button select dialog menu fieldset audio video canvas map".split()) | RAW
+CUT = frozenset("nav footer aside button select dialog menu audio video canvas map".split()) | RAW
+HOLDERS = frozenset(("form", "fieldset"))      # cut like elements that their class names: not one that holds the page or its content
 BLOCK = frozenset(("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table "
                    "tbody td tfoot th thead title tr ul").split())
 INLINE_CUT = frozenset("script style noscript template button select svg math object canvas map audio video".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong u s small sub sup code q cite span br a li ul ol blockquote pre".split())
 CONTENT = frozenset(("article", "main"))
+FREE = frozenset(("cut", "/cut")) | {f"{end}{tag}" for tag in CONTENT for end in ("", "/")}      # tags without a weight
 CUT_NAMES = frozenset((
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall sidebar menu nav navbar "
@@ -163,7 +164,7 @@ def _without_named(out: list[tuple], spans: list[tuple[int, int, str, bool]], ma
     return kept + out[at:]
 
 
-# Items of a page: ("t", key, is block) for tags, ("w", raw text, words, state, surroundings) for text.
+# Items of a page: ("t", key, is block) for tags, ("w", raw text, words, state, surroundings, in a link) for text.
 def items(html: str) -> list[tuple]:
     """The page's stream, without what is cut out."""
     low = html.lower()
@@ -172,6 +173,7 @@ def items(html: str) -> list[tuple]:
     stack: list[tuple[str, str]] = []                      # (tag, key) of open elements
     named: list[tuple[int, int, str, bool]] = []           # open elements that may be cut by name: depth, start, what, in content
     spans: list[tuple[int, int, str, bool]] = []           # the closed ones: start, end, what, in content
+    paragraphs, blocks, links = [], [], [0]                # depths of open paragraphs and other blocks; open links
     content, cut_at, at, n = 0, -1, 0, len(html)           # open content elements; depth of the cut element, if any
 
     def close(depth: int) -> None:
@@ -179,6 +181,10 @@ def items(html: str) -> list[tuple]:
         while len(stack) > depth:
             tag, key = stack.pop()
             content -= tag in CONTENT
+            links[0] -= tag == "a"
+            for depths in (paragraphs, blocks):
+                if depths and depths[-1] == len(stack):
+                    depths.pop()
             if len(stack) == cut_at:
                 cut_at = -1
                 if tag not in INLINE_CUT:
@@ -193,7 +199,7 @@ def items(html: str) -> list[tuple]:
         if raw and cut_at < 0:
             words = len(raw.split())
             around = next((key for tag, key in reversed(stack) if tag in BLOCK), "")
-            out.append(("w", raw, words, ("A" if content else "O") if marked else "N", around))
+            out.append(("w", raw, words, ("A" if content else "O") if marked else "N", around, links[0] > 0))
 
     while at < n:
         m = _TOKEN.search(html, at)
@@ -217,8 +223,8 @@ def items(html: str) -> list[tuple]:
         if tag in BLOCK and stack:                         # end tags that may be left out
             if stack[-1][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == tag:
                 close(len(stack) - 1)
-            elif any(t == "p" for t, _ in stack[-4:]):
-                close(max(i for i in range(len(stack)) if stack[i][0] == "p"))
+            elif paragraphs and (not blocks or paragraphs[-1] > blocks[-1]):
+                close(paragraphs[-1])                      # a block ends the paragraph that is open around it, whatever lies between
             elif tag == "body" and stack[-1][0] == "head":
                 close(len(stack) - 1)
         if tag in CONTENT and cut_at >= 0 and stack[cut_at][0] not in CONTENT:
@@ -231,7 +237,7 @@ def items(html: str) -> list[tuple]:
             if cut_at < 0:
                 out.append(("t", key, tag == "hr"))
                 if tag == "br":
-                    out.append(("w", " ", 0, "N", ""))
+                    out.append(("w", " ", 0, "N", "", False))
             continue
         if tag in RAW:
             end = _end_tag(tag).search(html, at)
@@ -240,7 +246,7 @@ def items(html: str) -> list[tuple]:
             if cut_at < 0 and tag not in INLINE_CUT:
                 out.append(("t", "/cut", True))
             continue
-        what = _named(tag, classes, ids, content > 0) if cut_at < 0 and (classes or ids) else ""
+        what = "" if cut_at >= 0 else "cut" if tag in HOLDERS else _named(tag, classes, ids, content > 0) if classes or ids else ""
         if cut_at < 0 and _is_cut(tag, role, hidden, content > 0):
             cut_at = len(stack)
             if tag not in INLINE_CUT:
@@ -249,6 +255,9 @@ def items(html: str) -> list[tuple]:
             if what:
                 named.append((len(stack), len(out), what, content > 0))
             out.append(("t", key, tag in BLOCK))
+        if tag in BLOCK:
+            (paragraphs if tag == "p" else blocks).append(len(stack))
+        links[0] += tag == "a"
         stack.append((tag, key))
         content += tag in CONTENT
     spans += [(start, len(out), what, in_content) for _, start, what, in_content in named]
@@ -267,16 +276,32 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def _down_links(page: list[tuple], scores: list[float]) -> None:
+    """On a page that marks nothing, words of blocks that are mostly links count against the region."""
+    start = words = linked = 0
+    for i, x in enumerate([*page, ("t", "", True)]):
+        if x[0] == "w":
+            words, linked = words + (x[2] if x[3] == "N" else 0), linked + (x[2] if x[5] and x[3] == "N" else 0)
+        elif x[2]:
+            if 2 * linked > words:
+                for j in range(start, i):
+                    if page[j][0] == "w":
+                        scores[j] = -WORD * page[j][2]
+            start, words, linked = i, 0, 0
+
+
 def extract(html: str | None, weights: Weights) -> str:
     """The main text of a page."""
     page = items(html or "")
-    scores = [0.0 if x[1] in ("cut", "/cut") and x[0] == "t" else weights.tag(x[1]) if x[0] == "t"
+    scores = [0.0 if x[0] == "t" and x[1].split(".")[0] in FREE else weights.tag(x[1]) if x[0] == "t"
               else x[2] * weights.word(x[3], x[4]) for x in page]
+    _down_links(page, scores)
     a, b = best_region(scores)
     blocks, parts = [], []
     for x in page[a:b] + [("t", "", True)]:
         if x[0] == "w":
-            parts.append(x[1])
+            if x[3] != "O":                                # between several marked parts
+                parts.append(x[1])
         elif x[2]:
             block = " ".join(entities.unescape("".join(parts)).split())
             if block:
@@ -333,7 +358,7 @@ def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_P
         sample = sample.filter(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < part)
     rows = (sample.mapInPandas(_counts, "kind string, state string, key string, inside double, outside double")
             .groupBy("kind", "state", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-            .orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "state", "key").limit(MAX_KEYS).collect())
+            .collect())                                    # the keys of the sampled pages
     weights = Weights()
     for r in rows:
         n = r.inside + r.outside

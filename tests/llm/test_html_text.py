@@ -98,3 +98,35 @@ def test_sections_of_the_content_stay():
             "<p class='notice'>eight eight eight</p></article>")
     assert op.extract(page, PLAIN) == ("One of these\nTwo of these\nthree three three four\nfive five five six\nseven seven seven\n"
                                        "eight eight eight")
+
+
+WORDS = " ".join(f"word{i}" for i in range(80))
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return op.learn(read_table(spark, SF, "pages"))
+
+
+def test_a_form_around_the_page_or_its_content_is_its_wrapper(learned):
+    assert op.extract(f"<body><form><p>{WORDS}</p><p>more text</p></form></body>", learned) == f"{WORDS}\nmore text"
+    page = f"<body><form><div>Menu</div><article><p>{WORDS}</p><form>Your mail <input></form></article></form></body>"
+    assert op.extract(page, learned) == WORDS
+    assert op.extract(f"<body><p>{WORDS}</p><form><p>Search this site</p></form></body>", learned) == WORDS
+
+
+def test_all_marked_articles_are_kept_and_nothing_between(learned):
+    for c in ("", " class='post'"):
+        page = f"<body><p>Top</p><article{c}><p>{WORDS}</p></article><div>between</div><article{c}><p>{WORDS} two</p></article><p>end</p></body>"
+        assert op.extract(page, learned) == f"{WORDS}\n{WORDS} two"
+
+
+def test_blocks_of_links_on_unmarked_pages_are_left_out(learned):
+    links = "".join(f"<li><a href='{i}'>Page number {i}</a></li>" for i in range(6))
+    page = f"<body><ul>{links}</ul><div><p>{WORDS} <a href=x>a link</a> within.</p></div><div><a href=c>Imprint</a> <a href=d>Contact us</a></div></body>"
+    assert op.extract(page, learned) == f"{WORDS} a link within."
+
+
+def test_a_block_ends_the_open_paragraph_through_any_inline_tags(learned):
+    inline = "<b><i><u><s><em><strong>"
+    assert op.extract(f"<body><p>{inline}{WORDS}<div>next block</div></body>", op.Weights()) == f"{WORDS}\nnext block"
