@@ -1,12 +1,15 @@
 """Operator 7, toxicity: a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses.  A lexical transducer rewrites the words of a clause
+A text is cut into clauses.  A weighted lexical transducer rewrites the words of a clause
 that holds an insult or a threat to symbols; three further transducers rewrite
 those in turn: negation (``not an idiot``), reported speech (``he said: ...``)
-and target (``you ...``).  The transducers are composed into one machine whose
-states are tuples, built as they are met.  The weights of the symbols left over
-are summed per matched clause, and a logistic model over the clause scores of the
-whole text gives the score; lone words outside the grammar add nothing.
+and target (``you ...``).  They are composed into one machine whose
+states are tuples, built as they are met; a last one runs over its output from the end, for
+targets that come after (``idiots like you``; a threat is only aimed at whom it names afterwards).
+A match has all marks that it got: aimed at someone it counts several times what the bare word
+does, negated or reported nearly nothing, and marks multiply.  Weights are summed per
+matched clause; numbers of matches and terms count only what is neither negated nor reported.  A
+logistic model over these gives the score; words outside the grammar add nothing.
 
 Weights: FIXED terms start with a prior.  Labelled rows (``SAMPLE_ROWS`` of them
 at most, chosen by hash; never held-out rows) teach further terms, whole words or
@@ -15,8 +18,8 @@ rows.  Near copies among them are thinned first, so that one copied text can't
 pass for many.  All texts are scored whole.
 
 Null and empty texts get the score of a text without matches.  Without any
-labels, or with labels of one kind only, the priors and a fixed model are used.  Ties,
-repeated rows and further columns do not matter: a score depends on the text alone.
+labels, or with labels of one kind only, the priors and a fixed model are used.  An id with
+different labels teaches nothing.  Ties, repeated rows and further columns do not matter: a score depends on the text alone.
 """
 
 from __future__ import annotations
@@ -36,7 +39,6 @@ from pyspark.sql import functions as F
 from pulse.llm.common import read_table
 
 SAMPLE_ROWS = 20_000           # labelled rows that the classifier is fitted on, at most (expected)
-MAX_TERMS = 2_000              # learned terms
 MIN_SUPPORT = 5                # toxic texts that a learned term must occur in
 MIN_LOG_ODDS = 3.0
 STEMS = (4, 5, 6)              # lengths of learned stems
@@ -57,7 +59,8 @@ NEGATIONS = "not no never nobody isn't aren't wasn't n't nicht kein keine nie pa
 REPORTS = ("said says saying called calls quoted wrote claimed according alleged reportedly sagte nannte schrieb "
            "zitiert dit déclaré écrit appelé dijo llamó escribió citado").split()
 PRIOR = 2.0
-FACTORS = {"I": 1.0, "I+you": 1.5, "I+not": 0.25, "I+said": 0.5, "T": 0.5, "T+you": 1.5, "T+not": 0.1, "T+said": 0.3}
+BARE = {"I": 0.4, "T": 0.1}                    # part of a term's weight that counts without any mark
+MARKS = {"I+you": 4.0, "T+you": 15.0, "I+not": 0.1, "T+not": 0.1, "I+said": 0.1, "T+said": 0.1}      # and by how much marks change it
 
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -84,11 +87,25 @@ def reported(state: int, symbol: str) -> tuple[int, str]:
 
 
 def target(state: int, symbol: str) -> tuple[int, str]:
-    """Marks matches aimed at someone named shortly before."""
+    """Marks insults aimed at someone named shortly before."""
+    if symbol == "Y":
+        return TARGET_SPAN, symbol
+    left = max(0, state - 1)
+    return left, symbol + "+you" if state and symbol[0] == "I" else symbol
+
+
+def target_after(state: int, symbol: str) -> tuple[int, str]:
+    """Read from the end: marks insults and threats aimed at someone named shortly after."""
     if symbol == "Y":
         return TARGET_SPAN, "w"
     left = max(0, state - 1)
-    return left, symbol + "+you" if state and symbol in ("I", "T") else symbol
+    return left, symbol + "+you" if state and symbol[0] in "IT" and not symbol.endswith("+you") else symbol
+
+
+def factor(symbol: str) -> float:
+    """What a match counts of its term's weight, by all its marks."""
+    base, *marks = symbol.split("+")
+    return math.prod((MARKS[f"{base}+{m}"] for m in marks), start=BARE[base])
 
 
 class Composed:
@@ -119,15 +136,15 @@ class Grammar:
 
     def __post_init__(self):
         self.context = {**dict.fromkeys(TARGETS, "Y"), **dict.fromkeys(NEGATIONS, "N"), **dict.fromkeys(REPORTS, "R")}
-        self.machine = Composed(negation, reported, target)
+        self.machine, self.back = Composed(negation, reported, target), Composed(target_after)
         self._anchors = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_anchors", "machine")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_anchors", "machine", "back")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.machine, self._anchors = Composed(negation, reported, target), None
+        self.machine, self.back, self._anchors = Composed(negation, reported, target), Composed(target_after), None
 
     def anchors(self):
         """The lexical automaton that finds the clauses worth parsing."""
@@ -149,31 +166,31 @@ class Grammar:
                 return "I", w, word[:n]
         return self.context.get(word, "w"), 0.0, ""
 
-    def parse(self, clause: str) -> tuple[float, set[str], int]:
-        """Score of a clause, its terms and number of matches."""
-        state, total, terms, matches = self.machine.start, 0.0, set(), 0
+    def parse(self, clause: str) -> list[tuple[str, float, str]]:
+        """The matches of a clause: symbol with its marks, weight and term."""
+        state, tape = self.machine.start, []
         for m in _WORD.finditer(clause):
             symbol, weight, term = self.lexical(m[0])
             state, out = self.machine.step(state, symbol)
-            if weight:
-                base = out.split("+")[0]
-                mark = next((f"{base}+{x}" for x in ("not", "said", "you") if f"+{x}" in out), base)
-                total += weight * FACTORS[mark]
-                terms.add(term)
-                matches += 1
-        return total, terms, matches
+            tape.append((out, weight, term))
+        state, found = self.back.start, []
+        for symbol, weight, term in reversed(tape):
+            state, out = self.back.step(state, symbol)
+            if out[0] in "IT":
+                found.append((out, weight, term))
+        return found[::-1]
 
     def features(self, text: str | None) -> list[float]:
-        """Sum and maximum of the clause scores, number of terms and of matched clauses, each dampened."""
+        """Sum and maximum of the clause scores, number of matches (a bare one in part) and of terms, each dampened."""
         low = (text or "").lower()
         hits = [(end - n + 1, end + 1) for end, n in self.anchors().iter(low)] if len(self.anchors()) else []
         # an anchor counts where a word begins
         starts = sorted({s for s, _ in hits if not (s and low[s - 1].isalpha())})
         if not starts:
             return [0.0] * 4
-        total = best = clauses = 0.0
+        total = best = matches = 0.0
         terms: set[str] = set()
-        matches = i = 0
+        i = 0
         for m in _CLAUSE.finditer(low):
             if i == len(starts):
                 break
@@ -181,12 +198,14 @@ class Grammar:
                 continue
             while i < len(starts) and starts[i] < m.end():
                 i += 1
-            score, found, n = self.parse(m[0])
-            if n:
-                total, best, clauses = total + score, max(best, score), clauses + 1
-                terms |= found
-                matches += n
-        return [math.log1p(max(0.0, total)), math.log1p(max(0.0, best)), math.log1p(matches), math.log1p(len(terms))]
+            found = self.parse(m[0])
+            score = sum(weight * factor(symbol) for symbol, weight, _ in found)
+            total, best = total + score, max(best, score)
+            for symbol, _, term in found:
+                if "+not" not in symbol and "+said" not in symbol:
+                    matches += min(1.0, factor(symbol))
+                    terms.add(term)
+        return [math.log1p(total), math.log1p(best), math.log1p(matches), math.log1p(len(terms))]
 
     def score(self, features) -> float:
         z = self.model[0] + sum(w * x for w, x in zip(self.model[1:], features, strict=True))
@@ -267,7 +286,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     copies always do, texts that share a tenth of their shingles one time in a million.
     """
     usable = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-              .filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).dropDuplicates(["id"]))
+              .filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+              .groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_other")).filter(F.col("toxic") == F.col("_other")).drop("_other"))
     total = usable.count()
     if total > sample_rows:
         usable = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
@@ -296,13 +316,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         counts = (sample.mapInPandas(_unit_counts, "unit string, stem boolean, pos long, neg long")
                   .groupBy("unit", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
         lift = (F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1)))
-        learned = (counts.filter((F.col("pos") >= MIN_SUPPORT) & (lift >= MIN_LOG_ODDS))
-                   .orderBy(F.desc("pos"), "unit", "stem").limit(MAX_TERMS).collect())
+        learned = counts.filter((F.col("pos") >= MIN_SUPPORT) & (lift >= MIN_LOG_ODDS)).collect()        # terms of the sampled texts
         words, stems = _select_terms(learned, n_pos, n_neg)
         fixed = {r.unit: math.log((r.pos + 0.5) / (n_pos + 1)) - math.log((r.neg + 0.5) / (n_neg + 1))
-                 for r in counts.filter(~F.col("stem") & F.col("unit").isin(INSULTS)).collect() if r.neg >= MIN_SUPPORT}
-        prior = {w: max(0.0, min(6.0, fixed.get(w, PRIOR))) for w in INSULTS}
-        grammar = Grammar({w: v for w, v in {**prior, **words}.items() if v > 0}, stems)
+                 for r in counts.filter(~F.col("stem") & F.col("unit").isin(INSULTS + THREATS)).collect()
+                 if r.neg >= MIN_SUPPORT or r.pos >= MIN_SUPPORT}
+        prior, threats = ({w: max(0.0, min(6.0, fixed.get(w, PRIOR))) for w in terms} for terms in (INSULTS, THREATS))
+        grammar = Grammar({w: v for w, v in {**prior, **words}.items() if v > 0 and w not in threats}, stems, threats)
         fields = sample.select(feature_udf(grammar)(F.col("text")).alias("x"), "toxic").toPandas()
         fields = fields.sort_values("toxic", kind="stable")
         grammar.model = _fit_logistic(np.array(fields["x"].tolist(), float), fields["toxic"].to_numpy(float))

@@ -97,3 +97,55 @@ def test_only_near_copies_are_thinned(spark):
     got = [r.text for r in tox.training_rows(docs, labels).collect()]
     assert set(texts.values()) <= set(got)                 # texts that share common words all stay
     assert len(got) == len(texts) + 1
+
+
+def test_composed_clauses_decide_not_words():
+    g = tox.default_grammar()
+    score = lambda t: g.score(g.features(t))
+    assert score("I will kill you.") > score("They kill time.") and score("I will kill you.") > 2 * score("A kill switch.")
+    assert score("You are an idiot.") > score("The word idiot is old.") and score("Idiots like you: moron.") > score("The word moron is old.")
+    for text in ("nobody called you stupid, worthless scum", "You are not an idiot, not a moron, not scum.", "He said you were an idiot, a moron and scum."):
+        assert score(text) < 0.5 and g.features(text)[2:] == [0.0, 0.0], text
+    # marks multiply: aimed and reported is less than aimed, negated as well is less than that
+    aimed, both, all_three = (tox.factor(s) for s in ("I+you", "I+said+you", "I+not+said+you"))
+    assert aimed > tox.BARE["I"] > both > all_three > 0
+
+
+def plain_features(g, text):
+    """The features by running every machine over whole clauses, one after the other."""
+    import math
+    import re
+    scores, matches, terms = [], 0.0, set()
+    for clause in re.split(r"[.!?;\n]+", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", clause)
+        symbols, weights, names = zip(*map(g.lexical, words), strict=True) if words else ((), (), ())
+        for machine, back in ((tox.negation, False), (tox.reported, False), (tox.target, False), (tox.target_after, True)):
+            state, out = 0, []
+            for s in reversed(symbols) if back else symbols:
+                state, o = machine(state, s)
+                out.append(o)
+            symbols = out[::-1] if back else out
+        found = [(s, w, n) for s, w, n in zip(symbols, weights, names, strict=True) if s[0] in "IT"]
+        scores.append(sum(w * tox.factor(s) for s, w, _ in found))
+        kept = [(s, n) for s, _, n in found if not {"not", "said"} & set(s.split("+"))]
+        matches += sum(min(1.0, tox.factor(s)) for s, _ in kept)
+        terms |= {n for _, n in kept}
+    return [math.log1p(sum(scores)), math.log1p(max(scores, default=0.0)), math.log1p(matches), math.log1p(len(terms))]
+
+
+def test_query_equals_a_plain_run_of_the_machines(spark):
+    docs = read_table(spark, SF, "documents")
+    grammar = tox.learn(docs, read_table(spark, SF, "labels"))
+    got = {r.doc_id: r.score for r in tox.op7_toxicity(spark, SF).collect()}
+    for r in docs.collect():
+        assert abs(got[r.doc_id] - grammar.score(plain_features(grammar, r.text))) < 1e-9
+    odd = ["you idiot! he said moron; not you, scum", "Kill you kill them KILL", "don't say idiot-like things to you's", "scum", "moron you" * 50]
+    for text in odd:
+        assert np.allclose(grammar.features(text), plain_features(grammar, text))
+
+
+def test_an_id_with_different_labels_teaches_nothing(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:3]
+    docs = spark.createDataFrame([(i, f"text number {i} of its own") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 0), (ids[0], 1), (ids[1], 1), (ids[1], 1), (ids[2], None)], "doc_id long, toxic int")
+    assert [(r.text, r.toxic) for r in tox.training_rows(docs, labels).collect()] == [(f"text number {ids[1]} of its own", 1)]
