@@ -19,7 +19,7 @@ from pulse.operators import aggregates as agg
 from pulse.operators.lookups import COUNTRY_COORDS, attach, coords_frame
 from pulse.operators.rankings import shares_of_total
 from pulse.operators.sentiment import score_sentiment
-from pulse.plans import batch, search_index, serving, store, stored
+from pulse.plans import batch, search_index, serving, store, stored, tag_states
 from pulse.schemas import HASHTAG_ROW, RAW_POST
 from pulse.session import scratch_path
 from pulse.sources import fixture
@@ -464,6 +464,22 @@ def q_hashtag_first_peak(spark, sf):
     return agg.hashtag_first_peak(_posts(spark, sf))
 
 
+def q_hashtag_usage_from_states(spark, sf):
+    return tag_states.hashtag_usage(stored.states(spark, sf), _table(spark, sf), _stored_as_of(spark, sf))
+
+
+def q_hashtag_engagement_from_states(spark, sf):
+    return tag_states.hashtag_engagement(stored.states(spark, sf))
+
+
+def q_hashtag_first_peak_from_states(spark, sf):
+    return tag_states.hashtag_first_peak(stored.states(spark, sf))
+
+
+def q_hashtag_table_from_states(spark, sf):
+    return tag_states.hashtag_table(stored.states(spark, sf)).select(*HASHTAG_ROW.names)
+
+
 def q_user_avg_daily(spark, sf):
     return agg.user_avg_daily(_posts(spark, sf))
 

@@ -489,3 +489,7 @@ SELECT row_key, salt, user_id, rev_ts, tweet_id, text, hashtags, likes, retweets
     "stream_alerts": with_ctes("""
 SELECT tweet_id, user_id, likes, "timestamp" FROM posts WHERE likes > 1000"""),
 }
+
+# The same answers from stored rows.
+for _name in ("hashtag_usage", "hashtag_engagement", "hashtag_first_peak", "hashtag_table"):
+    ORACLE[f"{_name}_from_states"] = ORACLE[_name]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.keys import hour_bucket
-from pulse.plans import batch, search_index, store, user_tiers
+from pulse.plans import batch, search_index, store, tag_states, user_tiers
 from pulse.session import scratch_path
 from pulse.sources import files, fixture
 
@@ -79,3 +79,9 @@ def tag_index(spark: SparkSession, sf_dir: str) -> str:
 
 def text_index(spark: SparkSession, sf_dir: str) -> str:
     return _path(spark, sf_dir, "text-index", lambda p: search_index.write_text_index(posts(spark, sf_dir), p))
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag states per hour."""
+    path = _path(spark, sf_dir, "tag-states", lambda p: tag_states.write_tag_states(tag_states.tag_states(posts(spark, sf_dir)), p))
+    return tag_states.read_tag_states(spark, path)
