@@ -88,3 +88,21 @@ def test_stages_together(spark, tmp_dir):
         assert [o for o, _ in sorted(placed)] == ends[:-1] and ends[-1] <= WINDOW
     sizes = [sum(n for _, n in placed) for placed in spans.values()]
     assert sum(a + b <= WINDOW for k, a in enumerate(sizes) for b in sizes[:k]) == 0    # no two windows fit in one
+
+
+def test_empty_table_clashing_columns_and_a_very_long_text(spark, tmp_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shingle string, score string, host string, ids string, component string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
+    empty = spark.createDataFrame([], schema)
+    long = " ".join(f"w{k * k % 99991}" for k in range(60_000))
+    rows = [(1, long, None, None, None, "a", "b", "c", "d", "e"), (2, long + " end", "en", "s", 1, None, None, None, None, None),
+            (None, None, None, None, None, None, None, None, None, None), (3, "", "en", "s", 0, "x", "x", "x", "x", "x")]
+    full = spark.createDataFrame(rows, schema)
+    for docs, n in ((empty, 0), (full, 3)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, tmp_dir)
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.count() == n
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, tmp_dir).collect()
+        assert {r.doc_id for r in packed} == ({1, 3, None} if n else set())
