@@ -9,12 +9,13 @@ later run rewrites the hours it covers and leaves the others alone.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulse.functions.keys import hour_bucket
 from pulse.operators.sentiment import score_sentiment
 from pulse.plans import store, user_tiers
 from pulse.schemas import ENRICHED_POST
-from pulse.sources import fixture
+from pulse.sources import files, fixture
 
 HOUR_MS = 3_600_000
 
@@ -48,6 +49,13 @@ def hourly_job(spark: SparkSession, posts: DataFrame, as_of_ms: int, metrics_pat
     store.write_metric_rows(store.metric_rows(window), metrics_path)
     hours = window.withColumn("bucket", hour_bucket("timestamp"))
     user_tiers.write_hours(spark, store.user_counts(hours, by=("bucket",)), users_path)
+    # an hour of the window that has lost all its posts has no rows to replace its old ones: its partitions go
+    first = (as_of_ms - lookback_ms) // HOUR_MS
+    asked = {r[0] for r in spark.range(first, as_of_ms // HOUR_MS + 1).select(hour_bucket(F.col("id") * HOUR_MS)).collect()}
+    gone = asked - {r[0] for r in hours.select("bucket").distinct().collect()}          # at most the window's hours
+    for b in gone.intersection(files.values(spark, metrics_path, "bucket")):
+        files.delete(spark, f"{metrics_path}/bucket={b}")
+    user_tiers.drop_hours(spark, users_path, sorted(gone.intersection(files.values(spark, users_path, "bucket"))))
 
 
 def read_users(spark: SparkSession, users_path: str, top_tags: int | None = None) -> DataFrame:

@@ -37,10 +37,21 @@ def _day_of(bucket: str) -> str:
 def write_hours(spark: SparkSession, counts: DataFrame, path: str) -> None:
     """Write the counts of some hours (column ``bucket``), replacing those hours, and mark their days as changed."""
     for (bucket,) in counts.select(F.substring("bucket", 1, 8)).distinct().collect():      # one row per day
-        files.make_folder(spark, f"{_beside(path, 'changed')}/day={_day_of(bucket)}/mark={uuid.uuid4().hex}")
+        _mark(spark, path, _day_of(bucket))
     store.write_user_counts(counts, path)
 
 
+def drop_hours(spark: SparkSession, path: str, buckets: list[str]) -> None:
+    """Remove hours that no longer have posts, and mark their days as changed."""
+    for b in buckets:
+        _mark(spark, path, _day_of(b))
+        files.delete(spark, f"{path}/bucket={b}")
+
+
+def _mark(spark: SparkSession, path: str, day: str) -> None:
+    files.make_folder(spark, f"{_beside(path, 'changed')}/day={day}/mark={uuid.uuid4().hex}")
+
+
 def _marks(spark: SparkSession, path: str) -> dict[str, list[str]]:
     changed = _beside(path, "changed")
     return {d: marks for d in files.values(spark, changed, "day") if (marks := files.values(spark, f"{changed}/day={d}", "mark"))}
@@ -77,6 +88,9 @@ def fold(spark: SparkSession, path: str, upto: str) -> None:
         hours = files.read_partitions(spark, path, _hour_folders(spark, path, marks), _HOURS)
         day = F.concat_ws("-", F.substring("bucket", 1, 4), F.substring("bucket", 5, 2), F.substring("bucket", 7, 2))
         _write(_summed(hours.withColumn("day", day), "day"), days, ("day",))
+        left = {_day_of(b) for b in files.values(spark, path, "bucket")}
+        for d in set(marks) - left:                # all its hours are gone
+            files.delete(spark, f"{days}/day={d}")
     old = _snapshot(spark, path)
     last = max([d for d in files.values(spark, days, "day") if d <= upto], default=None)
     stale = old is not None and any(d <= old for d in marks)
@@ -91,12 +105,14 @@ def fold(spark: SparkSession, path: str, upto: str) -> None:
         if new == old:                  # a snapshot made anew for the same day takes its place; while it is missing, days are read
             files.delete(spark, f"{whole}/upto={old}")
             files.move(spark, target, f"{whole}/upto={new}")
-    for d, seen in marks.items():
-        for m in seen:
-            files.delete(spark, f"{_beside(path, 'changed')}/day={d}/mark={m}")
+    elif stale:                             # nothing is left of what it held
+        files.delete(spark, f"{whole}/upto={old}")
     for v in files.values(spark, whole, "upto"):
         if old is not None and v < old:          # keep the one before for reads under way
             files.delete(spark, f"{whole}/upto={v}")
+    for d, seen in marks.items():
+        for m in seen:
+            files.delete(spark, f"{_beside(path, 'changed')}/day={d}/mark={m}")
 
 
 def counts(spark: SparkSession, path: str) -> DataFrame:

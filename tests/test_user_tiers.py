@@ -84,3 +84,23 @@ def test_no_hours_no_users(spark, tmp_dir):
     path = os.path.join(tmp_dir, "users")
     user_tiers.fold(spark, path, "2024-01-01")
     assert user_tiers.users(spark, path).collect() == [] and user_tiers.totals(spark, path).collect() == []
+
+
+def test_an_hour_that_lost_its_posts_leaves_the_tables(spark, tmp_dir):
+    rows = [(str(i), "u", T0 + h * HOUR + i) for i, h in enumerate((1, 1, 2, 30))]
+    posts = spark.createDataFrame(rows, "tweet_id string, user_id string, timestamp long").selectExpr(
+        "*", "array('#a') AS hashtags", "'X' AS location", "1 AS likes", "'neutral' AS sentiment")
+    metrics, users = os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "u")
+    as_of = T0 + 31 * HOUR
+    batch.hourly_job(spark, posts, as_of, metrics, users, lookback_ms=31 * HOUR)
+    user_tiers.fold(spark, users, "2024-01-01")
+    left = posts.filter(F.col("timestamp") >= T0 + 24 * HOUR)
+    batch.hourly_job(spark, left, as_of, metrics, users, lookback_ms=31 * HOUR)
+    assert _rows(store.read_metric_rows(spark, metrics)) == _rows(store.metric_rows(left))
+    assert _rows(user_tiers.users(spark, users)) == _rows(store.user_rows(left))
+    user_tiers.fold(spark, users, "2024-01-02")
+    assert _rows(user_tiers.users(spark, users)) == _rows(store.user_rows(left))
+    user_tiers.drop_hours(spark, users, files.values(spark, users, "bucket"))
+    assert user_tiers.users(spark, users).collect() == []
+    user_tiers.fold(spark, users, "2024-01-02")
+    assert user_tiers.users(spark, users).collect() == [] and user_tiers.counts(spark, users).inputFiles() == []
