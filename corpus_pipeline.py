@@ -1,6 +1,8 @@
 """Corpus pipeline: the stages that turn ``documents`` into packed training sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.
+Null ids and texts, empty and very long texts and repeated rows go through as each stage's operator states; an empty
+table gives no rows; further columns of ``documents`` are kept up to packing, whatever their names.
 """
 
 from __future__ import annotations
