@@ -9,10 +9,10 @@ segmentation of a document, and every one
 decodes to the same text.  Without dropout the ids are the model's own.
 
 No piece holds a space after another character, so a text is segmented space by space.
-A worker remembers, for (a bounded number of) words and the candidates skipped so far, the candidates
-that come up next and the ids if none of them is skipped: what depends on the word
-alone.  The draws of a text are made for all its words at once, and again for the words where
-one was skipped.  Longer words are segmented afresh; texts are processed whole.
+Symbols are numbers, and a table says which piece two of them make.  The agendas of many words stand
+side by side, a column each, and all words take their first candidate at once, until none has one; a skipped
+candidate never enters, which is the same, as its draw does not depend on when it comes up.  Each
+occurrence is merged by itself; nothing is remembered between texts.  Longer words have a heap each; texts are processed whole.
 Symbols outside the vocabulary become byte pieces.  The model is read from its public file, never trained.
 
 Null and empty texts have no ids and decode to the empty text.  A null id counts as the
@@ -35,23 +35,40 @@ from pyspark.sql import functions as F
 from pulse.llm.common import read_table
 
 DROPOUT, VARIANTS, SEED = 0.1, 1 << 64, 17  # variants: keys that a document's key is one of
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64   # words (with candidates skipped) a worker remembers, and their greatest length
-WORDS_AT_ONCE = 65_536                      # words of a text that are drawn for at once
+WORDS_AT_ONCE = 65_536                      # words that are merged at once
+CACHED_WORDS = 0                            # words a worker remembers from one run of texts to the next: none
+CHUNK_CHARS = 1_000_000                     # texts are merged in runs of about this many characters
+WIDTHS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 48, 64)   # rows of the agendas; longer words have a heap
 
 _RUNS = re.compile(r" +[^ ]*")
 _M64 = (1 << 64) - 1
+_PLACE, _PIECE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+# An agenda's entry: rank of the score, place, symbol made.
+_RANK, _AT, _SYMBOL, _NONE = 43, 20, (1 << 20) - 1, (1 << 63) - 1
 
 
 def keyed_hash(key: int, place: int, piece: int) -> int:
     """32 bits from a key, a place and the piece that a merge would make."""
-    h = (key + place * 0x9E3779B97F4A7C15 + piece * 0xBF58476D1CE4E5B9) & _M64
-    return ((h ^ (h >> 31)) * 0x94D049BB133111EB & _M64) >> 32
-
-
-def keyed_hashes(key: int, places: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-    """``keyed_hash`` of every place and piece."""
-    h = np.uint64(key) + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pieces.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+    h = (key + place * _PLACE + piece * _PIECE) & _M64
+    return ((h ^ (h >> 31)) * _MIX & _M64) >> 32
+
+
+def pair_table(left: np.ndarray, right: np.ndarray, value: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, value): the pair l, r is at ``base[l] + r`` if ``owner`` there is l.  Rows of one l are shifted until they fit between the others."""
+    size, rng = 1 << (4 * len(left)).bit_length(), np.random.default_rng(0)
+    base, owner, values = np.zeros(symbols, np.int64), np.full(size + symbols, -1, np.int32), np.zeros(size + symbols, np.int64)
+    order = np.argsort(left, kind="stable")
+    rows = np.split(order, np.flatnonzero(np.diff(left[order])) + 1) if len(left) else []
+    for row in sorted(rows, key=len, reverse=True):
+        to = right[row]
+        tries = 0
+        while (owner[to + (at := int(rng.integers(size)))] >= 0).any():
+            tries += 1
+            if tries % 1000 == 0:                          # too full for this row
+                owner, values = np.r_[owner, np.full(size, -1, np.int32)], np.r_[values, np.zeros(size, np.int64)]
+                size *= 2
+        base[left[row[0]]], owner[to + at], values[to + at] = at, left[row], value[row]
+    return base, owner, values
 
 
 class PieceModel:
@@ -73,19 +90,34 @@ class PieceModel:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = piece.replace("▁", " ")
                 self.ids[piece], self.merges[piece], self.raw[i] = i, (-model.get_score(i), i), piece.encode()
+        self._number()
+
+    def _number(self) -> None:
+        """Tables by symbol: 0 is a character that no piece holds, -1 one that has been merged into the symbol before it."""
+        self.symbols = {s: i + 1 for i, s in enumerate(dict.fromkeys([*self.ids, *sorted(set("".join(self.ids)))]))}
+        n = len(self.symbols) + 1
+        self.of_char = np.zeros(0x110000, np.int32)
+        self.id_of, order, pairs = np.full(n, -1, np.int64), np.zeros(n), []
+        for s, i in self.symbols.items():
+            if len(s) == 1:
+                self.of_char[ord(s)] = i
+            if s in self.ids:
+                order[i], self.id_of[i] = self.merges[s][0], self.ids[s]
+                pairs += [(self.symbols[s[:k]], self.symbols[s[k:]], i) for k in range(1, len(s)) if s[:k] in self.symbols and s[k:] in self.symbols]
+        self.raw_sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_ends, self.raw_bytes = np.cumsum(self.raw_sizes), np.frombuffer(b"".join(self.raw), np.uint8)
+        self.byte_ids = np.array(self.bytes, np.int64)
+        self.draws = self.id_of.astype(np.uint64) * np.uint64(_PIECE)
+        rank = np.unique(order, return_inverse=True)[1]
+        left, right, made = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.base, self.owner, self.made = pair_table(left, right, rank[made] << _RANK | made, n)
 
     def segment(self, unit: str, dropout: float, key: int, at: int = 0) -> list[str]:
         """The symbols of a unit, whose place in the text is ``at``, after its merges."""
         return self._merge(unit, int(dropout * (1 << 32)), key, at)
 
-    def plan(self, unit: str, path: tuple[int, ...]) -> tuple[bytes, bytes]:
-        """A unit whose candidates number ``path`` are skipped: the (place, piece) that come up after these, and its ids."""
-        seen: list[int] = []
-        symbols = self._merge(unit, 0, 0, 0, seen, path)
-        return array("i", seen[2 * path[-1] + 2 if path else 0:]).tobytes(), self._ids(symbols)
-
-    def _merge(self, unit: str, limit: int, key: int, at: int, seen: list[int] | None = None, path: tuple[int, ...] = ()) -> list[str]:
-        """The symbols of a unit; skips by keyed hash or, where ``seen`` notes what comes up, the candidates number ``path``."""
+    def _merge(self, unit: str, limit: int, key: int, at: int) -> list[str]:
+        """The symbols of a unit, by a heap."""
         symbols: list = list(unit)
         n, find, push, pop = len(symbols), self.merges.get, heapq.heappush, heapq.heappop
         agenda = []
@@ -102,10 +134,6 @@ class PieceModel:
                 continue                                   # one of the two has been merged meanwhile
             if limit and keyed_hash(key, at + i, piece) < limit:
                 continue
-            if seen is not None:
-                seen += (i, piece)
-                if path and len(seen) // 2 - 1 in path:
-                    continue
             after = following[j]
             symbols[i], symbols[j], following[i] = merged, None, after
             if after < n:
@@ -121,11 +149,8 @@ class PieceModel:
 
     def ids_of(self, unit: str, dropout: float, key: int, at: int = 0) -> bytes:
         """Little-endian unsigned 32-bit ids of a unit."""
-        return self._ids(self.segment(unit, dropout, key, at))
-
-    def _ids(self, symbols: list[str]) -> bytes:
         ids = []
-        for s in symbols:
+        for s in self.segment(unit, dropout, key, at):
             i = self.ids.get(s)
             if i is not None:
                 ids.append(i)
@@ -133,32 +158,71 @@ class PieceModel:
                 ids += [self.bytes[b] for b in s.encode()]
         return array("I", ids).tobytes()
 
+    def merge_columns(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, draws: np.ndarray, limit: int) -> None:
+        """Merge the words of at most ``width`` of ``symbols`` in place; ``draws`` is each place's part of the keyed hash."""
+        n, shortest = len(starts), int(lengths.min())
+        cells = (width + 1) * n                            # one row more, before and after every word, stays empty
+        held, place, agenda = np.zeros(cells, np.int64), np.zeros(cells if limit else 0, np.uint64), np.full(cells, _NONE)
+        following, before = np.arange(n, n + cells), np.arange(-n, cells - n)
+        before[:n] += cells
+        for row in range(width):
+            here = slice(row * n, row * n + n)
+            held[here] = symbols.take(starts + row)
+            if row >= shortest:
+                held[here] *= lengths > row
+            if limit:
+                place[here] = draws.take(starts + row)
+
+        def enter(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            """The candidates of these neighbours come to stand at ``at``, if they make a piece and are not skipped."""
+            slot = self.base.take(left)
+            slot += right
+            pairs = np.flatnonzero(self.owner.take(slot) == left)
+            at, key = at.take(pairs), self.made.take(slot.take(pairs))
+            if limit:
+                h = self.draws.take(key & _SYMBOL)
+                h += place.take(at)
+                h ^= h >> np.uint64(31)
+                h *= np.uint64(_MIX)
+                h >>= np.uint64(32)
+                key |= (h < np.uint64(limit)) * np.int64(_NONE)
+            key |= at << _AT
+            agenda[at] = key
+
+        enter(np.arange(cells - 2 * n), held[:cells - 2 * n], held[n:cells - n])
+        while True:
+            first = agenda[:width * n].reshape(width, n).min(axis=0)
+            first = first.take(np.flatnonzero(first != _NONE))
+            if not len(first):
+                break
+            at, merged = first >> _AT & (1 << _RANK - _AT) - 1, first & _SYMBOL
+            gone, a = following.take(at), before.take(at)
+            after = following.take(gone)
+            held[at], held[gone], following[at], before[after] = merged, -1, after, at
+            agenda[at] = agenda[gone] = agenda[a] = _NONE
+            enter(at, merged, held.take(after))
+            enter(a, held.take(a), merged)
+        for row in range(width):
+            here = np.flatnonzero(lengths > row) if row >= shortest else slice(None)
+            symbols[starts[here] + row] = held[row * n:row * n + n][here]
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; the space that was put before the first word is taken off."""
-        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")[1:]
-
-
-class Plan:
-    """A word with some candidates skipped: what comes up next, the ids if all of it is merged, and the plans if not."""
-
-    __slots__ = ("path", "candidates", "ids", "after")
-
-    def __init__(self, path: tuple[int, ...], candidates: bytes, ids: bytes):
-        self.path, self.candidates, self.ids = path, candidates, ids
-        self.after: dict[int, Plan] | None = None
-
-
-_LEFT: dict[int, Plan] = {}     # a candidate was skipped once: rare words are segmented afresh and leave no further plans
+        out, numbers = [], np.frombuffer(ids, "<u4")
+        for i in range(0, len(numbers), CHUNK_CHARS):
+            part = numbers[i:i + CHUNK_CHARS].astype(np.int64)
+            sizes = self.raw_sizes.take(part)
+            ends = np.cumsum(sizes)
+            out.append(self.raw_bytes.take(np.repeat(self.raw_ends.take(part) - ends, sizes) + np.arange(ends[-1])).tobytes())
+        return b"".join(out).decode(errors="replace")[1:]
 
 
 class Encoder:
-    """Encodes texts with one seed, remembering what words' merges lead to."""
+    """Encodes texts with one seed."""
 
     def __init__(self, model: PieceModel, dropout: float, variants: int, seed: int):
         self.model, self.dropout, self.variants, self.seed = model, dropout, variants, seed
         self.limit = int(dropout * (1 << 32))
-        self.known: dict[str, Plan] = {}
-        self.held = 0
 
     def variant(self, doc_id) -> int:
         name = f"{self.seed}:{'null' if doc_id is None else doc_id}"
@@ -168,76 +232,83 @@ class Encoder:
         return int.from_bytes(hashlib.blake2b(f"{self.seed}:{variant}".encode(), digest_size=8).digest())
 
     def encode(self, text: str, variant: int) -> bytes:
-        if not text:
-            return b""
-        odd = "  " in text or text[0] == " " or text[-1] == " "
-        words = [u[1:] for u in _RUNS.findall(" " + text)] if odd else text.split(" ")
-        key, at, out = self.key(variant), 0, []
-        for i in range(0, len(words), WORDS_AT_ONCE):
-            part = words[i:i + WORDS_AT_ONCE]
-            ends = at + np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            out += self._encode_words(part, np.r_[at, ends[:-1]], key)
-            at = int(ends[-1])
-        return b"".join(out)
-
-    def _encode_words(self, words: list[str], places: np.ndarray, key: int) -> list[bytes]:
-        """Ids of words at their places in a text."""
-        plans = list(map(self.known.get, words))
-        for i, p in enumerate(plans):
-            if p is None:
-                plans[i] = self._first(words[i], int(places[i]), key)
-        out = [p.ids for p in plans]
-        at = np.arange(len(words))
-        while self.limit and plans:
-            candidates = np.frombuffer(b"".join([p.candidates for p in plans]), "<i4").reshape(-1, 2)
-            counts = np.array([len(p.candidates) for p in plans]) // 8
-            word = np.repeat(np.arange(len(plans)), counts)
-            skipped = np.flatnonzero(keyed_hashes(key, places[at][word] + candidates[:, 0], candidates[:, 1]) < self.limit)
-            word = word[skipped]
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][:len(word)])
-            word, number = word[first], skipped[first] - (np.cumsum(counts) - counts)[word[first]]
-            at, before, plans, going = at[word], plans, [], []
-            for i, w, k in zip(at.tolist(), word.tolist(), number.tolist(), strict=True):
-                plan = self._after(words[i], before[w], k)
-                if plan is None:
-                    out[i] = self.model.ids_of(" " + words[i], self.dropout, key, int(places[i]))
-                else:
-                    out[i] = plan.ids
-                    plans.append(plan)
-                    going.append(i)
-            at = np.array(going, np.int64)
-        return out
-
-    def _first(self, word: str, place: int, key: int) -> Plan:
-        if len(word) > CACHED_LENGTH:
-            return Plan((), b"", self.model.ids_of(" " + word, self.dropout, key, place))
-        plan = self.known.get(word)                        # met earlier in this text
-        if plan is None:
-            plan = Plan((), *self.model.plan(" " + word, ()))
-            self._hold()
-            self.known[word] = plan
-        return plan
-
-    def _after(self, word: str, plan: Plan, number: int) -> Plan | None:
-        """The plan of a word when the next candidate that is skipped is this one; none when a plan is left for the first time."""
-        if plan.after is None:
-            plan.after = _LEFT
-            return None
-        if plan.after is _LEFT:
-            plan.after = {}
-        found = plan.after.get(number)
-        if found is None:
-            path = (*plan.path, (plan.path[-1] + 1 if plan.path else 0) + number)
-            found = Plan(path, *self.model.plan(" " + word, path))
-            self._hold()
-            plan.after[number] = found
-        return found
-
-    def _hold(self) -> None:
-        if self.held >= CACHED_WORDS:
-            self.known.clear()
-            self.held = 0
-        self.held += 1
+        return self.encode_all([text], [variant])[0]
+
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        run: list[tuple[int, int, int, str]] = []
+        size = 0
+        for i, (text, variant) in enumerate(zip(texts, variants, strict=True)):
+            key = self.key(variant) if text else 0
+            for at, part in _parts(" " + text) if text else ():
+                if run and size + len(part) > CHUNK_CHARS:
+                    self._encode_run(run, out)
+                    run, size = [], 0
+                run.append((i, key, at, part))
+                size += len(part)
+        if run:
+            self._encode_run(run, out)
+        return [b"".join(x) for x in out]
+
+    def _encode_run(self, run: list[tuple[int, int, int, str]], out: list[list[bytes]]) -> None:
+        """Ids of parts of texts (number, key, place, part), added to those of their texts."""
+        model, line = self.model, "".join([part for *_, part in run])
+        codes = np.frombuffer(line.encode("utf-32-le"), "<u4")
+        sizes = np.array([len(part) for *_, part in run])
+        begins = np.cumsum(sizes) - sizes
+        new = codes == 32
+        new[1:] &= ~new[:-1]
+        new[begins] = True
+        starts = np.flatnonzero(new)
+        lengths = np.diff(starts, append=len(codes))
+        symbols = np.zeros(len(codes) + WIDTHS[-1], np.int32)
+        symbols[:len(codes)] = model.of_char[codes]
+        draws = np.zeros(len(symbols), np.uint64)
+        if self.limit:
+            offsets = [(key + (at - begin) * _PLACE) & _M64 for (_, key, at, _), begin in zip(run, begins.tolist(), strict=True)]
+            draws[:len(codes)] = np.repeat(np.array(offsets, np.uint64), sizes)
+            draws += np.arange(len(draws), dtype=np.uint64) * np.uint64(_PLACE)
+        low = 1
+        for width in WIDTHS:
+            words = np.flatnonzero((lengths > low) & (lengths <= width))
+            for k in range(0, len(words), WORDS_AT_ONCE):
+                some = words[k:k + WORDS_AT_ONCE]
+                model.merge_columns(symbols, starts[some], lengths[some], width, draws, self.limit)
+            low = width
+        part_of = np.searchsorted(begins, starts, "right") - 1
+        for w in np.flatnonzero(lengths > low).tolist():
+            _, key, at, _ = run[part_of[w]]
+            a, n = int(starts[w]), int(lengths[w])
+            pieces = model.segment(line[a:a + n], self.dropout, key, at + a - int(begins[part_of[w]]))
+            heads = a + np.cumsum([0, *map(len, pieces)])[:-1]
+            symbols[a:a + n] = -1
+            symbols[heads] = [model.symbols.get(p, 0) for p in pieces]
+        left = np.flatnonzero(symbols[:len(codes)] >= 0)
+        ids = model.id_of[symbols[left]]
+        ends = np.searchsorted(left, begins[1:])
+        other = np.flatnonzero(ids < 0)                    # characters to write in bytes
+        if len(other):
+            chars = codes[left[other]]
+            times = np.ones(len(ids), np.int64)
+            times[other] = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+            ends = np.r_[0, np.cumsum(times)][ends]
+            ids = np.repeat(ids, times)
+            ids[ids < 0] = model.byte_ids[np.frombuffer("".join(map(chr, chars.tolist())).encode(), np.uint8)]
+        for (i, *_), part in zip(run, np.split(ids.astype("<u4"), ends), strict=True):
+            out[i].append(part.tobytes())
+
+
+def _parts(text: str) -> Iterator[tuple[int, str]]:
+    """(place, part) of a text, cut between words where it is long."""
+    at = 0
+    while len(text) - at > CHUNK_CHARS:
+        cut = next((u.start() for u in _RUNS.finditer(text, at + CHUNK_CHARS) if text[u.start() - 1] != " "), None)
+        if cut is None:
+            break
+        yield at, text[at:cut]
+        at = cut
+    yield at, text[at:] if at else text
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -260,7 +331,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop
         encoder = encoder_for(model, dropout, variants, seed)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            ids = [encoder.encode(t or "", encoder.variant(i)) for i, t in zip(doc_ids, batch.column("text").to_pylist(), strict=True)]
+            ids = encoder.encode_all([t or "" for t in batch.column("text").to_pylist()], [encoder.variant(i) for i in doc_ids])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.string()), pa.array(ids, pa.binary())],
                                              schema=schema)
 

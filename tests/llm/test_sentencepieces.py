@@ -104,3 +104,56 @@ def test_share_of_skipped_merges_and_words_of_all_lengths(model, monkeypatch):
         parts.append(model.ids_of(unit, 0.1, key, at))
         at += len(unit)
     assert encoder.encode(text, 5) == b"".join(parts) and model.decode(b"".join(parts)) == text
+
+
+def naive(model, text, dropout, key):
+    """Ids of a text by rescanning all neighbours before every merge."""
+    ids, limit = [], int(dropout * (1 << 32))
+    for unit in op._RUNS.finditer(" " + text) if text else ():
+        parts = [(unit.start() + i, c) for i, c in enumerate(unit.group())]
+        while True:
+            best = None
+            for k, ((at, left), (_, right)) in enumerate(zip(parts, parts[1:], strict=False)):
+                made = model.merges.get(left + right)
+                if made and not op.keyed_hash(key, at, made[1]) < limit and (best is None or (made[0], at) < best[0]):
+                    best = (made[0], at), k, left + right
+            if best is None:
+                break
+            (_, at), k, made = best
+            parts[k:k + 2] = [(at, made)]
+        for _, s in parts:
+            ids += [model.ids[s]] if s in model.ids else [model.bytes[b] for b in s.encode()]
+    return np.array(ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("chars, words", [(1_000_000, 65_536), (40, 3)])
+def test_a_naive_agenda_gives_the_same_ids(model, monkeypatch, chars, words):
+    monkeypatch.setattr(op, "CHUNK_CHARS", chars)
+    monkeypatch.setattr(op, "WORDS_AT_ONCE", words)
+    rng = random.Random(5)
+    alphabet = list(" \n\tabcé▁日語😀.,1\x00\x7f") + ["the", "  ", "      ", "tion", "inter", "naïve", " of", "ab" * 20, "in" * 40]
+    texts = ["", " ", "a", "  ", "x" * 64, "y" * 65, "▁ ▁"] + ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(300)]
+    for dropout in (0.0, 0.1, 0.6, 1.0):
+        encoder = op.Encoder(model, dropout, op.VARIANTS, 3)
+        variants = [encoder.variant(i) for i in range(len(texts))]
+        got = encoder.encode_all(texts, variants)
+        assert got == [naive(model, t, dropout, encoder.key(v)) for t, v in zip(texts, variants, strict=True)]
+        assert [model.decode(ids) if ids else "" for ids in got] == texts
+
+
+def test_short_words_are_merged_together_and_only_longer_ones_by_a_heap(model, monkeypatch):
+    heaped = []
+    monkeypatch.setattr(model, "segment", lambda unit, *more: heaped.append(unit) or list(unit))
+    op.Encoder(model, 0.1, op.VARIANTS, 3).encode(" ".join(f"word{i}er international " + "w" * 63 for i in range(500)) + " " + "z" * 64, 1)
+    assert heaped == [" " + "z" * 64]
+
+
+def test_pairs_of_symbols_are_found_in_a_table_that_grows():
+    rng = np.random.default_rng(2)
+    pairs = np.unique(rng.integers(1, 60, (2_500, 2)), axis=0)
+    base, owner, made = op.pair_table(pairs[:, 0], pairs[:, 1], np.arange(len(pairs)), 60)
+    known = {(int(a), int(b)): i for i, (a, b) in enumerate(pairs)}
+    for a in range(60):
+        for b in range(60):
+            at = base[a] + b
+            assert (int(made[at]) if owner[at] == a else None) == known.get((a, b))
