@@ -42,6 +42,26 @@ def test_cut_words_give_the_ids_of_whole_texts(plain, monkeypatch):
         assert list(np.frombuffer(ids, "<u4")) == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_letters_contractions_and_spaces_are_cut_as_by_the_tokenizer(plain):
+    rng = random.Random(11)
+    alphabet = list("azAZÀÖØöøÿ×÷ªºµáβж语'’_-.,0٣½²\n\t\r\x0b\x1c\x85\xa0\u0301\u2003\u3000") + [" "] * 8
+    alphabet += ["'s", "'re", "'ve", "'ll", "'S", "it's", "<|endoftext|>", "été", "naïveж"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 25))) for _ in range(4_000)]
+    for text, ids in zip(texts, packing.WordTokenizer().encode(texts), strict=True):
+        assert list(np.frombuffer(ids, "<u4")) == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_the_tokenizer_is_asked_for_ids_without_offsets(plain):
+    class IdsOnly:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return plain.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    tokenizer = packing.WordTokenizer()
+    tokenizer.tokenizer = IdsOnly()
+    text = "It's a naïve test,\n\nwith <|endoftext|> words"
+    assert list(np.frombuffer(next(tokenizer.encode([text])), "<u4")) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_tree_finds_the_tightest_window():
     rng = random.Random(1)
     for _ in range(30):
